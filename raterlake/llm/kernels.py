@@ -95,9 +95,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray) -> tuple[n
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; with span_hash it gives the hash of any span of bytes in O(1)."""
+    """Running polynomial hash of bytes or of 64-bit tokens; with span_hash it gives the hash of any span of them in O(1)."""
+    values = _BYTES[data] if data.dtype == np.uint8 else data
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers(len(data))[0], dtype=np.uint64, out=total[1:])
+    np.cumsum(values * powers(len(data))[0], dtype=np.uint64, out=total[1:])
     return total
 
 

@@ -5,12 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.decontam import leaked_items
+
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.repeats import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=50, unit="bytes")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), window=2048)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raterlake.llm.neardup import near_duplicates
 
@@ -18,6 +38,9 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_packing": op3_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
 }
 

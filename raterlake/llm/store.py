@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from raterlake.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
@@ -34,6 +37,8 @@ def settle(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._raterlake_path = path
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the work that is now written
     return back
 
 
@@ -47,6 +52,7 @@ def drop(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows: whole texts travel in them, and the default of 10,000 long texts would not fit a worker."""
+    """Before Python work: the package goes to the workers, and Arrow batches get smaller. Batches have at most 1,000 rows: whole texts travel in them, and the default of 10,000 long texts would not fit a worker."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
