@@ -37,11 +37,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.covertree import linked_vectors
+
+    return linked_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_packing": op3_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op9_cover_tree": op9_cover_tree,
 }
 
 ORACLES: dict[str, str] = {}
