@@ -37,6 +37,13 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.quality import score_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raterlake.llm.covertree import linked_vectors
 
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_packing": op3_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_cover_tree": op9_cover_tree,
 }
 
