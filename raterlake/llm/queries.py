@@ -31,6 +31,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), window=2048)
 
 
+def op4_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.pseudolm import pseudo_likelihood
+
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raterlake.llm.neardup import near_duplicates
 
@@ -44,6 +50,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raterlake.llm.covertree import linked_vectors
 
@@ -54,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_packing": op3_packing,
+    "op4_masked_pseudo_likelihood": op4_masked_pseudo_likelihood,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_cover_tree": op9_cover_tree,
 }
 
