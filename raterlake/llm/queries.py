@@ -62,6 +62,13 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.edits import apply_edits, redactions, token_trees
+
+    docs = _table(spark, sf_dir, "documents")
+    return apply_edits(token_trees(docs), redactions(docs)).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_cover_tree": op9_cover_tree,
+    "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
