@@ -43,6 +43,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.html import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raterlake.llm.quality import score_quality
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_masked_pseudo_likelihood": op4_masked_pseudo_likelihood,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_cover_tree": op9_cover_tree,
