@@ -12,8 +12,10 @@ still may repeat go deeper:
    the shuffle near the size of the text and not at many times of it.
 2. run digit. Inside a group, runs equal over all their tokens agree to full depth:
    all but the least document's are repeated passages. A run alone in its anchor's group is dropped.
-3. window digit. Of the runs left, each the least of its kind and in a group with
-   other kinds, every window is ordered through its whole depth.
+3. side digits. Every window reaches half of the remaining depth to the left or to
+   the right of its anchor, so of the runs left only those stay that share the
+   tokens of one side with another document.
+4. window digit. Of the runs left, every window is ordered through its whole depth.
 
 Groups that are equal after the last pass are exactly the repeated windows.
 Digits are compared as 64-bit hashes. Groups are streamed in order, with one
@@ -34,7 +36,7 @@ from raterlake.llm import kernels as K
 from raterlake.llm.store import settle, small_batches
 
 #: Tokens of an anchor.
-DIGIT = 20
+DIGIT = 16
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, unit: str):
@@ -64,26 +66,46 @@ def _run_rows(length: int, unit: str):
                 doc = np.searchsorted(by_doc, first, "right") - 1
                 begin = first - by_doc[doc]
                 size = last - first + length
+                half = (length - DIGIT) // 2
+                left = K.span_hash(total, np.maximum(anchor - half, 0), anchor + DIGIT) >> np.uint64(48)
+                right = K.span_hash(total, anchor, np.minimum(anchor + DIGIT + half, len(tokens))) >> np.uint64(48)
+                sides = ((left << np.uint64(16)) | right).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (hashed[anchor].view(np.int64), (K.span_hash(total, first, first + size) >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[lo:hi][doc].astype(np.int64), (begin << 16) | size)],
-                    names=["anchor", "span", "id", "at"],
+                    [pa.array(x) for x in (hashed[anchor].view(np.int64), (K.span_hash(total, first, first + size) >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[lo:hi][doc].astype(np.int64), (begin << 16) | size, sides)],
+                    names=["anchor", "span", "id", "at", "sides"],
                 )
 
     return run
 
 
+def _shared(group: np.ndarray, i: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Whether another document of the group has the same tokens on the left or on the right of the anchor."""
+    out = np.zeros(len(group), bool)
+    packed = sides.view(np.uint32).astype(np.int64)
+    for side in (packed >> 16, packed & 0xFFFF):
+        _, kind = np.unique((group << 16) | side, return_inverse=True)
+        least, most = np.full(kind.max(initial=-1) + 1, 2**62), np.full(kind.max(initial=-1) + 1, -(2**62))
+        np.minimum.at(least, kind, i)
+        np.maximum.at(most, kind, i)
+        out |= least[kind] < most[kind]
+    return out
+
+
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, span, id) -> rows that repeat a smaller document's run (open = false) and rows to order further (open = true).
 
-    Carried from batch to batch: the last row's anchor, span and owner if its
-    anchor has several kinds of run already; else the owner's rows of its only kind.
+    A group is ordered further if it has several kinds of run and several
+    documents. Carried from batch to batch: of such a group its last row's anchor,
+    span and owner; of another the rows that may still be ordered further, which
+    are rows of one document.
     """
     carry = None  # (anchor, span, owner)
-    held = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64))
+    held, held_mixed = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32)), False
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, s, i, at = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in enumerate(held))
+        waiting = len(held[0]) > 0
+        a, s, i, at, sides = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in enumerate(held))
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         new_s = np.ones(len(a), bool)
@@ -91,20 +113,27 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             new_a[0] = a[0] != carry[0]
             new_s[0] = new_a[0] or s[0] != carry[1]
-        kinds = np.cumsum(new_s)
-        owner = np.concatenate([[carry[2] if carry is not None else 0], i[new_s]])[kinds]
+        owner = np.concatenate([[carry[2] if carry is not None else 0], i[new_s]])[np.cumsum(new_s)]
         group = np.cumsum(new_a)
-        several = np.zeros(group[-1] + 1, bool)
-        several[group[new_s & ~new_a]] = True
+        last = group[-1]
+        kinds, mixed = np.zeros(last + 1, bool), np.zeros(last + 1, bool)
+        kinds[group[new_s & ~new_a]] = True
+        leader = np.concatenate([[0], i[new_a]])[group]
+        mixed[group[i != leader]] = True
+        if waiting:
+            mixed[group[0]] |= held_mixed
+        several = kinds & mixed
         several[0] |= carry is not None
         repeated = i > owner
         opened = ~repeated & several[group]
+        inner = np.flatnonzero(opened & (group > group[0]) & (group < last))  # whole groups: a side must be shared
+        opened[inner] = _shared(group[inner], i[inner], sides[inner])
         out = repeated | opened
-        if several[group[-1]]:
+        if several[last]:
             carry, held = (a[-1], s[-1], owner[-1]), tuple(x[:0] for x in held)
         else:
-            keep = (group == group[-1]) & ~repeated
-            carry, held = None, (a[keep], s[keep], i[keep], at[keep])
+            keep = (group == last) & ~repeated
+            carry, held, held_mixed = None, (a[keep], s[keep], i[keep], at[keep], sides[keep]), bool(mixed[last])
         yield pa.RecordBatch.from_arrays([pa.array(i[out]), pa.array(at[out]), pa.array(opened[out])], names=["id", "at", "open"])
 
 
@@ -157,7 +186,7 @@ def _later_windows(length: int):
 def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """(id, at): stretches of ``docs`` (id, text) that a smaller id also has, as ``start << 16 | tokens``; they may overlap."""
     known = docs.where("id is not null and text is not null")
-    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span int, id long, at long")
+    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span int, id long, at long, sides int")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "id")
     found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean"))
     deeper = known.join(found.where("open").groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")

@@ -5,12 +5,16 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from raterlake.session import ship
 
+#: Spark deletes the shuffle files of a query as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
@@ -34,14 +38,25 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/raterlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")  # the written table is what is read again, so its shuffles can go
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._raterlake_path = path
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the work that is now written
+    release(spark)
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished work, which it does once the driver's garbage is collected."""
+    time.sleep(0.3)  # the last query's end still has to reach the listeners, which hold its plan
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a settled table that no later plan reads."""
     path = getattr(df, "_raterlake_path", None)
