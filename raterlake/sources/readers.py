@@ -72,7 +72,7 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
 
 def write_buckets(members: DataFrame, path: str, bucket: str = "bucket") -> None:
     """One folder a bucket."""
-    members.repartition(bucket, F.pmod(F.hash("*"), F.lit(8))).write.mode("overwrite").partitionBy(bucket).parquet(path)
+    members.repartition(bucket, F.pmod(F.hash(*(c for c in members.columns if c != bucket)), F.lit(8))).write.mode("overwrite").partitionBy(bucket).parquet(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
