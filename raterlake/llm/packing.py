@@ -56,26 +56,43 @@ class CapacityTree:
 
 
 def plan(histogram: dict[int, int], window: int) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing: (length, first rank, pieces, first sequence, offset), pieces of rank first.. going to one sequence each."""
+    """Best-fit decreasing: (length, first rank, pieces, first sequence, offset), pieces of rank first.. going to one sequence each.
+
+    The tightest window stays the tightest until no piece of the length fits it any
+    more, so a run of equal windows is filled one after the other.
+    """
     tree, open_windows, out, n_sequences = CapacityTree(window), {}, [], 0
+
+    def put(capacity: int, first: int, n: int) -> None:
+        if capacity and n:
+            open_windows.setdefault(capacity, []).append((first, n))
+            tree.add(capacity, n)
+
     for length in sorted((x for x in histogram if histogram[x]), reverse=True):
         left, rank = histogram[length], 0
         while left:
             capacity = tree.tightest(length)
             if capacity is None:
-                capacity, first, n = window, n_sequences, left
-                n_sequences += n
+                capacity, first = window, n_sequences
+                there = -(-left // (window // length))
+                n_sequences += there
             else:
                 first, there = open_windows[capacity].pop()
-                n = min(left, there)
-                tree.add(capacity, -n)
-                if n < there:
-                    open_windows[capacity].append((first + n, there - n))
-            out.append((length, rank, n, first, window - capacity))
-            if capacity > length:
-                open_windows.setdefault(capacity - length, []).append((first, n))
-                tree.add(capacity - length, n)
-            rank, left = rank + n, left - n
+                tree.add(capacity, -there)
+            each = capacity // length
+            full = min(there, left // each)
+            rest = left - full * each if full < there else 0
+            for j in range(each):
+                n = full + (j < rest)
+                if n:
+                    out.append((length, rank, n, first, window - capacity + j * length))
+                    rank += n
+            left -= full * each + rest
+            put(capacity - each * length, first, full)
+            if rest:
+                put(capacity - rest * length, first + full, 1)
+            used = full + (rest > 0)
+            put(capacity, first + used, there - used)
     return out
 
 

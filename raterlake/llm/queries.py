@@ -88,4 +88,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+_ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+with w as (select false item, doc_id id, regexp_extract_all({_ASCII_LOWER}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') w from documents
+  union all select true, item_id, regexp_extract_all({_ASCII_LOWER}, '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') from benchmark),
+s as (select distinct item, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) s from w),
+n as (select id item_id, count(*) n_item_shingles from s where item group by id),
+shared as (select d.id doc_id, i.id item_id, count(*) n_shared from s d join s i on d.s = i.s and not d.item and i.item group by all)
+select doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles containment from shared join n using (item_id) where 100 * n_shared >= 80 * n_item_shingles""",
+    "op2_suffix_array_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+block as (select doc_id, b, substr(h, 2 * b + 1, 610) h from (select doc_id, h, unnest(range(0, len(h) // 2, 256)) b from d)),
+w as (select doc_id, b + p p, substr(h, 2 * p - 1, 100) s from (select doc_id, b, h, unnest(range(1, least(len(h) // 2 - 48, 257))) p from block)),
+f as (select s, min(doc_id) m from w group by s),
+hit as (select doc_id, p from w join f using (s) where m < doc_id),
+island as (select *, sum(fresh) over (partition by doc_id order by p) k from (select *, case when p - lag(p) over (partition by doc_id order by p) <= 50 then 0 else 1 end fresh from hit)),
+span as (select doc_id, k, min(p) a, max(p) + 49 b from island group by all),
+gap as (select doc_id, a, coalesce(lag(b) over (partition by doc_id order by a), 0) + 1 c, a - 1 e from span
+  union all select doc_id, 1000000000000, coalesce(max(b), 0) + 1, any_value(len(h) // 2) from d left join span using (doc_id) group by doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * c - 1, 2 * (e - c + 1)), '' order by a) t from gap join d using (doc_id) group by doc_id),
+n as (select doc_id, sum(b - a + 1)::bigint n_removed, count(*) n_spans from span group by doc_id)
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(t)) kept_sha256 from d join kept using (doc_id) left join n using (doc_id)""",
+    "op5_minhash_near_dedup": f"""
+with recursive w as (select doc_id, list_filter(string_split_regex({_ASCII_LOWER}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) s from w),
+n as (select doc_id, count(*) n from s group by 1),
+shared as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select x, y from shared join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+edge as (select x, y from link union select y, x from link),
+reach(id, other) as (select x, y from edge union select r.id, e.y from reach r join edge e on r.other = e.x),
+least as (select id, min(other) m from reach group by id)
+select d.doc_id, coalesce(n, 0) n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) component_id, coalesce(m, d.doc_id) >= d.doc_id kept from documents d left join n using (doc_id) left join least on id = d.doc_id""",
+    "op9_cover_tree": """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
+link as (select a.vec_id x, b.vec_id y from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(id, other) as (select x, y from link union select r.id, l.y from reach r join link l on r.other = l.x),
+least as (select id, min(other) m from reach group by id), n as (select x, count(*) n from link group by x)
+select vec_id, coalesce(n, 0) n_links, least(vec_id, coalesce(m, vec_id)) component_id, coalesce(m, vec_id) >= vec_id kept from v left join n on x = vec_id left join least on id = vec_id""",
+}
