@@ -86,13 +86,20 @@ def unique_labels_per_unit(df: DataFrame, unit: str, dim: str) -> DataFrame:
     return per.agg(F.sum("n").alias("labels"), F.count("*").alias("units"), F.avg("n").alias("mean_labels"))
 
 
+def independent_counts(df: DataFrame, columns: Sequence[str], total: bool = False) -> DataFrame:
+    """(kind, value, n): counts by each column on its own, and in all, from one pass (grouping sets)."""
+    sets = [[c] for c in columns] + ([[]] if total else [])
+    grouped = df.groupingSets(sets, *columns).agg(F.count("*").alias("n"), *(F.grouping(c).alias(f"_{c}") for c in columns))
+    own = [(F.col(f"_{c}") == 0, c) for c in columns]
+    kind, value = F.lit("all"), F.lit("")
+    for is_set, c in own:
+        kind, value = F.when(is_set, c).otherwise(kind), F.when(is_set, F.col(c).cast("string")).otherwise(value)
+    return grouped.select(kind.alias("kind"), value.alias("value"), "n")
+
+
 def bucket_index(votes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(bucket_kind, bucket, n): independent counts by each column, from one pass (grouping sets)."""
-    sets = ", ".join(f"({c})" for c in columns)
-    votes.createOrReplaceTempView("raterlake_votes")
-    kind = " ".join(f"when grouping({c}) = 0 then '{c}'" for c in columns)
-    value = " ".join(f"when grouping({c}) = 0 then cast({c} as string)" for c in columns)
-    return votes.sparkSession.sql(f"select case {kind} end as bucket_kind, case {value} end as bucket, count(*) as n from raterlake_votes group by grouping sets ({sets})")
+    """(bucket_kind, bucket, n): independent counts by each column."""
+    return independent_counts(votes, columns).toDF("bucket_kind", "bucket", "n")
 
 
 def bucket_members(votes: DataFrame, unit: str, columns: Sequence[str], skip: dict[str, Sequence[str]] | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raterlake.operators.panel import independent_counts
+
 # The five sources (id, width, height, split), tile size and stride.
 SOURCES = [("yl_raw_001", 29400, 7511, "train"), ("yl_raw_002", 19220, 7511, "test"), ("yl_raw_003", 29127, 7511, "train"), ("yl_raw_004", 20950, 7511, "val"), ("yl_raw_005", 28223, 7511, "train")]
 TILE, STRIDE = 512, 358
@@ -28,11 +30,7 @@ def tile_grid(images: DataFrame, tile: int = TILE, stride: int = STRIDE) -> Data
 
 def group_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(kind, value, n): counts by each column and in all, from one pass."""
-    sets = ", ".join([f"({c})" for c in columns] + ["()"])
-    df.createOrReplaceTempView("raterlake_groups")
-    kind = " ".join(f"when grouping({c}) = 0 then '{c}'" for c in columns)
-    value = " ".join(f"when grouping({c}) = 0 then cast({c} as string)" for c in columns)
-    return df.sparkSession.sql(f"select case {kind} else 'all' end as kind, case {value} else '' end as value, count(*) as n from raterlake_groups group by grouping sets ({sets})")
+    return independent_counts(df, columns, total=True)
 
 
 def split_leaks(df: DataFrame, group: str, split: str) -> DataFrame:
