@@ -1,17 +1,19 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Signatures: BANDS x ROWS minima a document. Bands of ROWS whole minima give the
-candidates; the low two bits of every minimum, packed into three longs, give a
+Signatures: HASHES minima a document. Bands of ROWS whole minima give the
+candidates; the low two bits of every minimum, packed into longs, give a
 collision-corrected similarity by bit counts, which throws away candidates that
 are far below the threshold; the rest is confirmed on whole shingle sets.
 
-A band's bucket is never expanded into all its pairs. Each member is first
-compared with the bucket's least member. Documents already joined to one
-component need no further comparison; a bucket whose members are still in
-several components gets the missing comparisons (members outside the least
-member's component, against the members of other components). So each link that
-matters for the components is confirmed, and a group of thousands of near copies
-costs one comparison a document.
+A band's bucket is never expanded into rows of pairs. Each member is first
+compared with the bucket's hub, the member that has most company over all its
+bands: of a text and its altered copies that is the text itself, or what is
+nearest to it. That joins all but a few of a group at one comparison a document.
+A bucket whose members are still in several components is gone through again:
+its members are compared by their bits, in blocks of a bounded number of rows, and
+those that may be similar enough form families. Within a family, again in blocks,
+all pairs of different components that may be similar enough are confirmed on whole
+sets. Only spanning links leave a task, so the rows grow with the documents.
 
 A pair of similarity exactly 0.8 shares no band with probability
 (1 - 0.8^4)^24 = 3e-6.
@@ -31,14 +33,17 @@ from raterlake.llm.components import connected_components
 from raterlake.llm.store import settle, small_batches
 
 BANDS, ROWS = 24, 4
-_MULTIPLIERS = K.constants(5, BANDS * ROWS)
+#: Minima whose low bits are kept; the first BANDS * ROWS of them make the bands.
+HASHES = 192
+_MULTIPLIERS = K.constants(5, HASHES)
 _ROW_WEIGHTS = K.constants(6, ROWS)
 #: Longs that hold two bits of each minimum.
-LANES = BANDS * ROWS // 32
-#: Estimates have a standard deviation of about 0.05 at 0.8; a candidate goes only if it is over five of them below.
-SLACK = 0.27
+LANES = HASHES // 32
+#: Estimates have a standard deviation of 0.034 at 0.8; a candidate goes only if it is over four of them below.
+SLACK = 0.14
+_LONGS = [f"s{i}" for i in range(LANES)]
 
-_SCHEMA = "id long, n_shingles long, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long"
+_SCHEMA = "id long, n_shingles long, h1 long, h2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _LONGS)
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -62,13 +67,13 @@ def _signatures(n: int):
                 least = K.minima(values, offsets, _MULTIPLIERS)
                 bands = np.zeros((docs, BANDS), np.uint64)
                 for r in range(ROWS):
-                    bands += K.mix(least[:, r::ROWS]) * _ROW_WEIGHTS[r]
+                    bands += K.mix(least[:, r : BANDS * ROWS : ROWS]) * _ROW_WEIGHTS[r]
                 low = (K.mix(least) >> np.uint64(7)) & np.uint64(3)
                 lanes = [np.bitwise_or.reduce(low[:, 32 * i : 32 * i + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1) for i in range(LANES)]
                 flat = pa.array(bands.ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, docs).cast(pa.int64()), pa.array(size), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * BANDS), flat)] + [pa.array(x.view(np.int64)) for x in lanes],
-                    names=["id", "n_shingles", "h1", "h2", "bands", "s0", "s1", "s2"],
+                    names=["id", "n_shingles", "h1", "h2", "bands", *_LONGS],
                 )
 
     return run
@@ -80,7 +85,7 @@ def estimated(a: str, b: str) -> F.Column:
     for i in range(LANES):
         x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return 1 - unequal / F.lit(BANDS * ROWS * 0.75)
+    return 1 - unequal / F.lit(HASHES * 0.75)
 
 
 def _confirm(n: int, percent: int):
@@ -107,20 +112,159 @@ def _confirm(n: int, percent: int):
     return run
 
 
+#: Ids of so many documents are sent to every task at most, to leave out texts before they are shuffled; beyond, all texts are.
+BROADCAST_IDS = 4_000_000
+
+
+def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (id, text) whose id is in ``ids`` (id, each once), or all of them if there are too many ids to send around."""
+    if ids.count() > BROADCAST_IDS:
+        return texts
+    return texts.join(F.broadcast(ids), "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have 100 * shared >= percent * all.
 
     Documents that many pairs name as ``a`` are salted: the pairs of one ``a``
-    are dealt over as many tasks as they have hundreds, and its text goes to each.
+    are dealt over 64 tasks, and its text goes to each.
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    texts = only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     members = pairs.join(texts.select(F.col("id").alias("b"), "text"), "b").select(F.col("a").alias("key"), "salt", F.col("b").alias("id"), F.lit(1).alias("role"), "text")
     keys = pairs.select(F.col("a").alias("id"), "salt").distinct()
-    bases = keys.join(texts.select("id", "text"), "id").select(F.col("id").alias("key"), "salt", "id", F.lit(0).alias("role"), "text")
+    bases = keys.join(texts, "id").select(F.col("id").alias("key"), "salt", "id", F.lit(0).alias("role"), "text")
     together = members.unionByName(bases).repartition("key", "salt").sortWithinPartitions("key", "salt", "role", "id")
     return together.mapInArrow(_confirm(n, percent), "a long, b long")
 
 
+#: Rows of a block; two blocks are compared in one task.
+BLOCK = 512
+
+
+def in_blocks(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Each row once for every pair (i, j) of its group's blocks that it takes part in, with its block; a group of n rows has n / BLOCK blocks."""
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    other = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return other.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("_blocks", "_other")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """One batch a group of rows that are equal in the first ``keys`` columns, from batches in the order of these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        new[0] = last is not None and first != last
+        last = tuple(c[-1] for c in columns)
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if k and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which sketches (rows of LANES words) are estimated to be at least so similar."""
+    unequal = np.zeros((len(a), len(b)), np.int64)
+    for lane in range(a.shape[1]):
+        x = a[:, lane][:, None] ^ b[:, lane][None, :]
+        unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+    return 1 - unequal / (HASHES * 0.75) >= least
+
+
+class _Forest:
+    """Union-find; the least member names a tree."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        return True
+
+
+def _sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two blocks of a group, columns i, j and block by name."""
+    i, j, block = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("i", "j", "block"))
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+def _may_link(least: float):
+    """Groups by (band, bucket, i, j) -> spanning links of the rows that may be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for batch in grouped(batches, 4):
+            ids, sketch = _column(batch, "id"), np.stack([_column(batch, c).view(np.uint64) for c in _LONGS], axis=1)
+            left, right = _sides(batch)
+            forest = _Forest()
+            for x, y in zip(*np.nonzero(_similar(sketch[left], sketch[right], least)), strict=True):
+                x, y = int(ids[left[x]]), int(ids[right[y]])
+                if x != y and forest.join(x, y):
+                    out.append((x, y))
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
+
+    return run
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _confirm_blocks(n: int, percent: int, least: float):
+    """Groups by (family, i, j) -> spanning links, confirmed on whole sets, between the components that the rows had."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in grouped(batches, 3):
+            ids, component, sketch = _column(batch, "id"), _column(batch, "component"), np.stack([_column(batch, c).view(np.uint64) for c in _LONGS], axis=1)
+            left, right = _sides(batch)
+            sets: list[np.ndarray] = []
+            for lo, hi, values, offsets in shingle_sets(batch.column(batch.schema.get_field_index("text")), n):
+                sets += [np.unique(values[offsets[d] : offsets[d + 1]]) for d in range(hi - lo)]
+            forest, out = _Forest(), []
+            for x, y in zip(*np.nonzero(_similar(sketch[left], sketch[right], least) & (component[left][:, None] != component[right][None, :])), strict=True):
+                x, y = left[x], right[y]
+                a, b = sets[x], sets[y]
+                if forest.find(int(component[x])) == forest.find(int(component[y])) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                    continue
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    forest.join(int(component[x]), int(component[y]))
+                    out.append((int(ids[x]), int(ids[y])))
+            yield _links(out)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the least id linked to it over any number of steps, itself included), kept.
 
@@ -137,46 +281,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("id").alias("rep"))
     distinct = signed.where("n_shingles > 0").join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi")
     reps = settle(distinct.drop("n_shingles", "h1", "h2"))
-    bucketed = reps.select("id", "s0", "s1", "s2", F.posexplode("bands").alias("band", "bucket"))
     bucket = Window.partitionBy("band", "bucket")
-    sketch = F.struct("id", "s0", "s1", "s2")
-    crowded = settle(bucketed.withColumn("hub", F.min(sketch).over(bucket)).withColumn("last", F.max("id").over(bucket)).where("hub.id <> last").drop("last"))
+    sketch = F.struct("id", *_LONGS)
+    shared = reps.select("id", *_LONGS, F.posexplode("bands").alias("band", "bucket")).withColumn("company", F.count("*").over(bucket)).where("company > 1")
+    shared = settle(shared)
+    company = shared.groupBy("id").agg(F.sum("company").alias("total"))
+    hub = F.max(F.struct("total", (-F.col("id")).alias("order"), sketch.alias("doc"))).over(bucket)
+    crowded = settle(shared.drop("company").join(company, "id").withColumn("hub", hub).withColumn("hub", F.col("hub.doc")).drop("total"))
     first = (
         crowded.where("id <> hub.id")
-        .select(F.struct("id", "s0", "s1", "s2").alias("x"), "hub")
+        .select(sketch.alias("x"), "hub")
         .where(estimated("x", "hub") >= percent / 100 - SLACK)
         .select(F.col("hub.id").alias("a"), F.col("x.id").alias("b"))
         .distinct()
     )
     links = settle(confirmed(first, texts, shingle, percent))
     parts = connected_components(links)
-    placed = crowded.select("band", "bucket", sketch.alias("x"), F.col("hub.id").alias("hub_id")).join(parts.select(F.col("node").alias("n"), "component"), F.col("x.id") == F.col("n"), "left").withColumn("component", F.coalesce("component", "x.id")).drop("n")
-    mixed = Window.partitionBy("band", "bucket")
-    placed = placed.withColumn("main", F.max(F.when(F.col("x.id") == F.col("hub_id"), F.col("component"))).over(mixed)).withColumn("others", F.max(F.when(F.col("component") != F.col("main"), 1)).over(mixed)).where("others = 1")
-    placed = settle(placed.drop("others", "hub_id"))
-    left, right = placed.where("component <> main").alias("l"), placed.where("component <> main").alias("r")
-    near = estimated("lx", "rx") >= percent / 100 - SLACK
-    second = (
-        left.select("band", "bucket", F.col("x").alias("lx"), F.col("component").alias("lc"))
-        .join(right.select("band", "bucket", F.col("x").alias("rx"), F.col("component").alias("rc")), ["band", "bucket"])
-        .where("lc <> rc and lx.id < rx.id").where(near)
-        .select(F.col("lx.id").alias("a"), F.col("rx.id").alias("b"))
-    )
-    inner = placed.where("component = main").join(placed.groupBy("band", "bucket").agg(F.min("x.id").alias("hub_id")), ["band", "bucket"]).where("x.id <> hub_id")
-    third = (
-        left.select("band", "bucket", F.col("x").alias("lx"))
-        .join(inner.select("band", "bucket", F.col("x").alias("rx")), ["band", "bucket"])
-        .where(near)
-        .select(F.least("lx.id", "rx.id").alias("a"), F.greatest("lx.id", "rx.id").alias("b"))
-    )
-    more = settle(second.unionByName(third).distinct())
-    if not more.isEmpty():
-        links = settle(links.unionByName(confirmed(more, texts, shingle, percent)))
+    component = parts.select(F.col("node").alias("id"), "component")
+    placed = crowded.select("band", "bucket", "id", *_LONGS).join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = settle(placed.withColumn("one", F.min("component").over(bucket)).withColumn("two", F.max("component").over(bucket)).where("one <> two").drop("one", "two"))
+    least = percent / 100 - SLACK
+    order = ["band", "bucket", "i", "j"]
+    blocks = in_blocks(open_.drop("component"), ["band", "bucket"], "id").select(*order, "block", "id", *_LONGS)
+    near = settle(blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_may_link(least), "a long, b long"))
+    families = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    docs_in = open_.dropDuplicates(["id"]).drop("band", "bucket").join(families, "id")
+    several = docs_in.groupBy("family").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("family")
+    docs_in = settle(docs_in.join(several, "family", "left_semi"))
+    if not docs_in.isEmpty():
+        with_text = docs_in.join(only(texts, docs_in.select("id")), "id")
+        order = ["family", "i", "j"]
+        blocks = in_blocks(with_text, ["family"], "id").select(*order, "block", "id", "component", *_LONGS, "text")
+        more = blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_confirm_blocks(shingle, percent, least), "a long, b long")
+        links = settle(links.unionByName(more))
         parts = connected_components(links)
     members = signed.join(groups, sets, "left").withColumn("rep", F.coalesce("rep", "id"))
-    least = parts.select(F.col("node").alias("rep"), "component")
     return (
-        members.join(least, "rep", "left")
+        members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
         .withColumn("kept", F.col(id_col) == F.col("component_id"))
     )
