@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from raterlake.llm.store import drop, settle
 
 
+def _state(links: DataFrame) -> tuple:
+    """How many links there are and their checksum."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for every node that has a link.
 
@@ -19,7 +24,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links change nothing; without links the result is empty.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen = _state(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -29,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = settle(small)
         drop(now)
         now = after
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = _state(now)
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = state
