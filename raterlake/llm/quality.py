@@ -31,7 +31,7 @@ _CLASSES = np.zeros((256, 7), np.int32)
 for _b in range(256):
     _c = chr(_b)
     _CLASSES[_b] = [_b < 128 and _c.isupper(), _b < 128 and _c.islower(), _b < 128 and _c.isdigit(), _b >= 128, _b < 128 and not _c.isalnum() and not _c.isspace(), _b == 10, _b in (9, 11, 12, 13, 32)]
-N_STATS = 13
+N_STATS = 14
 SIZE = (1 << WORD_BITS) + N_STATS * BINS
 
 
@@ -60,6 +60,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     np.maximum.at(most, doc, times)
     last = ~np.isin(data[ends - 1], np.frombuffer(b".,;:", np.uint8)) & (_CLASSES[data[ends - 1], 4] > 0) if len(ends) else np.zeros(0, bool)
     alone = (ends - starts == 1) & (_CLASSES[data[starts], 4] > 0) if len(starts) else np.zeros(0, bool)
+    again = np.zeros(len(words), bool)
+    again[1:] = (words[1:] == words[:-1]) & (doc_of[1:] == doc_of[:-1])
     total = K.prefix(data)
     at = np.flatnonzero(data == 10)
     line_starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], at[at + 1 < len(data)] + 1).astype(np.int64)
@@ -81,6 +83,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         _share(most, n_words),
         _share(_per_doc(last, by_doc), n_words),
         _share(_per_doc(alone, by_doc), n_words) * 2,
+        _share(_per_doc(again, by_doc), n_words) * 2,
         _share(np.bincount(fresh, minlength=docs), n_lines),
     ]
     binned = np.stack([np.clip((s * BINS).astype(np.int64), 0, BINS - 1) + (1 << WORD_BITS) + j * BINS for j, s in enumerate(stats)], axis=1)
