@@ -26,6 +26,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 #: Texts a language that the network is trained on at most, and windows of each.
 TRAIN_TEXTS, TRAIN_WINDOWS = 500, 6
+SALTS = 64
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -158,7 +159,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = TRAIN_TEXTS) -> Network | None:
     """A network trained on at most ``texts`` texts a language, the first by a hash of their id among those not held out; None if there are none."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "") & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = known.select("id", "lang").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= texts).select("id", "lang").distinct()
+    chosen = known.select("id", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+    for parts in (["lang", "salt"], ["lang"]):  # a language of a third of all rows is first cut down in SALTS parts
+        chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= texts)
+    chosen = chosen.select("id", "lang")
     rows = sorted((r["lang"], bytes(r["window"])) for r in known.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text").mapInArrow(_sampled, "lang string, window binary").collect())
     if not rows:
         return None
