@@ -7,8 +7,8 @@ of its own block and another only if its distance from the other's centre is at
 most the other's radius and the reach of the threshold together; that is a bound,
 so no pair is lost.
 
-In a task the trees of two blocks are built (nested levels, each with half the
-radius of the level above) and traversed together from the coarsest level: a pair
+Each block's tree is built once (nested levels, each with half the radius of the
+level above); in a task the trees of two blocks are traversed together from the coarsest level: a pair
 of nodes is dropped if even its closest members are too far apart, counted whole,
 without being opened, if even its farthest members are near enough, and opened
 otherwise. Only counts and a spanning forest of the links leave the task, so a
@@ -48,31 +48,41 @@ def distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
 
+def nets(x: np.ndarray) -> np.ndarray:
+    """(levels, rows): the centre of each row on each level; nested, each level's centres at least its radius apart within a node of the level above."""
+    n = len(x)
+    near = x @ x.T
+    chosen: list[int] = []
+    above = np.zeros(n, np.int64)
+    out = []
+    for radius in RADII:
+        least = 1 - radius * radius / 2
+        centre = np.full(n, -1, np.int64)
+        fresh = []
+        for i in chosen + list(range(n)):
+            if centre[i] < 0:
+                own = (near[i] >= least) & (centre < 0) & (above == above[i])
+                own[i] = True
+                centre[own] = i
+                fresh.append(i)
+        chosen, above = fresh, centre
+        out.append(centre)
+    return np.stack(out)
+
+
 class Tree:
-    """Nested levels over the rows of ``x``: centre[l][i] is the node of row i on level l."""
+    """Cover tree over rows ``x`` from their nodes' names by level; levels holds each row's centre, a row of its node, and the radii around centres that cover their nodes."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, names: np.ndarray):
         self.x = x
-        n = len(x)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        near = x @ x.T
-        chosen: list[int] = []
-        above = np.zeros(n, np.int64)
-        for radius in RADII:
-            least = 1 - radius * radius / 2
-            centre = np.full(n, -1, np.int64)
-            fresh = []
-            for i in chosen + [i for i in range(n)]:
-                if centre[i] < 0:
-                    own = (near[i] >= least) & (centre < 0) & (above == above[i])
-                    own[i] = True
-                    centre[own] = i
-                    fresh.append(i)
-            chosen, above = fresh, centre
-            reach = np.zeros(n)
-            np.maximum.at(reach, centre, distance(near[np.arange(n), centre]))
+        for level in names:
+            _, first, node = np.unique(level, return_index=True, return_inverse=True)
+            centre = first[node]
+            reach = np.zeros(len(x))
+            np.maximum.at(reach, centre, distance(np.einsum("ij,ij->i", x, x[centre])))
             self.levels.append((centre, reach))
-        self.levels.append((np.arange(n), np.zeros(n)))
+        self.levels.append((np.arange(len(x)), np.zeros(len(x))))
 
 
 def _positions(parent: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +188,7 @@ def _pair(cosine: float, kind: str, width: int):
             own = rows[rows["own"] == block]
             ids.append(own["id"].to_numpy(np.int64))
             weights.append(own["weight"].to_numpy(np.int64))
-            trees.append(Tree(_matrix(own["v"], kind, width)))
+            trees.append(Tree(_matrix(own["v"], kind, width), np.stack([own[f"c{k}"].to_numpy(np.int64) for k in range(len(RADII))])))
         if not len(ids[0]) or not len(ids[-1]):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "n", "other")})
         count_a, count_b, left, right = traverse(trees[0], trees[-1], weights[0], weights[-1], cosine, i == j)
@@ -217,6 +227,20 @@ def _packed(kind: str):
     return run
 
 
+def _nodes(kind: str, width: int):
+    """A block's rows with the ids of their centres, so that a block's tree is built once and not in every pair."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable")
+        centres = rows["id"].to_numpy(np.int64)[nets(_matrix(rows["v"], kind, width))]
+        return rows.assign(**{f"c{k}": centres[k] for k in range(len(RADII))})
+
+    return run
+
+
+_CENTRES = "".join(f", c{k} long" for k in range(len(RADII)))
+
+
 def _cells(pivots: np.ndarray, kind: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -235,7 +259,7 @@ def _routed(pivots: np.ndarray, cells: np.ndarray, radii: np.ndarray, reach: flo
             for at in range(0, len(frame), 512):
                 row, block = np.nonzero(gap[at : at + 512][:, cells] <= radii[None, :] + reach + EPS)
                 row += at
-                yield pd.DataFrame({"i": np.minimum(own[row], block).astype(np.int32), "j": np.maximum(own[row], block).astype(np.int32), "own": own[row].astype(np.int32), "id": frame["id"].to_numpy()[row], "weight": frame["weight"].to_numpy()[row], "v": frame["v"].to_numpy()[row]})
+                yield pd.DataFrame({"i": np.minimum(own[row], block).astype(np.int32), "j": np.maximum(own[row], block).astype(np.int32), "own": own[row].astype(np.int32), "id": frame["id"].to_numpy()[row], "weight": frame["weight"].to_numpy()[row], "v": frame["v"].to_numpy()[row], **{f"c{k}": frame[f"c{k}"].to_numpy()[row] for k in range(len(RADII))}})
 
     return run
 
@@ -275,7 +299,8 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_
     for r in blocked.groupBy("block").agg(F.max("far").alias("r")).collect():  # one row for BLOCK vectors
         radii[r["block"]] = r["r"]
     reach = float(distance(np.array(cosine)))
-    routed = blocked.select("id", "weight", "v", "block").mapInPandas(_routed(pivots, np.array(cells), radii, reach, kind), "i int, j int, own int, id long, weight long, v binary")
+    noded = settle(blocked.select("id", "weight", "v", "block").groupBy("block").applyInPandas(_nodes(kind, width), "id long, weight long, v binary, block int" + _CENTRES))
+    routed = noded.mapInPandas(_routed(pivots, np.array(cells), radii, reach, kind), "i int, j int, own int, id long, weight long, v binary" + _CENTRES)
     found = settle(routed.groupBy("i", "j").applyInPandas(_pair(cosine, kind, width), "id long, n long, other long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     components = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))

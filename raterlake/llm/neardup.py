@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from raterlake.llm import kernels as K
 from raterlake.llm.components import connected_components
-from raterlake.llm.store import settle, small_batches
+from raterlake.llm.store import keep_ids, settle, small_batches
 
 BANDS, ROWS = 24, 4
 #: Minima whose low bits are kept; the first BANDS * ROWS of them make the bands.
@@ -112,17 +112,6 @@ def _confirm(n: int, percent: int):
     return run
 
 
-#: Ids of so many documents are sent to every task at most, to leave out texts before they are shuffled; beyond, all texts are.
-BROADCAST_IDS = 4_000_000
-
-
-def only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (id, text) whose id is in ``ids`` (id, each once), or all of them if there are too many ids to send around."""
-    if ids.count() > BROADCAST_IDS:
-        return texts
-    return texts.join(F.broadcast(ids), "id", "left_semi")
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have 100 * shared >= percent * all.
 
@@ -130,7 +119,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     are dealt over 64 tasks, and its text goes to each.
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    texts = only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = keep_ids(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "left_semi")
     members = pairs.join(texts.select(F.col("id").alias("b"), "text"), "b").select(F.col("a").alias("key"), "salt", F.col("b").alias("id"), F.lit(1).alias("role"), "text")
     keys = pairs.select(F.col("a").alias("id"), "salt").distinct()
     bases = keys.join(texts, "id").select(F.col("id").alias("key"), "salt", "id", F.lit(0).alias("role"), "text")
@@ -309,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = docs_in.groupBy("family").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("family")
     docs_in = settle(docs_in.join(several, "family", "left_semi"))
     if not docs_in.isEmpty():
-        with_text = docs_in.join(only(texts, docs_in.select("id")), "id")
+        with_text = docs_in.join(keep_ids(texts, docs_in.select("id"), "left_semi"), "id")
         order = ["family", "i", "j"]
         blocks = in_blocks(with_text, ["family"], "id").select(*order, "block", "id", "component", *_LONGS, "text")
         more = blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_confirm_blocks(shingle, percent, least), "a long, b long")

@@ -5,6 +5,8 @@ that depth. Suffixes are ordered by wide digits, most significant first, and
 after each pass those alone in their group are dropped, so only suffixes that
 still may repeat go deeper:
 
+0. Texts equal as a whole are all repeated but for the least document's, and go no
+   further; only the least document's suffixes are ordered.
 1. anchor digit. A suffix's window of ``length`` tokens is placed by its anchor,
    the leftmost least among the hashes of its ``digit``-token strings, which
    equal windows have at the same place. The windows of one document with one
@@ -33,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raterlake.llm import kernels as K
-from raterlake.llm.store import settle, small_batches
+from raterlake.llm.store import keep_ids, settle, small_batches
 
 #: Tokens of an anchor.
 DIGIT = 16
+#: Equal runs are merged up to about so many tokens, as 16 bits hold a length.
+LONGEST = 1 << 14
+#: Stands for all of a text.
+WHOLE = -1
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, unit: str):
@@ -70,14 +76,26 @@ def _run_rows(length: int, unit: str):
                 left = K.span_hash(total, np.maximum(anchor - half, 0), anchor + DIGIT) >> np.uint64(48)
                 right = K.span_hash(total, anchor, np.minimum(anchor + DIGIT + half, len(tokens))) >> np.uint64(48)
                 sides = ((left << np.uint64(16)) | right).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (hashed[anchor].view(np.int64), (K.span_hash(total, first, first + size) >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[lo:hi][doc].astype(np.int64), (begin << 16) | size, sides)],
-                    names=["anchor", "span", "id", "at", "sides"],
-                )
+                if not len(first):
+                    continue
+                digit, span = hashed[anchor].view(np.int64), (K.span_hash(total, first, first + size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                row, size = _merged(doc, digit, span, begin, size)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit[row], span[row], ids[lo:hi][doc[row]].astype(np.int64), (begin[row] << 16) | size, sides[row])], names=["anchor", "span", "id", "at", "sides"])
 
     return run
 
 
+def _merged(doc: np.ndarray, anchor: np.ndarray, span: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal runs of a document that overlap, as in a text that repeats a word, become one: the first one's row number and the tokens they cover together."""
+    order = np.lexsort((begin, span, anchor, doc))
+    d, a, s, b, n = (x[order] for x in (doc, anchor, span, begin, size))
+    new = np.ones(len(order), bool)
+    new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (b[1:] > b[:-1] + n[:-1]) | (b[1:] // LONGEST != b[:-1] // LONGEST)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    return order[first], b[last] + n[last] - b[first]
+
+
 def _shared(group: np.ndarray, i: np.ndarray, sides: np.ndarray) -> np.ndarray:
     """Whether another document of the group has the same tokens on the left or on the right of the anchor."""
     out = np.zeros(len(group), bool)
@@ -184,18 +202,24 @@ def _later_windows(length: int):
 
 
 def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
-    """(id, at): stretches of ``docs`` (id, text) that a smaller id also has, as ``start << 16 | tokens``; they may overlap."""
+    """(id, at): stretches of ``docs`` (id, text) that a smaller id also has, as ``start << 16 | tokens``, or WHOLE; they may overlap."""
     known = docs.where("id is not null and text is not null")
+    digests = settle(known.select("id", F.unhex(F.sha2("text", 256)).alias("digest")))
+    groups = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    one_text = digests.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a = b").select("id")
+    copies = settle(digests.join(groups, "digest").where("id > least").select("id").distinct().join(one_text, "id", "left_semi"))
+    whole = copies.select("id", F.lit(WHOLE).cast("long").alias("at"))
+    known = keep_ids(known, copies, "left_anti")
     rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span int, id long, at long, sides int")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "id")
     found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean"))
     deeper = known.join(found.where("open").groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")
     windows = deeper.mapInArrow(_window_rows(length, unit), "window long, id long, start long")
     last = windows.repartition("window").sortWithinPartitions("window", "id").mapInArrow(_later_windows(length), "id long, at long")
-    return found.where("not open").select("id", "at").unionByName(settle(last))
+    return found.where("not open").select("id", "at").unionByName(settle(last)).unionByName(whole)
 
 
-def _cut(unit: str, extra: int):
+def _cut(length: int, unit: str, extra: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = batch.column(1)
@@ -208,10 +232,13 @@ def _cut(unit: str, extra: int):
                     size.append(len(own))
                     packed = np.array(runs[d].as_py() or [], np.int64)
                     tokens = int(by_doc[d - lo + 1] - by_doc[d - lo])
+                    all_of_it = len(packed) > 0 and packed.min() == WHOLE and tokens >= length
+                    packed = packed[packed != WHOLE]
                     change = np.zeros(tokens + 1, np.int64)
                     begin = np.minimum(packed >> 16, tokens)
                     np.add.at(change, begin, 1)
                     np.add.at(change, np.minimum(begin + (packed & 0xFFFF), tokens), -1)
+                    change[0] += all_of_it
                     gone = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
                     edges = np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
                     if unit != "bytes" and len(edges):
@@ -238,12 +265,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, unit: str = "words", id_co
     A stretch of ``length`` tokens (``bytes``, or ``words`` parted by ASCII white
     space) is removed from a document if a document with a smaller id has it too,
     judged on the input texts. A null text is empty; a row without an id is left
-    as it is and removes nothing elsewhere; rows that repeat an id are one
-    document and don't remove each other. Columns of any name may stand beside:
+    as it is and removes nothing elsewhere. Rows that repeat an id don't remove each
+    other and are cut alike; they should hold the same text. Columns of any name may stand beside:
     the five new ones replace columns of these names.
     """
-    if not DIGIT < length < 32768:
-        raise ValueError(f"length is {length}; over {DIGIT} and under 32768 is needed")
+    if not DIGIT < length < LONGEST:
+        raise ValueError(f"length is {length}; over {DIGIT} and under {LONGEST} is needed")
     small_batches(docs.sparkSession)
     new = ["n_bytes", "n_removed", "n_spans", "kept_bytes", "spans"]
     docs = docs.drop(*(c for c in docs.columns if c.lower() in new))
@@ -253,5 +280,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, unit: str = "words", id_co
     lists = gone.groupBy("id").agg(F.collect_list("at").alias("runs"))
     joined = plain.join(lists, plain[key].cast("long") == lists.id, "left").select(F.col(text).alias("t"), "runs", *plain.columns)
     schema = "n_bytes long, n_removed long, n_spans long, kept_bytes binary, spans array<long>, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    out = joined.mapInArrow(_cut(unit, len(plain.columns)), schema)
+    out = joined.mapInArrow(_cut(length, unit, len(plain.columns)), schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), *new)

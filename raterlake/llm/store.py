@@ -9,6 +9,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from raterlake.session import ship
 
@@ -66,6 +67,15 @@ def drop(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Ids of so many documents are sent to every task at most (some tens of MB).
+BROADCAST_IDS = 4_000_000
+
+
+def keep_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` whose id is in ``ids`` (``how`` left_semi) or isn't (left_anti); ``ids`` (id, each once) goes to every task if it has few enough rows, else both are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Before Python work: the package goes to the workers, and Arrow batches get smaller. Batches have at most 1,000 rows: whole texts travel in them, and the default of 10,000 long texts would not fit a worker."""
     ship(spark)

@@ -148,6 +148,9 @@ def test_repeats_odd_rows(spark):
     got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(df, 50, "bytes").collect()}
     assert got == {None: 0, 1: 0, 2: 0}
     assert remove_repeats(df.limit(0), 50, "bytes").collect() == []
+    twice = spark.createDataFrame([(1, "z" * 80), (2, "z" * 80), (2, "y" * 80), (3, "z" * 80), (3, "z" * 80), (4, "z" * 30), (5, "z" * 30)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"][0], r["n_removed"]) for r in remove_repeats(twice, 50, "bytes").collect())
+    assert [g for g in got if g[0] != 2] == [(1, "z", 0), (3, "z", 80), (3, "z", 80), (4, "z", 0), (5, "z", 0)]
     with pytest.raises(ValueError):
         remove_repeats(df, 5, "bytes")
 
