@@ -170,6 +170,9 @@ def anchors(hashed: np.ndarray, ends: np.ndarray, reach: int) -> tuple[np.ndarra
     they occur.
     """
     n = len(hashed)
+    if n < reach:  # no window fits
+        e = np.zeros(0, np.int64)
+        return e, e, e
     low = (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     width = 1
     while width * 2 <= reach:

@@ -58,14 +58,14 @@ def _run_rows(length: int, unit: str):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in K.text_runs(batch.column(1)):
                 tokens, by_doc, _, _ = _tokens(data, offsets, unit)
-                n = len(tokens) - DIGIT + 1
-                if n < 1:
+                room = np.diff(by_doc) >= length
+                if not room.any():
                     continue
+                n = len(tokens) - DIGIT + 1
                 total = K.prefix(tokens)
                 at = np.arange(n)
                 hashed = K.span_hash(total, at, at + DIGIT)
                 ok = np.zeros(len(tokens) + 1, np.int8)
-                room = np.diff(by_doc) >= length
                 np.add.at(ok, by_doc[:-1][room], 1)
                 np.add.at(ok, by_doc[1:][room] - length + 1, -1)
                 first, last, anchor = K.anchors(hashed, np.cumsum(ok[:n], dtype=np.int8) > 0, length - DIGIT + 1)

@@ -204,3 +204,21 @@ def test_digest(spark):
     df = spark.createDataFrame([(1, "q" * 70), (2, "q" * 70 + "r")], "doc_id long, text string")
     out = remove_repeats(df, 50, "bytes").select("doc_id", F.sha2("kept_bytes", 256).alias("h")).collect()
     assert {r["doc_id"]: r["h"] for r in out} == {1: hashlib.sha256(b"q" * 70).hexdigest(), 2: hashlib.sha256(b"r").hexdigest()}
+
+
+@pytest.mark.parametrize(("length", "unit"), [(50, "bytes"), (50, "words"), (17, "bytes")])
+def test_repeats_runs_of_one_short_text(length, unit):
+    """A short text may be alone in its batch, whatever its size."""
+    import pyarrow as pa
+
+    for n in range(61):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["q" * n if unit == "bytes" else "w " * n])], names=["id", "text"])
+        assert sum(b.num_rows for b in repeats._run_rows(length, unit)(iter([batch]))) == (n >= length)
+
+
+def test_anchors_of_too_few_values():
+    from raterlake.llm import kernels as K
+
+    for n in range(60):
+        first, last, anchor = K.anchors(np.arange(n, dtype=np.uint64) << np.uint64(32), np.ones(n, bool), 35)
+        assert first.tolist() == list(range(max(0, n - 34))) and (first == last).all() and (first == anchor).all()
