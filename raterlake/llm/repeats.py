@@ -78,7 +78,7 @@ def _run_rows(length: int, unit: str):
                 sides = ((left << np.uint64(16)) | right).astype(np.uint32).view(np.int32)
                 if not len(first):
                     continue
-                digit, span = hashed[anchor].view(np.int64), (K.span_hash(total, first, first + size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                digit, span = hashed[anchor].view(np.int64), K.span_hash(total, first, first + size).view(np.int64)
                 row, size = _merged(doc, digit, span, begin, size)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit[row], span[row], ids[lo:hi][doc[row]].astype(np.int64), (begin[row] << 16) | size, sides[row])], names=["anchor", "span", "id", "at", "sides"])
 
@@ -118,7 +118,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     are rows of one document.
     """
     carry = None  # (anchor, span, owner)
-    held, held_mixed = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int32)), False
+    held, held_mixed = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32)), False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -210,7 +210,7 @@ def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     copies = settle(digests.join(groups, "digest").where("id > least").select("id").distinct().join(one_text, "id", "left_semi"))
     whole = copies.select("id", F.lit(WHOLE).cast("long").alias("at"))
     known = keep_ids(known, copies, "left_anti")
-    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span int, id long, at long, sides int")
+    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span long, id long, at long, sides int")
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "id")
     found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean"))
     deeper = known.join(found.where("open").groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")

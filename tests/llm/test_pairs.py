@@ -222,3 +222,22 @@ def test_anchors_of_too_few_values():
     for n in range(60):
         first, last, anchor = K.anchors(np.arange(n, dtype=np.uint64) << np.uint64(32), np.ones(n, bool), 35)
         assert first.tolist() == list(range(max(0, n - 34))) and (first == last).all() and (first == anchor).all()
+
+
+def test_repeats_tell_many_runs_of_one_anchor_apart():
+    """As many different runs around one frequent phrase as make 32-bit digits collide."""
+    import pyarrow as pa
+    from raterlake.llm import kernels as K
+
+    rng, n = np.random.default_rng(5), 300_000
+    tries = rng.integers(97, 123, 16 * 200_000, dtype=np.uint8)
+    at = np.arange(0, len(tries), 16)
+    least = at[np.argmin(K.span_hash(K.prefix(tries), at, at + 16))]
+    texts = np.concatenate([rng.integers(97, 123, (n, 17), dtype=np.uint8), np.tile(tries[least : least + 16], (n, 1)), rng.integers(97, 123, (n, 17), dtype=np.uint8)], axis=1)
+    column = pa.array([t.tobytes().decode() for t in texts])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), column], names=["id", "text"])
+    rows = pa.Table.from_batches(list(repeats._run_rows(50, "bytes")(iter([batch])))).to_pandas()
+    group = rows[rows.anchor == rows.anchor.mode()[0]]
+    assert len(group) > 0.9 * n and group.span.nunique() == len(group)
+    ordered = pa.RecordBatch.from_pandas(group.sort_values(["anchor", "span", "id"]), preserve_index=False)
+    assert not any(not o for b in repeats._owners(iter([ordered])) for o in b.column(2).to_pylist())
