@@ -6,8 +6,12 @@ vector form an equivalence class; a class is valid if its tokens lie one inside
 another or beside each other in the same places on enough pages. Nested by their
 places the valid classes are the host's template; what stands in the places
 between them are slots. Slots that menus, adverts and the like fill by their names,
-or whose text is the same on every page, belong to the template; the remaining
-slots hold the article.
+or whose text is the same on different pages, belong to the template; the remaining
+slots hold the article. Each layout of a host has its own slot: the innermost valid
+place that holds nearly all text of the pages that have it.
+
+A page's own mark (article, main) is evidence only: a marked place may hold less of
+the text or recur on a page and still be a slot, and no slot lies inside of it.
 
 Occurrence vectors are never collected: two tokens of a host have equal vectors if
 the exclusive-or of a hash of (page, occurrences) over the pages is equal, which
@@ -43,6 +47,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related recommended respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget".split())
 #: Pages that a class must be on.
 SUPPORT = 3
+#: Shares of their pages' text that a slot holds, and a marked one.
+NEARLY_ALL, MARKED = 0.9, 0.5
 
 
 class Block:
@@ -56,10 +62,11 @@ def _names(attributes: dict[str, str]) -> list[str]:
     return [w.lower() for key in ("class", "id") for w in _WORD.findall(attributes.get(key, ""))]
 
 
-def parse(page: str) -> tuple[list[Block], dict[str, int]]:
-    """The page's blocks of text in order, and how often each place occurs."""
+def parse(page: str) -> tuple[list[Block], dict[str, int], set[str]]:
+    """The page's blocks of text in order, how often each place occurs, and the places that open a mark of the article."""
     blocks: list[Block] = []
     places: dict[str, int] = {}
+    marks: set[str] = set()
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, apart, article
     parts: list[str] = []
 
@@ -121,65 +128,79 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
             close(("option",), ("select",))
         attributes = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(found[3] or "")} if found[3] and not found[3].isspace() else {}
         words = _names(attributes)
-        _, path, apart, article = stack[-1]
-        article = article or name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
+        _, path, apart, within = stack[-1]
+        article = within or name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
         apart = apart or name in APART or (name == "header" and not article) or "hidden" in attributes or attributes.get("role", "").lower() in ROLES or bool(NAMES.intersection(words)) or ("header" in words and not article)
         path = f"{path}/{name}" + "".join(f".{w}" for w in sorted(set(words))[:6])
         places[path] = places.get(path, 0) + 1
+        if article and not within:
+            marks.add(path)
         if name not in VOID:
             stack.append((name, path, apart, article))
     flush()
-    return blocks, places
+    return blocks, places, marks
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _above(path: str) -> Iterator[str]:
+    """The place itself and those around it, innermost first."""
+    while path:
+        yield path
+        path = path[: path.rindex("/")]
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a page and place: how often it occurs, its text's length and hash."""
+    """One row a page and place: how often it occurs, the length and hash of its own text, the text inside of it and on the whole page, and the page's hash. Text apart isn't counted."""
     for batch in batches:
         rows = []
         for host, key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            blocks, places = parse(page.as_py() or "")
+            blocks, places, marks = parse(page.as_py() or "")
             texts: dict[str, list] = {}
+            whole = body = 0
             for b in blocks:
-                own = texts.setdefault(b.path, [0, 0, b.apart, b.article])
-                own[0] += len(b.text)
-                own[1] = zlib.crc32(b.text.encode(), own[1])
+                if not b.apart:
+                    own = texts.setdefault(b.path, [0, 0])
+                    text = b.text.encode()
+                    own[0] += len(b.text)
+                    own[1] = zlib.crc32(text, own[1])
+                    whole += len(b.text)
+                    body = zlib.crc32(text, body)
+            inside: dict[str, int] = {}
+            for path, (chars, _) in texts.items():
+                for around in _above(path):
+                    inside[around] = inside.get(around, 0) + chars
             for path, n in places.items():
-                rows.append((host, key, path, n, *texts.get(path, (0, 0, False, False))))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "key", "path", "n", "chars", "look", "apart", "article"])
+                rows.append((host, key, path, n, *texts.get(path, (0, 0)), inside.get(path, 0), whole, body, path in marks))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
+        types = (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "key", "path", "n", "chars", "look", "inside", "whole", "body", "mark"])
 
 
 def _deduced(rows: pd.DataFrame) -> pd.DataFrame:
-    """One host's tokens -> its template: the places of content slots, and the places whose text is the template's own."""
-    host = rows["host"].iloc[0]
+    """One host's tokens -> its template: the places of content slots, innermost first, and the places whose text is the template's own."""
     pages = int(rows["pages"].max())
-    content, fixed = "", []
-    if not rows["article"].any():
-        valid = rows[(rows["total"] == rows["pages"]) & (rows["pages"] >= min(SUPPORT, pages))]  # once on each page that has it
-        classes = {key: sorted(own["path"], key=len) for key, own in valid.groupby(["pages", "vector"])}
-        best = 0.0
-        free = rows[~rows["apart"]]
-        for members in classes.values():
-            for path in members:
-                inside = free[(free["path"] == path) | free["path"].str.startswith(path + "/")]
-                # the innermost place of a class that holds nearly all of its hosts' text
-                weight = float(inside["chars"].sum())
-                if weight > best or (weight >= 0.9 * best and path.startswith(content + "/")):
-                    content, best = path, max(best, weight)
-        constant = rows[(rows["pages"] >= SUPPORT) & (rows["chars"] > 0) & (rows["low"] == rows["high"])]
-        whole = float(free["chars"].sum()) or 1.0
-        fixed = [p for p, c in zip(constant["path"], constant["chars"], strict=True) if c < 0.5 * whole]
-    return pd.DataFrame({"host": [host], "content": [content], "fixed": [sorted(fixed)]})
+    share = rows["inside"] / rows["whole"].clip(lower=1)
+    marked = rows[rows["mark"] & (share >= MARKED) & (rows["pages"] >= min(SUPPORT, pages))]
+    slots = set(marked["path"])
+    valid = rows[(rows["total"] == rows["pages"]) & (rows["pages"] >= SUPPORT) & (share >= NEARLY_ALL)]  # once on each page that has it
+    for _, members in valid.groupby(["pages", "vector"]):  # of a class, its innermost such place; a mark bounds it
+        free = [p for p in members["path"] if not any(around in slots for around in _above(p))]
+        if free:
+            slots.add(max(free, key=lambda p: (p.count("/"), p)))
+    # the same text on pages that differ
+    constant = rows[(rows["pages"] >= SUPPORT) & (rows["chars"] > 0) & (rows["low"] == rows["high"]) & (rows["first"] < rows["last"])]
+    fixed = [p for p, c, w in zip(constant["path"], constant["chars"], constant["whole"], strict=True) if c < 0.5 * w]
+    ordered = sorted(slots, key=lambda p: (-p.count("/"), p))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "content": ["\n".join(ordered)], "fixed": [sorted(fixed)]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, content, fixed) from pages (host, key, html): the content slot's place, empty where the pages mark their article themselves, and the places of constant text."""
-    rows = pages.select("host", "key", "html").mapInArrow(_tokens, "host string, key long, path string, n long, chars long, look long, apart boolean, article boolean")
+    """(host, content, fixed) from pages (host, key, html): the content slots' places, a line each and innermost first, and the places of constant text."""
+    schema = "host string, key long, path string, n long, chars long, look long, inside long, whole long, body long, mark boolean"
+    rows = pages.select("host", "key", "html").mapInArrow(_tokens, schema)
     by_token = rows.groupBy("host", "path").agg(
         F.count("*").alias("pages"),
         F.sum("n").alias("total"),
@@ -187,21 +208,26 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum("chars").alias("chars"),
         F.min("look").alias("low"),
         F.max("look").alias("high"),
-        F.max("apart").alias("apart"),
-        F.max("article").alias("article"),
+        F.sum("inside").alias("inside"),
+        F.sum("whole").alias("whole"),
+        F.min("body").alias("first"),
+        F.max("body").alias("last"),
+        F.max("mark").alias("mark"),
     )
     return by_token.groupBy("host").applyInPandas(_deduced, "host string, content string, fixed array<string>")
 
 
+def slot_of(blocks: list[Block], content: str) -> str:
+    """The innermost of the template's slots that holds text of this page; empty if none does."""
+    around = {p for b in blocks for p in _above(b.path)}
+    return next((slot for slot in content.split("\n") if slot in around), "")
+
+
 def main_text(page: str, content: str, fixed: frozenset[str]) -> str:
-    """What stands in the content slots, a line a block. A page that marks its article is read by that mark, any other by its host's template."""
-    blocks = [b for b in parse(page)[0] if not b.apart]
-    marked = [b.text for b in blocks if b.article]
-    if marked:
-        return "\n".join(marked)
-    free = [b for b in blocks if b.path not in fixed]
-    slot = [b.text for b in free if b.path == content or b.path.startswith(content + "/")]
-    return "\n".join(slot or [b.text for b in free])
+    """What stands in the page's content slot without the template's own text, a line a block; all but the template's text if no slot is on the page."""
+    free = [b for b in parse(page)[0] if not b.apart and b.path not in fixed]
+    slot = slot_of(free, content)
+    return "\n".join(b.text for b in free if b.path == slot or b.path.startswith(slot + "/") or not slot)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

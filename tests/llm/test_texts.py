@@ -191,6 +191,21 @@ def test_template_deduction(spark):
     assert extract_text(df.limit(0)).collect() == []
 
 
+def test_template_decides_on_marked_pages(spark):
+    rng = random.Random(16)
+    rows, want = [], {}
+    for k in range(40):  # a host of marked pages, and one with a single marked page
+        lines = [words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+        want[k] = "\n".join(lines)
+        story = "".join(f"<p>{x}</p>" for x in lines)
+        inner = f'<article><div class="box">Read our terms</div>{story}</article>' if k % 2 else f'<div class="box">Read our terms</div><div class="story">{story if k else f"<article>{story}</article>"}</div>'
+        rows.append((k, f"https://h{k % 2}.example/{k}", PAGE.format(body=inner)))
+    rows += [(100 + k, "https://same.example/", PAGE.format(body="<article><h1>Head</h1><p>One and two</p><p>three</p></article>")) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in want} == want
+    assert {got[100 + k] for k in range(4)} == {"Head\nOne and two\nthree"}
+
+
 def test_template_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
     df = spark.createDataFrame([(k, "https://h.example/", "<article><p>x</p></article>") for k in range(20)], "page_id long, url string, html string")
