@@ -4,12 +4,13 @@ A word is predicted from the REACH words on either side, itself masked: a
 network adds a vector for each neighbour by its place, applies tanh, and gives a
 softmax over the classes. Classes are the commonest words of the corpus, and
 for all other words their shape (length, capitals, digits, marks, letters beyond
-ASCII); a word's probability inside a shape class is one over the class's distinct
-words. The sum of the conditional log-probabilities of all its words, each given
+ASCII); a word's probability inside a shape class is its share of the class's words
+in the corpus, smoothed so that a word never seen has some. The sum of the conditional log-probabilities of all its words, each given
 both sides, is a document's score.
 
 Everything is gathered from all documents: the word counts by a shuffle with
-pre-aggregation, the weights by training in every partition on its own whole texts
+pre-aggregation (the commonest words' counts, up to HEAD words, go to every task; all
+others are looked up by a join on the word, so the vocabulary has no limit), the weights by training in every partition on its own whole texts
 and averaging (each partition's weights count by its words).
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raterlake.llm import kernels as K
-from raterlake.llm.store import small_batches
+from raterlake.llm.store import settle, small_batches
 
 REACH = 2
 WIDTH = 12
@@ -31,6 +32,10 @@ WIDTH = 12
 WORDS, SHAPES = 79, 48
 CLASSES = 1 + WORDS + SHAPES
 BATCH = 4096
+#: Words whose counts go to every task, at most (12 bytes each); the others are joined.
+HEAD = 1 << 18
+#: Added to every word's count, seen or not.
+SMOOTH = 0.5
 SIDES = 2 * REACH
 
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -67,23 +72,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Classes of words, and the log-probability of a word inside its class."""
+    """Classes of words, and the log-probability of a word inside its class.
 
-    def __init__(self, common: list[int], distinct: np.ndarray):
+    ``total`` and ``distinct`` count a shape's words beside the commonest; ``head`` (word, n) are those whose counts are at hand.
+    """
+
+    def __init__(self, common: list[int], total: np.ndarray, distinct: np.ndarray, head: tuple[np.ndarray, np.ndarray]):
         values = np.array(common, np.int64).view(np.uint64)
         self.order = np.argsort(values)
         self.words = values[self.order]
-        self.inside = np.zeros(CLASSES)
-        self.inside[1 + WORDS :] = -np.log(np.maximum(distinct, 1))
+        self.whole = np.log(total + SMOOTH * (distinct + 1))
+        words, n = head[0].view(np.uint64), np.asarray(head[1], np.float64)
+        order = np.argsort(words)
+        self.head, self.weight = words[order], np.log(n[order] + SMOOTH).astype(np.float32)
 
-    def classes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, offsets by document, hashes."""
         words, by_doc, starts, ends = K.word_hashes(data, offsets, lower=False)
         out = 1 + WORDS + shapes(data, starts, ends)
         if len(self.words) and len(words):
             at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
             known = self.words[at] == words
             out[known] = 1 + self.order[at[known]]
-        return out, by_doc
+        return out, by_doc, words
+
+    def classes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.split(data, offsets)[:2]
+
+    def inside(self, classes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each word inside its class, and the places of words that have to be joined (0 there)."""
+        out = np.zeros(len(words))
+        rare = np.flatnonzero(classes > WORDS)
+        if not len(self.head):
+            return out, rare
+        own = words[rare]
+        at = np.minimum(np.searchsorted(self.head, own), len(self.head) - 1)
+        found = self.head[at] == own
+        here = rare[found]
+        out[here] = self.weight[at[found]] - self.whole[classes[here] - 1 - WORDS]
+        return out, rare[~found]
 
 
 def contexts(classes: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
@@ -175,25 +202,34 @@ def _trained(shared):
     return run
 
 
-def fit(texts: DataFrame) -> tuple[Vocabulary, Network]:
-    """Counts and weights from all of ``texts`` (one column, text)."""
+def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest words and their counts, at most HEAD: those from the least count on that leaves so few."""
+    step = F.floor(F.log2("n") * 16)
+    left, least = HEAD, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # some hundred rows
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["n"]
+    rows = counts.where(F.col("n") >= least if least is not None else F.lit(False)).select("word", "n").toPandas()
+    return rows["word"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def fit(texts: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
+    """Counts and weights from all of ``texts`` (one column, text), and the table of counts (word, shape, n)."""
     spark = texts.sparkSession
-    counts = texts.mapInArrow(_counts, "word long, shape int, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
-    counts = counts.persist()
-    try:
-        common = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-        distinct = np.zeros(SHAPES)
-        for r in counts.groupBy("shape").agg(F.count("*").alias("n")).collect():  # SHAPES rows
-            distinct[r["shape"]] = r["n"]
-    finally:
-        counts.unpersist()
-    vocabulary = Vocabulary(common, distinct)
+    counts = settle(texts.mapInArrow(_counts, "word long, shape int, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")))
+    common = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    total, distinct = np.zeros(SHAPES), np.zeros(SHAPES)
+    for r in counts.where(~F.col("word").isin(common)).groupBy("shape").agg(F.count("*").alias("distinct"), F.sum("n").alias("n")).collect():  # SHAPES rows
+        total[r["shape"]], distinct[r["shape"]] = r["n"], r["distinct"]
+    vocabulary = Vocabulary(common, total, distinct, _head(counts))
     shared = spark.sparkContext.broadcast((vocabulary, Network().weights()))
-    total = texts.mapInArrow(_trained(shared), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")
-    if not len(total):
-        return vocabulary, Network()
-    value = total["value"].to_numpy()
-    return vocabulary, Network(value[:-1] / value[-1])
+    gathered = texts.mapInArrow(_trained(shared), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")
+    if not len(gathered):
+        return vocabulary, Network(), counts
+    value = gathered["value"].to_numpy()
+    return vocabulary, Network(value[:-1] / value[-1]), counts
 
 
 def _scored(shared):
@@ -202,10 +238,13 @@ def _scored(shared):
         network = Network(weights)
         for batch in batches:
             for lo, hi, data, offsets in K.text_runs(batch.column(1)):
-                classes, by_doc = vocabulary.classes(data, offsets)
-                each = network.log_likelihood(contexts(classes, by_doc), classes) + vocabulary.inside[classes]
+                classes, by_doc, words = vocabulary.split(data, offsets)
+                inside, rare = vocabulary.inside(classes, words)
+                each = network.log_likelihood(contexts(classes, by_doc), classes) + inside
                 total = np.concatenate([[0], np.cumsum(each, dtype=np.float64)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(by_doc).astype(np.int64)), pa.array(total[by_doc[1:]] - total[by_doc[:-1]])], names=["id", "n_words", "log_likelihood"])
+                ends = pa.array(np.searchsorted(rare, by_doc).astype(np.int32))
+                rest = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (words[rare].view(np.int64), (classes[rare] - 1 - WORDS).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(by_doc).astype(np.int64)), pa.array(total[by_doc[1:]] - total[by_doc[:-1]]), *rest], names=["id", "n_words", "log_likelihood", "words", "shapes"])
 
     return run
 
@@ -220,6 +259,13 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    vocabulary, network = fit(rows.where("text is not null").select("text"))
-    out = rows.mapInArrow(_scored(spark.sparkContext.broadcast((vocabulary, network.weights()))), "id long, n_words long, log_likelihood double")
+    vocabulary, network, counts = fit(rows.where("text is not null").select("text"))
+    shared = spark.sparkContext.broadcast((vocabulary, network.weights()))
+    scored = rows.mapInArrow(_scored(shared), "id long, n_words long, log_likelihood double, words array<long>, shapes array<int>")
+    out = settle(scored.withColumn("row", F.monotonically_increasing_id()))
+    rest = out.select("row", F.explode(F.arrays_zip("words", "shapes")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.shapes").alias("shape"))
+    whole = F.array(*(F.lit(float(x)) for x in vocabulary.whole))
+    inside = F.log(F.coalesce("n", F.lit(0)) + SMOOTH) - F.element_at(whole, F.col("shape") + 1)
+    added = rest.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(F.sum(inside).alias("added"))
+    out = out.drop("words", "shapes").join(added, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("added", F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))

@@ -285,5 +285,23 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("head", [0, 100, 1 << 18])
+def test_pseudo_likelihood_tells_words_of_a_shape_apart(spark, monkeypatch, head):
+    """Seldom words for common ones of the same shape score lower, whether counts are at hand or joined."""
+    monkeypatch.setattr("raterlake.llm.pseudolm.HEAD", head, raising=False)
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrst"
+    usual = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(300)]
+    docs = [(k, " ".join(rng.choices(usual, k=100))) for k in range(200)]
+    docs += [(k, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(100))) for k in range(200, 210)]
+    docs += [(None, docs[0][1])]
+    out = {r["doc_id"]: r for r in pseudo_likelihood(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert max(out[k]["per_word"] for k in range(200, 210)) < min(out[k]["per_word"] for k in range(200)) - 1
+    assert out[None]["log_likelihood"] == pytest.approx(out[0]["log_likelihood"]) and len(out) == 211
+    tokens = " ".join(t for _, t in docs).split()
+    rare = [w for w in set(tokens) if tokens.count(w) == 1]
+    assert len(rare) > 900
+
+
 def test_plan_of_nothing():
     assert packing.plan({}, 8) == []
