@@ -6,7 +6,8 @@ stands in it stands whole in one window, and their similarity is at least 0.19
 however long the document is. A window is a candidate if one of its HASHES minima
 equals the item's; an item with four fifths of its shingles in one window is missed
 with probability 0.81^64 = 1e-6. Candidates are confirmed by exact containment
-of the item's shingles in the whole document.
+of the item's shingles in the whole document. Items of one or two shingles are looked
+up by the shingles themselves.
 
 The items are gone through in blocks of a bounded number of shingles; each block is
 an index that every task gets, and no row is shuffled.
@@ -26,6 +27,8 @@ from raterlake.llm.store import settle, small_batches
 
 HASHES = 64
 _MULTIPLIERS = K.constants(31, HASHES)
+#: Items of so many shingles or fewer are looked up by each shingle, as their share of a window is too small for minima.
+FEW = 2
 #: A block of items holds about so many shingles: 8 MB, and as much again for each 8 items' minima.
 BLOCK_SHINGLES = 1_000_000
 
@@ -60,12 +63,17 @@ class _Index:
         self.items = [r["item"] for r in rows]
         self.sets = [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
         self.short: dict[int, dict[int, list[int]]] = {}
+        self.few: dict[int, list[int]] = {}
         classes: dict[int, list[int]] = {}
         for i, r in enumerate(rows):
             if r["width"] < n:
                 self.short.setdefault(r["width"], {}).setdefault(int(self.sets[i][0]), []).append(i)
+            elif len(self.sets[i]) <= FEW:
+                for value in self.sets[i]:
+                    self.few.setdefault(int(value), []).append(i)
             else:
                 classes.setdefault(max(8, 1 << (r["long"] - 1).bit_length()), []).append(i)
+        self.few_values = np.array(list(self.few), np.uint64)
         self.classes = []
         for block in sorted(classes):
             own = classes[block]
@@ -125,7 +133,11 @@ def _search(shared, percent: int):
                 out = []
                 values, at = K.shingles(words, by_doc, index.n, short=False)
                 by_document: dict[int, list[int]] = {}
-                for d, i in _candidates(index, values, at):
+                found = _candidates(index, values, at)
+                if index.few:
+                    hit = np.flatnonzero(np.isin(values, index.few_values))
+                    found.update((int(d), i) for d, h in zip(np.searchsorted(at, hit, "right") - 1, hit, strict=True) for i in index.few[int(values[h])])
+                for d, i in found:
                     by_document.setdefault(d, []).append(i)
                 for d, items in by_document.items():
                     own = np.unique(values[at[d] : at[d + 1]])

@@ -67,6 +67,22 @@ def test_leaks_in_blocks(spark, monkeypatch):
     assert got == {(k, k) for k, _ in items}
 
 
+def test_leaks_of_few_shingles():
+    """Items of five and six words, within documents and at their ends, are all found."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from raterlake.llm import decontam
+
+    rng = random.Random(17)
+    items = [words(rng, 5 + k % 2, 10**6) for k in range(3000)]
+    docs = [" ".join([words(rng, 40 * (k % 3), 10**6), t, words(rng, 40, 10**6)]) for k, t in enumerate(items)]
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    index = decontam._Index([r for b in decontam._item_sets(5)(iter([batch(items)])) for r in b.to_pylist()], 5)
+    found = {(r["id"], r["item_id"], r["n_shared"]) for b in decontam._search(SimpleNamespace(value=index), 80)(iter([batch(docs)])) for r in b.to_pylist()}
+    assert found == {(k, k, 1 + k % 2) for k in range(3000)}
+
+
 def best_fit(lengths, window):
     open_, out = [], 0
     for x in sorted(lengths, reverse=True):
