@@ -5,8 +5,8 @@ pre-token crosses: before a single space between two characters that are not whi
 space. Over the leaves stands a segment tree of character and token sums. An edit
 finds its leaves by descending the character sums, takes in a neighbour wherever
 the cut beside it is no longer such a place, encodes only that region, and updates
-the sums up to the root. BPE never joins pre-tokens, so the root is the count that
-encoding the whole edited text would give.
+the sums up to the root. BPE never joins pre-tokens, and no added token of the vocabulary
+holds a space, so the root is the count that encoding the whole edited text would give.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ class TokenTree:
     @classmethod
     def of(cls, text: str, path: str | None = None) -> TokenTree:
         leaves = pieces(text)
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         return cls(leaves, [len(encode(x)) for x in leaves], path)
 
     def _build(self, leaves: list[str], tokens: list[int]) -> None:
@@ -110,7 +110,7 @@ class TokenTree:
                 continue
             break
         fresh = pieces(region)
-        counts = [len(encoder(self.path).encode_ordinary(x)) for x in fresh]
+        counts = [len(encoder(self.path)(x)) for x in fresh]
         self.encoded += len(region)
         room = last - first + 1
         if len(fresh) > room:  # more leaves than there were: the tree is built anew, without encoding
@@ -181,8 +181,8 @@ def apply_edits(trees: DataFrame, edits: DataFrame, tokenizer_path: str | None =
     return joined.mapInArrow(_edited(tokenizer_path), "id long, text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens_before long, n_edits long, n_tokens long, n_chars_encoded long")
 
 
-#: What redactions() masks: mail addresses, long runs of digits (with single marks between), long hexadecimal strings.
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
+#: What redactions() masks: mail addresses of any length, long runs of digits (with single marks between), long hexadecimal strings.
+_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _NUMBER = re.compile(r"\+?\d(?:[ ().-]{0,2}\d){8,}")
 _HEX = re.compile(r"\b[0-9a-f]{32,}\b")
 

@@ -98,7 +98,7 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[int, int, int, in
 
 def _pieces(path: str | None, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -130,7 +130,9 @@ def pack(docs: DataFrame, window: int = 2048, id_col: str = "doc_id", text_col:
 
     A document is its token ids and the end id 1. Documents over ``window`` tokens
     are first cut into full windows; what is left of them, and shorter documents,
-    are packed by best-fit decreasing. A null or empty text is the end id alone.
+    are packed by best-fit decreasing. A null or empty text is the end id alone. A
+    string of the vocabulary's added tokens (<|endoftext|>) in a text is that one id,
+    as the vocabulary's library has it by default.
     Rows with equal or null ids are documents of their own. Other columns are ignored.
     """
     spark = docs.sparkSession

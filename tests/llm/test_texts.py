@@ -124,9 +124,8 @@ def test_pack(spark):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     rng = random.Random(3)
-    texts = ["", None, "<|endoftext|>", "é " * 50, words(rng, 3000), "x" * 9000, " \n\t "] + [words(rng, rng.randint(1, 900)) for _ in range(40)] + ["same"] * 20
+    texts = ["", None, "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "é " * 50, words(rng, 3000), "x" * 9000, " \n\t "] + [words(rng, rng.randint(1, 900)) for _ in range(40)] + ["same"] * 20
     df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, rank int")
     got = pack(df, 256).toPandas()
     for k, t in enumerate(texts):
@@ -144,8 +143,25 @@ def test_pack(spark):
     assert len(twice) == 4 and twice.groupby("sequence_id").offset.nunique().sum() == 4
 
 
+def test_ids_are_those_of_the_library():
+    """Some thousands of odd strings, the library's settings as they are."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact, encode, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), encoder(), random.Random(23)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "é", "e\u0301", "ﬁ", "漢字", "😀", "\x00", "'s", "'ll", "12", "½", "...", "the", " The", "_", "\ufeff", "\u200d", "A"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    for t, e in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t) == e.ids, t
+
+
+def test_mail_addresses_of_any_length(spark):
+    docs = spark.createDataFrame([(1, "to " + "m" * 500 + "@mail.example now"), (2, "@x.y a@b @"), (3, "x" * 200_000)], "doc_id long, text string")
+    assert [(r["id"], r["start"], r["stop"]) for r in redactions(docs).collect()] == [(1, 3, 3 + 500 + 13)]
+
+
 def test_token_tree():
-    encode = encoder().encode_ordinary
+    encode = encoder()
     rng = random.Random(1)
     for _ in range(60):
         t = "".join(rng.choice(["foo", " bar", " ", "\n", "baz's", "12", " é", "  ", "!!", " the"]) for _ in range(rng.choice([0, 5, 400, 2000])))
@@ -167,7 +183,7 @@ def test_edits_touch_little():
 
 
 def test_apply_edits(spark):
-    encode = encoder().encode_ordinary
+    encode = encoder()
     docs = spark.createDataFrame([(1, "Mail a.b@c.example now, call +1 (456) 555-2186 ok"), (2, None), (3, "plain"), (None, "x"), (3, "again")], "doc_id long, text string")
     out = apply_edits(token_trees(docs), redactions(docs)).collect()
     one = next(r for r in out if r["id"] == 1)
