@@ -5,7 +5,8 @@ run over a window's bytes, each keeps its largest answer (max pooling), and a
 softmax over these gives the languages' probabilities. On one-hot bytes a filter
 of width w is the sum of w table look-ups, so batches of windows need no large
 products. A text's log-probabilities are the means over its windows, every byte
-counted. The network is trained in numpy on a bounded sample of texts a language.
+counted. The network is trained in numpy on a bounded number of texts a language,
+all windows of each.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from raterlake.llm.store import small_batches
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Texts a language that the network is trained on at most, and windows of each.
-TRAIN_TEXTS, TRAIN_WINDOWS = 500, 6
-SALTS = 64
+#: Texts a language that the network is trained on at most.
+TRAIN_TEXTS = 500
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -137,45 +137,63 @@ def _scored(shared):
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to TRAIN_WINDOWS windows of each whole text, and two short pieces, as short texts are windows filled with zeros."""
+    """All windows of each text, and two short pieces, as short texts are windows filled with zeros."""
     for batch in batches:
-        ids, langs = batch.column(0).to_pylist(), batch.column(1)
+        langs, keys = batch.column(0), batch.column(1).to_pylist()
         for lo, hi, data, offsets in K.text_runs(batch.column(2)):
-            x, doc, filled = windows(folded(data), offsets)
-            at = np.searchsorted(doc, np.arange(hi - lo + 1))
-            out, of = [], []
-            for d in range(hi - lo):
-                rng = np.random.default_rng(abs(ids[lo + d]))
-                pick = at[d] + rng.permutation(at[d + 1] - at[d])[:TRAIN_WINDOWS]
-                out += [x[p].tobytes() for p in pick]
-                for size in rng.integers(6, 100, 2):
-                    piece = x[pick[0]].copy()
-                    piece[size:] = 0
-                    out.append(piece.tobytes())
-                of += [lo + d] * (len(pick) + 2)
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(of, pa.int64())), pa.array(out, pa.binary())], names=["lang", "window"])
+            x, doc, _ = windows(folded(data), offsets)
+            first = np.searchsorted(doc, np.arange(hi - lo))
+            pieces = np.repeat(first, 2)
+            short = x[pieces]
+            sizes = np.concatenate([np.random.default_rng(abs(k)).integers(6, 100, 2) for k in keys[lo:hi]])
+            short[np.arange(WINDOW)[None, :] >= sizes[:, None]] = 0
+            of = pa.array(lo + np.concatenate([doc, doc[pieces]]))
+            rows = np.concatenate([x, short])
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))])
+            yield pa.RecordBatch.from_arrays([langs.take(of), flat.cast(pa.binary())], names=["lang", "window"])
+
+
+def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int) -> DataFrame:
+    """(lang, key, text) of at most ``texts`` texts a language, the first by a hash of their id among those not held out.
+
+    Each language is first cut down by a bound on the hash that leaves somewhat
+    more rows than wanted, so that no task ranks a whole language. Rows that
+    repeat an id count once, by their least text.
+    """
+    usable = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "") & F.col(id_col).isNotNull()
+    known = docs.where(usable & ~held_out(id_col, 4, 2)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("key"), F.col(text_col).alias("text"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.shiftrightunsigned("key", 11) / F.lit(2.0**53)
+    few = known.select("lang", "key").join(F.broadcast(counts) if counts.count() <= BROADCAST_LANGS else counts, "lang").where(place * F.col("n") < 2 * texts + 100).select("lang", "key").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 11), "key"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= texts).select("lang", "key")
+    return known.join(F.broadcast(chosen) if counts.count() <= BROADCAST_LANGS else chosen, ["lang", "key"]).groupBy("lang", "key").agg(F.min("text").alias("text"))
+
+
+#: Up to so many languages, their counts and the keys of the chosen texts go to every task.
+BROADCAST_LANGS = 1_000
 
 
 def fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = TRAIN_TEXTS) -> Network | None:
-    """A network trained on at most ``texts`` texts a language, the first by a hash of their id among those not held out; None if there are none."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "") & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = known.select("id", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
-    for parts in (["lang", "salt"], ["lang"]):  # a language of a third of all rows is first cut down in SALTS parts
-        chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= texts)
-    chosen = chosen.select("id", "lang")
-    rows = sorted((r["lang"], bytes(r["window"])) for r in known.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text").mapInArrow(_sampled, "lang string, window binary").collect())
-    if not rows:
+    """A network trained on all windows of training_texts(); None if there are none."""
+    chosen = training_texts(docs, id_col, text_col, lang_col, texts).select("lang", "key", "text")
+    table = chosen.mapInArrow(_sampled, "lang string, window binary").toArrow()
+    if not table.num_rows:
         return None
-    languages = sorted({lang for lang, _ in rows})
-    x = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
-    return Network(languages).train(x, np.array([languages.index(lang) for lang, _ in rows]))
+    x = np.frombuffer(b"".join(table["window"].to_pylist()), np.uint8).reshape(-1, WINDOW)
+    languages = sorted(set(table["lang"].to_pylist()))
+    y = np.searchsorted(languages, table["lang"].to_pylist())
+    order = np.lexsort((x.view(f"S{WINDOW}").ravel(), y))  # the same order whatever the partitions
+    return Network(languages).train(x[order], y[order])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_texts: int = TRAIN_TEXTS) -> DataFrame:
     """(id, held_out, lang_pred, score): one row a document.
 
     ``und`` with score 0 if the text is null or has no letter, or if there is
-    nothing to learn from. Repeated rows are predicted each. Other columns are ignored.
+    nothing to learn from. Repeated rows are predicted each; a null id is not held
+    out and teaches nothing. Other columns are ignored, whatever their names. The
+    network learns from at most ``train_texts`` texts a language.
     """
     spark = docs.sparkSession
     small_batches(spark)

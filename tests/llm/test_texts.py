@@ -11,6 +11,7 @@ from raterlake.llm import edits, html, packing
 from raterlake.llm.decontam import leaked_items
 from raterlake.llm.edits import TokenTree, apply_edits, redactions, token_trees
 from raterlake.llm.html import extract_text, main_text
+from raterlake.llm import langid
 from raterlake.llm.langid import identify
 from raterlake.llm.packing import CapacityTree, pack, plan
 from raterlake.llm.pseudolm import BATCH, CLASSES, Network, contexts, pseudo_likelihood
@@ -283,6 +284,75 @@ def test_language(spark):
     assert identify(bare).first()["lang_pred"] == "und" and identify(bare.limit(0)).collect() == []
 
 
+def test_language_training_texts(spark):
+    """At most so many texts a language, repeated rows once, and every window of each."""
+    rows = [(k, f"text {k}", "en" if k % 3 else "fr") for k in range(3000)] + [(4, "text 4", "en")] * 500 + [(7001, None, "en"), (None, "x", "en"), (7002, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_texts(df, "doc_id", "text", "lang", 50).toPandas()
+    assert got.groupby("lang").size().to_dict() == {"en": 50, "fr": 50} and got.text.nunique() == 100
+    assert all(zlib.crc32(t.split()[1].encode()) % 4 != 2 for t in got.text)
+    every = langid.training_texts(df, "doc_id", "text", "lang", 5000).toPandas()
+    assert len(every) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(3000))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "fr"]), pa.array([5, -6]), pa.array(["é" * 2000, "short"])], names=["lang", "key", "text"])
+    out = list(langid._sampled(iter([batch])))[0]
+    assert out.column(0).to_pylist().count("en") == -(-4000 // langid.WINDOW) + 2 and out.column(0).to_pylist().count("fr") == 3
+
+
+def naive_answers(network, x):
+    """Filters over the bytes one place at a time, the largest kept."""
+    out = []
+    for row in x:
+        own = []
+        for tables, bias in zip(network.tables, network.bias, strict=True):
+            for f in range(langid.FILTERS):
+                own.append(max(0.0, max(sum(float(tables[j][row[p + j]][f]) for j in range(len(tables))) for p in range(len(row) - len(tables) + 1)) + float(bias[f])))
+        out.append(own)
+    return np.array(out)
+
+
+def test_convolution_is_the_naive_one():
+    rng = np.random.default_rng(4)
+    network = langid.Network(["a", "b", "c"])
+    network.bias = [rng.normal(0, 0.5, langid.FILTERS).astype(np.float32) for _ in langid.WIDTHS]
+    x = rng.integers(0, 256, (5, 40), dtype=np.uint8)
+    want = naive_answers(network, x)
+    assert np.allclose(network.pooled(x)[0], want, atol=1e-4)
+    logits = want @ network.out + network.out_bias
+    assert np.allclose(np.exp(network.log_probabilities(x)), np.exp(logits) / np.exp(logits).sum(1, keepdims=True), atol=1e-4)
+
+
+def test_convolution_gradient():
+    """One small step lowers the loss by the squared length of its gradient."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 256, (32, 60), dtype=np.uint8), rng.integers(0, 3, 32)
+    network = langid.Network(["a", "b", "c"])
+    loss = lambda n: -n.log_probabilities(x)[np.arange(32), y].mean()
+    before, old = loss(network), [v.copy() for v in (*network.tables, *network.bias, network.out, network.out_bias)]
+    network.train(x, y, epochs=1, batch=32, rate=1e-3)
+    new = [*network.tables, *network.bias, network.out, network.out_bias]
+    # Adagrad's first step: rate * g / sqrt(0.01 + g * g), from which g follows
+    drop = 0.0
+    for o, n in zip(old, new, strict=True):
+        step = (o - n).astype(np.float64) / 1e-3
+        g = 0.1 * step / np.sqrt(np.maximum(1 - step**2, 1e-9))
+        drop += float((g * step).sum()) * 1e-3
+    assert float(before - loss(network)) == pytest.approx(drop, rel=0.1)
+
+
+def test_language_odd_rows(spark):
+    """Repeated rows, columns with the result's names, a very long text, the same result whatever the partitions."""
+    rows = [(k, ("the and of " if k % 2 else "le la que ") * (k % 40 + 1), "en" if k % 2 else "fr", "x", 1.0) for k in range(200)] + [(3, "the and", "en", "x", 1.0)] * 3 + [(999, "the and " * 100_000, None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    out = identify(df).toPandas()
+    assert out.columns.tolist() == ["doc_id", "held_out", "lang_pred", "score"] and len(out) == 204
+    assert (out[out.doc_id == 3].lang_pred == "en").all() and out[out.doc_id == 999].lang_pred.item() == "en"
+    again = identify(df.repartition(7)).toPandas()
+    key = ["doc_id", "score"]
+    assert np.allclose(out.sort_values(key).score.to_numpy(), again.sort_values(key).score.to_numpy())
+
+
 def test_contexts():
     around = contexts(np.array([5, 6, 7, 8]), np.array([0, 3, 4]))
     assert around.tolist() == [[0, 0, 6, 7], [0, 5, 7, 0], [5, 6, 0, 0], [0, 0, 0, 0]]
