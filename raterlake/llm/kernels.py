@@ -42,18 +42,22 @@ def constants(seed: int, n: int) -> np.ndarray:
 
 
 _BYTES = constants(11, 256)
+#: A second set of values and base, for hashes that are independent of the first.
+_BYTES_2, _BASE_2 = constants(12, 256), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE_2_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(n: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
+    base, inverse = (_BASE_2, _BASE_2_INVERSE) if second else (_BASE, _BASE_INVERSE)
+    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(21, int(n).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(size, second)
     return up[:n], down[:n]
 
 
@@ -94,16 +98,16 @@ def spans(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash of bytes or of 64-bit tokens; with span_hash it gives the hash of any span of them in O(1)."""
-    values = _BYTES[data] if data.dtype == np.uint8 else data
+def prefix(data: np.ndarray, second: bool = False) -> np.ndarray:
+    """Running polynomial hash of bytes or of 64-bit tokens; with span_hash it gives the hash of any span of them in O(1). ``second`` gives a hash independent of the first."""
+    values = (_BYTES_2 if second else _BYTES)[data] if data.dtype == np.uint8 else mix(data) if second else data
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values * powers(len(data))[0], dtype=np.uint64, out=total[1:])
+    np.cumsum(values * powers(len(data), second)[0], dtype=np.uint64, out=total[1:])
     return total
 
 
-def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((total[ends] - total[starts]) * powers(len(total))[1][starts] + (ends - starts).astype(np.uint64))
+def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * powers(len(total), second)[1][starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, loose: bool = False):

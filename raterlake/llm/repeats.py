@@ -20,8 +20,14 @@ still may repeat go deeper:
 4. window digit. Of the runs left, every window is ordered through its whole depth.
 
 Groups that are equal after the last pass are exactly the repeated windows.
-Digits are compared as 64-bit hashes. Groups are streamed in order, with one
-row carried from batch to batch, so a passage that a third of the documents
+Digits are compared as hashes: an anchor by 64 bits, a run by 96 more, a window by
+128, made of two polynomials with different bases and values, so that a false
+repeat is not to be expected at any size of a corpus (10^14 windows make 10^28
+pairs, and 2^128 is 3 * 10^38); whole texts are compared by sha-256.
+
+Before rows are shuffled, runs and windows that another document of the same
+megabyte of text has are settled there: but for the least document's they are
+repeats, and go to any task. Groups are streamed in order, with one row carried from batch to batch, so a passage that a third of the documents
 share needs no more memory than any other.
 """
 
@@ -35,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raterlake.llm import kernels as K
-from raterlake.llm.store import keep_ids, settle, small_batches
+from raterlake.llm.store import drop, keep_ids, settle, small_batches
 
 #: Tokens of an anchor.
 DIGIT = 16
@@ -43,6 +49,8 @@ DIGIT = 16
 LONGEST = 1 << 14
 #: Stands for all of a text.
 WHOLE = -1
+#: A text's copies are dealt over so many tasks.
+SALTS = 16
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, unit: str):
@@ -52,7 +60,25 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, unit: str):
     return K.word_hashes(data, offsets, lower=False)
 
 
+def _settled(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> np.ndarray:
+    """Which rows have keys that a smaller id among these rows has too."""
+    order = np.lexsort((ids, *keys[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    out = np.zeros(len(order), bool)
+    sorted_ids = ids[order]
+    out[order] = sorted_ids > sorted_ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def _anywhere(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A first digit that deals rows out evenly."""
+    return K.mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64)
+
+
 def _run_rows(length: int, unit: str):
+    """Texts -> runs; a run that is settled as a repeat has ~at for at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -62,35 +88,40 @@ def _run_rows(length: int, unit: str):
                 if not room.any():
                     continue
                 n = len(tokens) - DIGIT + 1
-                total = K.prefix(tokens)
+                total, total_2 = K.prefix(tokens), K.prefix(tokens, second=True)
                 at = np.arange(n)
                 hashed = K.span_hash(total, at, at + DIGIT)
                 ok = np.zeros(len(tokens) + 1, np.int8)
                 np.add.at(ok, by_doc[:-1][room], 1)
                 np.add.at(ok, by_doc[1:][room] - length + 1, -1)
                 first, last, anchor = K.anchors(hashed, np.cumsum(ok[:n], dtype=np.int8) > 0, length - DIGIT + 1)
+                if not len(first):
+                    continue
                 doc = np.searchsorted(by_doc, first, "right") - 1
                 begin = first - by_doc[doc]
                 size = last - first + length
                 half = (length - DIGIT) // 2
-                left = K.span_hash(total, np.maximum(anchor - half, 0), anchor + DIGIT) >> np.uint64(48)
-                right = K.span_hash(total, anchor, np.minimum(anchor + DIGIT + half, len(tokens))) >> np.uint64(48)
+                # a side stops where the run does: no window reaches further there
+                left = K.span_hash(total, np.maximum(anchor - half, first), anchor + DIGIT) >> np.uint64(48)
+                right = K.span_hash(total, anchor, np.minimum(anchor + DIGIT + half, first + size)) >> np.uint64(48)
                 sides = ((left << np.uint64(16)) | right).astype(np.uint32).view(np.int32)
-                if not len(first):
-                    continue
                 digit, span = hashed[anchor].view(np.int64), K.span_hash(total, first, first + size).view(np.int64)
-                row, size = _merged(doc, digit, span, begin, size)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit[row], span[row], ids[lo:hi][doc[row]].astype(np.int64), (begin[row] << 16) | size, sides[row])], names=["anchor", "span", "id", "at", "sides"])
+                check = (K.span_hash(total_2, first, first + size, second=True) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                row, size = _merged(doc, digit, span, check, begin, size)
+                digit, span, check, sides, own, where = digit[row], span[row], check[row], sides[row], ids[lo:hi][doc[row]].astype(np.int64), (begin[row] << 16) | size
+                done = _settled((digit, span, check), own)
+                digit[done], span[done], check[done], sides[done], where[done] = _anywhere(own[done], where[done]), 0, 0, 0, ~where[done]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit, span, check, own, where, sides)], names=["anchor", "span", "check", "id", "at", "sides"])
 
     return run
 
 
-def _merged(doc: np.ndarray, anchor: np.ndarray, span: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(doc: np.ndarray, anchor: np.ndarray, span: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal runs of a document that overlap, as in a text that repeats a word, become one: the first one's row number and the tokens they cover together."""
-    order = np.lexsort((begin, span, anchor, doc))
-    d, a, s, b, n = (x[order] for x in (doc, anchor, span, begin, size))
+    order = np.lexsort((begin, check, span, anchor, doc))
+    d, a, s, c, b, n = (x[order] for x in (doc, anchor, span, check, begin, size))
     new = np.ones(len(order), bool)
-    new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (b[1:] > b[:-1] + n[:-1]) | (b[1:] // LONGEST != b[:-1] // LONGEST)
+    new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (b[1:] > b[:-1] + n[:-1]) | (b[1:] // LONGEST != b[:-1] // LONGEST)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(order)) - 1
     return order[first], b[last] + n[last] - b[first]
@@ -110,28 +141,33 @@ def _shared(group: np.ndarray, i: np.ndarray, sides: np.ndarray) -> np.ndarray:
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, span, id) -> rows that repeat a smaller document's run (open = false) and rows to order further (open = true).
+    """Rows sorted by (anchor, span, check, id) -> rows that repeat a smaller document's run (open = false) and rows to order further (open = true).
 
     A group is ordered further if it has several kinds of run and several
     documents. Carried from batch to batch: of such a group its last row's anchor,
     span and owner; of another the rows that may still be ordered further, which
     are rows of one document.
     """
-    carry = None  # (anchor, span, owner)
-    held, held_mixed = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32)), False
+    carry = None  # (anchor, span, check, owner)
+    held, held_mixed = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32)), False
     for batch in batches:
-        if not batch.num_rows:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+        done = columns[4] < 0
+        if done.any():
+            yield pa.RecordBatch.from_arrays([pa.array(columns[3][done]), pa.array(~columns[4][done]), pa.array(np.zeros(done.sum(), bool))], names=["id", "at", "open"])
+            columns = [c[~done] for c in columns]
+        if not len(columns[0]):
             continue
         waiting = len(held[0]) > 0
-        a, s, i, at, sides = (np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for c, h in enumerate(held))
+        a, s, check, i, at, sides = (np.concatenate([h, c]) for h, c in zip(held, columns, strict=True))
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         new_s = np.ones(len(a), bool)
-        new_s[1:] = new_a[1:] | (s[1:] != s[:-1])
+        new_s[1:] = new_a[1:] | (s[1:] != s[:-1]) | (check[1:] != check[:-1])
         if carry is not None:
             new_a[0] = a[0] != carry[0]
-            new_s[0] = new_a[0] or s[0] != carry[1]
-        owner = np.concatenate([[carry[2] if carry is not None else 0], i[new_s]])[np.cumsum(new_s)]
+            new_s[0] = new_a[0] or s[0] != carry[1] or check[0] != carry[2]
+        owner = np.concatenate([[carry[3] if carry is not None else 0], i[new_s]])[np.cumsum(new_s)]
         group = np.cumsum(new_a)
         last = group[-1]
         kinds, mixed = np.zeros(last + 1, bool), np.zeros(last + 1, bool)
@@ -148,14 +184,16 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened[inner] = _shared(group[inner], i[inner], sides[inner])
         out = repeated | opened
         if several[last]:
-            carry, held = (a[-1], s[-1], owner[-1]), tuple(x[:0] for x in held)
+            carry, held = (a[-1], s[-1], check[-1], owner[-1]), tuple(x[:0] for x in held)
         else:
             keep = (group == last) & ~repeated
-            carry, held, held_mixed = None, (a[keep], s[keep], i[keep], at[keep], sides[keep]), bool(mixed[last])
+            carry, held, held_mixed = None, (a[keep], s[keep], check[keep], i[keep], at[keep], sides[keep]), bool(mixed[last])
         yield pa.RecordBatch.from_arrays([pa.array(i[out]), pa.array(at[out]), pa.array(opened[out])], names=["id", "at", "open"])
 
 
 def _window_rows(length: int, unit: str):
+    """Texts and their open runs -> windows; one that is settled as a repeat has ~start for start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, runs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
@@ -172,31 +210,35 @@ def _window_rows(length: int, unit: str):
                 absolute = by_doc[doc] + where
                 good = absolute + length <= by_doc[doc + 1]
                 where, doc, absolute = where[good], doc[good], absolute[good]
-                total = K.prefix(tokens)
-                hashed = K.span_hash(total, absolute, absolute + length)
-                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), pa.array(ids[lo:hi][doc].astype(np.int64)), pa.array(where.astype(np.int64))], names=["window", "id", "start"])
+                window = K.span_hash(K.prefix(tokens), absolute, absolute + length).view(np.int64)
+                check = K.span_hash(K.prefix(tokens, second=True), absolute, absolute + length, second=True).view(np.int64)
+                own, where = ids[lo:hi][doc].astype(np.int64), where.astype(np.int64)
+                done = _settled((window, check), own)
+                window[done], check[done], where[done] = _anywhere(own[done], where[done]), 0, ~where[done]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (window, check, own, where)], names=["window", "check", "id", "start"])
 
     return run
 
 
 def _later_windows(length: int):
-    """Rows sorted by (window, id) -> those whose document isn't the group's least."""
+    """Rows sorted by (window, check, id) -> those whose document isn't the group's least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = (0, -1)
-        fresh = True
+        carry = None  # (window, check, owner)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            w, i, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            new = np.ones(len(w), bool)
-            new[1:] = w[1:] != w[:-1]
-            if not fresh:
-                new[0] = w[0] != carry[0]
-            owner = np.concatenate([[carry[1]], i[new]])[np.cumsum(new)]
-            carry, fresh = (w[-1], owner[-1]), False
-            out = i > owner
-            yield pa.RecordBatch.from_arrays([pa.array(i[out]), pa.array((start[out] << 16) | length)], names=["id", "at"])
+            w, c, i, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            done = start < 0
+            own, places = [i[done]], [~start[done]]
+            if not done.all():
+                w, c, i, start = (x[~done] for x in (w, c, i, start))
+                new = np.ones(len(w), bool)
+                new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+                new[0] = carry is None or (w[0], c[0]) != carry[:2]
+                owner = np.concatenate([[carry[2] if carry else 0], i[new]])[np.cumsum(new)]
+                carry = (w[-1], c[-1], owner[-1])
+                own.append(i[i > owner])
+                places.append(start[i > owner])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array((np.concatenate(places) << 16) | length)], names=["id", "at"])
 
     return run
 
@@ -205,17 +247,19 @@ def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """(id, at): stretches of ``docs`` (id, text) that a smaller id also has, as ``start << 16 | tokens``, or WHOLE; they may overlap."""
     known = docs.where("id is not null and text is not null")
     digests = settle(known.select("id", F.unhex(F.sha2("text", 256)).alias("digest")))
-    groups = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    groups = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     one_text = digests.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a = b").select("id")
-    copies = settle(digests.join(groups, "digest").where("id > least").select("id").distinct().join(one_text, "id", "left_semi"))
+    salted = digests.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = settle(salted.join(groups, ["digest", "salt"]).where("id > least").select("id").distinct().join(one_text, "id", "left_semi"))
+    drop(digests)
     whole = copies.select("id", F.lit(WHOLE).cast("long").alias("at"))
     known = keep_ids(known, copies, "left_anti")
-    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span long, id long, at long, sides int")
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "id")
+    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span long, check int, id long, at long, sides int")
+    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "check", "id")
     found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean"))
     deeper = known.join(found.where("open").groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")
-    windows = deeper.mapInArrow(_window_rows(length, unit), "window long, id long, start long")
-    last = windows.repartition("window").sortWithinPartitions("window", "id").mapInArrow(_later_windows(length), "id long, at long")
+    windows = deeper.mapInArrow(_window_rows(length, unit), "window long, check long, id long, start long")
+    last = windows.repartition("window").sortWithinPartitions("window", "check", "id").mapInArrow(_later_windows(length), "id long, at long")
     return found.where("not open").select("id", "at").unionByName(settle(last)).unionByName(whole)
 
 

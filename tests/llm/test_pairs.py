@@ -127,10 +127,11 @@ def test_repeats_streams_groups_over_batches(spark):
 
     rng = np.random.default_rng(0)
     n = 400
-    cols = [np.sort(rng.integers(0, 40, n)), rng.integers(0, 3, n).astype(np.int32), rng.integers(0, 6, n), np.arange(n) << 16 | 60, rng.integers(0, 4, n).astype(np.int32)]
-    order = np.lexsort((cols[2], cols[1], cols[0]))
+    cols = [np.sort(rng.integers(0, 40, n)), rng.integers(0, 3, n), rng.integers(0, 2, n).astype(np.int32), rng.integers(0, 6, n), np.arange(n) << 16 | 60, rng.integers(0, 4, n).astype(np.int32)]
+    cols[4][::17] = ~cols[4][::17]
+    order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
     cols = [c[order] for c in cols]
-    names = ["anchor", "span", "id", "at", "sides"]
+    names = ["anchor", "span", "check", "id", "at", "sides"]
 
     def run(size):
         batches = [pa.RecordBatch.from_arrays([pa.array(c[s : s + size]) for c in cols], names=names) for s in range(0, n, size)]
@@ -143,6 +144,58 @@ def test_repeats_streams_groups_over_batches(spark):
         assert removed == whole[0] and opened >= whole[1]
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_repeats_with_colliding_digits(unit, monkeypatch):
+    """With four bits of the first hash and six of the second, few texts and no Spark: no false repeat, none missed."""
+    from itertools import islice
+
+    import pyarrow as pa
+    from raterlake.llm import kernels as K
+
+    whole = K.span_hash
+    rng = random.Random(31)
+    length = 20
+    shared = [" ".join(text(rng, 30)) for _ in range(3)]
+    rows = [(k, " ".join(text(rng, rng.randint(0, 40)) + [rng.choice(shared)] * (k % 3 > 0) + text(rng, rng.randint(0, 40)))) for k in range(40)]
+    rows += [(100 + k, "q" * 30 + "".join(rng.choice("ab") for _ in range(40))) for k in range(60)]
+    want = brute_repeats(rows, length, unit)
+
+    def removed():
+        def batches(data, names):
+            it = iter(data)
+            while part := list(islice(it, 37)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part]) for c in range(len(names))], names=names)
+
+        def ordered(out, keys):
+            t = pa.Table.from_batches(out)
+            t = t.sort_by([(k, "ascending") for k in keys])
+            return iter(t.to_batches(max_chunksize=23))
+
+        runs = list(repeats._run_rows(length, unit)(batches(rows, ["id", "text"])))
+        found = pa.Table.from_batches(list(repeats._owners(ordered(runs, ["anchor", "span", "check", "id"])))).to_pylist()
+        open_ = {}
+        for r in found:
+            if r["open"]:
+                open_.setdefault(r["id"], []).append(r["at"])
+        texts = dict(rows)
+        deeper = pa.RecordBatch.from_arrays([pa.array(list(open_)), pa.array([texts[i] for i in open_]), pa.array(list(open_.values()), pa.list_(pa.int64()))], names=["id", "text", "runs"])
+        windows = list(repeats._window_rows(length, unit)(iter([deeper]))) if open_ else []
+        last = pa.Table.from_batches(list(repeats._later_windows(length)(ordered(windows, ["window", "check", "id"])))).to_pylist() if windows else []
+        lists = {}
+        for r in [r for r in found if not r["open"]] + last:
+            lists.setdefault(r["id"], []).append(r["at"])
+        batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows]), pa.array([lists.get(i) for i, _ in rows], pa.list_(pa.int64()))], names=["t", "runs"])
+        cut = pa.Table.from_batches(list(repeats._cut(length, unit, 0)(iter([batch])))).to_pylist()
+        return {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_bytes"]) for (i, _), r in zip(rows, cut, strict=True)}
+
+    assert removed() == want
+    if unit == "words":  # the words themselves are told apart by that hash
+        return
+    few = lambda total, a, b, second=False: whole(total, a, b, second) if second else whole(total, a, b) & np.uint64(0xF << 60)
+    monkeypatch.setattr(K, "span_hash", few)
+    assert removed() == want
+
+
 def test_repeats_odd_rows(spark):
     df = spark.createDataFrame([(None, "z" * 80), (1, "z" * 80), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(df, 50, "bytes").collect()}
@@ -239,5 +292,5 @@ def test_repeats_tell_many_runs_of_one_anchor_apart():
     rows = pa.Table.from_batches(list(repeats._run_rows(50, "bytes")(iter([batch])))).to_pandas()
     group = rows[rows.anchor == rows.anchor.mode()[0]]
     assert len(group) > 0.9 * n and group.span.nunique() == len(group)
-    ordered = pa.RecordBatch.from_pandas(group.sort_values(["anchor", "span", "id"]), preserve_index=False)
+    ordered = pa.RecordBatch.from_pandas(group.sort_values(["anchor", "span", "check", "id"]), preserve_index=False)
     assert not any(not o for b in repeats._owners(iter([ordered])) for o in b.column(2).to_pylist())
