@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterlake.llm.store import drop, settle
+from raterlake.llm.store import drop, settle, with_groups
 
 
 def _state(links: DataFrame) -> tuple:
@@ -13,29 +13,31 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node that has a link.
 
     ``edges`` has columns ``a`` and ``b``. Alternating large-star and small-star
     steps (Kiveris et al. 2014): each step moves every neighbour of a node to the
     least of them, so the number of rounds grows with the logarithm of the
-    longest path. Minima are pre-aggregated before the shuffle, and nothing but
-    a row count and a checksum comes to the driver. Self-links and repeated
-    links change nothing; without links the result is empty.
+    longest path; it ends when a round changes nothing. Minima are pre-aggregated
+    before the shuffle, a node with very many links is dealt over all tasks, and
+    nothing but a row count and a checksum comes to the driver. Self-links and
+    repeated links change nothing; without links the result is empty. The result
+    reads a settled table of its own.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = _state(now)
-    for _ in range(max_rounds):
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = settle(small)
+        least = with_groups(both, ["u"], m=F.min("v")).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = settle(least.distinct())
         drop(now)
-        now = after
+        small = with_groups(large, ["u"], m=F.min("v"))
+        moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        now = settle(moved.distinct())
+        drop(large)
         state = _state(now)
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            break
         seen = state
-    raise RuntimeError(f"components still change after {max_rounds} rounds")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

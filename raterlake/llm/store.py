@@ -1,44 +1,49 @@
-"""Writing intermediate tables where every executor can read them."""
+"""Writing intermediate tables where every executor can read them, and joins that stand hot keys."""
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
 import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterlake.session import ship
 
 #: Spark deletes the shuffle files of a query as soon as it has ended.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables that were written and not yet deleted: path -> Hadoop's path and file system.
+_written: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    used and set on the context.
+    Where neither is set, a session on one machine (tests) gets a temporary
+    folder; on a cluster that is an error, as executors could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "raterlake-checkpoints"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "raterlake-checkpoints"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: whatever follows re-reads the files, so the loss of
-    an executor never repeats the work above.
+    an executor never repeats the work above. The files go with drop(), or when
+    the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/raterlake-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/raterlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")  # the written table is what is read again, so its shuffles can go
     try:
@@ -47,24 +52,51 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._raterlake_path = path
-    release(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _written[path] = (hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration()))
     return back
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished work, which it does once the driver's garbage is collected."""
-    time.sleep(0.3)  # the last query's end still has to reach the listeners, which hold its plan
-    gc.collect()
-    spark._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that no later plan reads."""
+    for df in tables:
+        found = _written.pop(getattr(df, "_raterlake_path", None), None)
+        if found:
+            found[1].delete(found[0], True)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a settled table that no later plan reads."""
-    path = getattr(df, "_raterlake_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+@atexit.register
+def _delete_all() -> None:
+    for hadoop, files in _written.values():
+        try:
+            files.delete(hadoop, True)
+        except Exception:  # the JVM has gone already
+            return
+
+
+#: Keys that hold more than one in so many rows of a table are joined by a broadcast.
+HEAVY = 10_000
+
+
+def with_groups(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """``rows`` and their group's ``aggregates`` as columns, groups being rows of equal ``keys`` (not null).
+
+    The aggregates are pre-aggregated before the shuffle. Groups of more than a
+    HEAVY-th of all rows, of which there are fewer than HEAVY, are sent to every task
+    with their aggregates, so a group of a third of all rows is dealt over as many
+    tasks as its rows come from; the other groups are joined by a shuffle. ``rows``
+    is read three times and should be a settled table.
+    """
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(c.alias(name) for name, c in aggregates.items()))
+    bound = max(1_000, rows.count() // HEAVY)
+    return _attached(rows, groups, keys, bound).drop("_n")
+
+
+def _attached(rows: DataFrame, groups: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    heavy = F.broadcast(groups.where(F.col("_n") > bound))
+    hot = rows.join(heavy, keys)
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(groups.where(F.col("_n") <= bound), keys)
+    return hot.unionByName(light)
 
 
 #: Ids of so many documents are sent to every task at most (some tens of MB).
