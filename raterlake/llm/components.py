@@ -40,4 +40,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._raterlake_path = now._raterlake_path  # for drop()
+    return out

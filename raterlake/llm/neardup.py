@@ -10,10 +10,13 @@ compared with the bucket's hub, the member that has most company over all its
 bands: of a text and its altered copies that is the text itself, or what is
 nearest to it. That joins all but a few of a group at one comparison a document.
 A bucket whose members are still in several components is gone through again:
-its members are compared by their bits, in blocks of a bounded number of rows, and
-those that may be similar enough form families. Within a family, again in blocks,
-all pairs of different components that may be similar enough are confirmed on whole
-sets. Only spanning links leave a task, so the rows grow with the documents.
+the members outside its largest component are compared with all others by their
+bits (a sketch of 48 bytes), in blocks of a bounded number of rows; those of
+different components that may be similar enough form families. Only the members of
+families take their texts along: within a family, again in blocks, all pairs of different components that may be similar enough are confirmed on whole
+sets. Only spanning links leave a task. A bucket of one large component and few
+strangers moves each of its members once; a bucket of n members of which no two
+are linked has n * n comparisons of sketches, and moves each n / 4,096 times.
 
 A pair of similarity exactly 0.8 shares no band with probability
 (1 - 0.8^4)^24 = 3e-6.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from raterlake.llm import kernels as K
 from raterlake.llm.components import connected_components
-from raterlake.llm.store import keep_ids, settle, small_batches
+from raterlake.llm.store import attached, drop, keep_ids, settle, small_batches, with_groups
 
 BANDS, ROWS = 24, 4
 #: Minima whose low bits are kept; the first BANDS * ROWS of them make the bands.
@@ -116,9 +119,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     """The pairs (a, b) whose whole shingle sets have 100 * shared >= percent * all.
 
     Documents that many pairs name as ``a`` are salted: the pairs of one ``a``
-    are dealt over 64 tasks, and its text goes to each.
+    are dealt over tasks of some BLOCK pairs each, and its text goes to each.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    pairs = with_groups(pairs, ["a"], salts=F.ceil(F.count("*") / BLOCK)).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
     texts = keep_ids(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "left_semi")
     members = pairs.join(texts.select(F.col("id").alias("b"), "text"), "b").select(F.col("a").alias("key"), "salt", F.col("b").alias("id"), F.lit(1).alias("role"), "text")
     keys = pairs.select(F.col("a").alias("id"), "salt").distinct()
@@ -127,16 +130,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return together.mapInArrow(_confirm(n, percent), "a long, b long")
 
 
-#: Rows of a block; two blocks are compared in one task.
-BLOCK = 512
+#: Rows of a block with texts, and of one of sketches; two blocks are compared in one task.
+BLOCK, SKETCHES = 512, 4096
 
 
-def in_blocks(rows: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Each row once for every pair (i, j) of its group's blocks that it takes part in, with its block; a group of n rows has n / BLOCK blocks."""
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
-    other = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return other.withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("_blocks", "_other")
+def across(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+    """Rows (id, component) of each group as pairs of blocks: i of the rows outside the group's largest component (side 0), j of all its rows (side 1).
+
+    Each row comes once for every pair of blocks that it takes part in; ``major``
+    marks rows of the largest component. Groups of one component give nothing.
+    """
+    sizes = rows.groupBy(*group, "component").agg(F.count("*").alias("n"))
+    stats = sizes.groupBy(*group).agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("_n")).where("largest.n < _n")
+    placed = attached(rows, stats.select(*group, "_n", "largest", F.ceil((F.col("_n") - F.col("largest.n")) / block).cast("int").alias("_few"), F.ceil(F.col("_n") / block).cast("int").alias("_all")), group)
+    placed = placed.withColumn("major", F.col("component") == F.col("largest.component")).drop("largest", "_n")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where("not major").withColumn("i", place("_few")).withColumn("j", every("_all")).withColumn("side", F.lit(0))
+    right = placed.withColumn("j", place("_all")).withColumn("i", every("_few")).withColumn("side", F.lit(1))
+    return left.unionByName(right).drop("_few", "_all")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -166,11 +178,11 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
 
 def _similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Which sketches (rows of LANES words) are estimated to be at least so similar."""
-    unequal = np.zeros((len(a), len(b)), np.int64)
+    unequal = np.zeros((len(a), len(b)), np.uint8)  # at most HASHES
     for lane in range(a.shape[1]):
         x = a[:, lane][:, None] ^ b[:, lane][None, :]
         unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-    return 1 - unequal / (HASHES * 0.75) >= least
+    return unequal <= (1 - least) * HASHES * 0.75
 
 
 class _Forest:
@@ -194,61 +206,69 @@ class _Forest:
         return True
 
 
-def _sides(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the two blocks of a group, columns i, j and block by name."""
-    i, j, block = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("i", "j", "block"))
-    return np.flatnonzero(block == i), np.flatnonzero(block == j)
-
-
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+def _candidates(batch: pa.RecordBatch, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of side 0, some at a time, rows of side 1, and which of them are of different components and may be similar enough; no pair twice."""
+    ids, component, major, side = (_column(batch, c) for c in ("id", "component", "major", "side"))
+    sketch = np.stack([_column(batch, c).view(np.uint64) for c in _LONGS], axis=1)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for at in range(0, len(left), 256):
+        some = left[at : at + 256]
+        fit = _similar(sketch[some], sketch[right], least) & (component[some][:, None] != component[right][None, :])
+        fit &= major[right][None, :] | (ids[some][:, None] < ids[right][None, :])
+        if fit.any():
+            yield some, right, fit
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _may_link(least: float):
-    """Groups by (band, bucket, i, j) -> spanning links of the rows that may be similar enough."""
+    """Groups by (band, bucket, i, j) -> spanning links of the rows of different components that may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
         for batch in grouped(batches, 4):
-            ids, sketch = _column(batch, "id"), np.stack([_column(batch, c).view(np.uint64) for c in _LONGS], axis=1)
-            left, right = _sides(batch)
-            forest = _Forest()
-            for x, y in zip(*np.nonzero(_similar(sketch[left], sketch[right], least)), strict=True):
-                x, y = int(ids[left[x]]), int(ids[right[y]])
-                if x != y and forest.join(x, y):
-                    out.append((x, y))
-            if len(out) > 10_000:
-                yield _links(out)
-                out = []
-        yield _links(out)
+            ids, forest, out = _column(batch, "id"), _Forest(), []
+            for some, right, fit in _candidates(batch, least):
+                # a row of side 0 and its partners are one tree; of a partner of many rows the first joins the others
+                first = fit.argmax(axis=0)
+                touched = np.flatnonzero(fit.any(axis=0))
+                for x in np.flatnonzero(fit.any(axis=1)):
+                    joined = np.unique(first[touched[fit[x, touched]]])
+                    out += [(int(ids[some[x]]), int(ids[some[y]])) for y in joined if forest.join(int(ids[some[x]]), int(ids[some[y]]))]
+                for y in touched:
+                    a, b = int(ids[some[first[y]]]), int(ids[right[y]])
+                    if forest.join(a, b):
+                        out.append((a, b))
+            yield _links(out)
 
     return run
 
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
 def _confirm_blocks(n: int, percent: int, least: float):
     """Groups by (family, i, j) -> spanning links, confirmed on whole sets, between the components that the rows had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, 3):
-            ids, component, sketch = _column(batch, "id"), _column(batch, "component"), np.stack([_column(batch, c).view(np.uint64) for c in _LONGS], axis=1)
-            left, right = _sides(batch)
+            ids, component = _column(batch, "id"), _column(batch, "component")
             sets: list[np.ndarray] = []
             for lo, hi, values, offsets in shingle_sets(batch.column(batch.schema.get_field_index("text")), n):
                 sets += [np.unique(values[offsets[d] : offsets[d + 1]]) for d in range(hi - lo)]
             forest, out = _Forest(), []
-            for x, y in zip(*np.nonzero(_similar(sketch[left], sketch[right], least) & (component[left][:, None] != component[right][None, :])), strict=True):
-                x, y = left[x], right[y]
-                a, b = sets[x], sets[y]
-                if forest.find(int(component[x])) == forest.find(int(component[y])) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    forest.join(int(component[x]), int(component[y]))
-                    out.append((int(ids[x]), int(ids[y])))
+            for some, right, fit in _candidates(batch, least):
+                for x, y in zip(*np.nonzero(fit), strict=True):
+                    x, y = some[x], right[y]
+                    a, b = sets[x], sets[y]
+                    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or forest.find(int(component[x])) == forest.find(int(component[y])):
+                        continue
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        forest.join(int(component[x]), int(component[y]))
+                        out.append((int(ids[x]), int(ids[y])))
             yield _links(out)
 
     return run
@@ -260,53 +280,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of other than ASCII white space, A-Z lower-cased; documents
     link if 100 * shared >= percent * all of their distinct shingles. A text with
     fewer words than a shingle has one shingle, all its words; a null or empty
-    text has none and links with nothing. Rows that repeat an id are not merged.
+    text has none and links with nothing. Rows that repeat an id are not merged. A
+    row without an id links with nothing: its component_id is null, and it is kept.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    least = percent / 100 - SLACK
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = settle(texts.mapInArrow(_signatures(shingle), _SCHEMA))
     sets = ["n_shingles", "h1", "h2"]
-    groups = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("id").alias("rep"))
-    distinct = signed.where("n_shingles > 0").join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi")
+    named = signed.where("n_shingles > 0 and id is not null")
+    groups = named.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
+    distinct = named.join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi")
     reps = settle(distinct.drop("n_shingles", "h1", "h2"))
-    bucket = Window.partitionBy("band", "bucket")
-    sketch = F.struct("id", *_LONGS)
-    shared = reps.select("id", *_LONGS, F.posexplode("bands").alias("band", "bucket")).withColumn("company", F.count("*").over(bucket)).where("company > 1")
-    shared = settle(shared)
+    bucket = ["band", "bucket"]
+    shared = settle(with_groups(reps.select("id", F.posexplode("bands").alias(*bucket)), bucket, having="_n > 1", company=F.count("*")))
     company = shared.groupBy("id").agg(F.sum("company").alias("total"))
-    hub = F.max(F.struct("total", (-F.col("id")).alias("order"), sketch.alias("doc"))).over(bucket)
-    crowded = settle(shared.drop("company").join(company, "id").withColumn("hub", hub).withColumn("hub", F.col("hub.doc")).drop("total"))
-    first = (
-        crowded.where("id <> hub.id")
-        .select(sketch.alias("x"), "hub")
-        .where(estimated("x", "hub") >= percent / 100 - SLACK)
-        .select(F.col("hub.id").alias("a"), F.col("x.id").alias("b"))
-        .distinct()
-    )
+    crowded = settle(shared.drop("company").join(company, "id").join(reps.select("id", *_LONGS), "id"))
+    drop(shared)
+    sketch = F.struct("id", *_LONGS)
+    hub = with_groups(crowded, bucket, hub=F.max(F.struct("total", (-F.col("id")).alias("order"), sketch.alias("doc")))).select(sketch.alias("x"), F.col("hub.doc").alias("hub"))
+    first = settle(hub.where("x.id <> hub.id").where(estimated("x", "hub") >= least).select(F.col("hub.id").alias("a"), F.col("x.id").alias("b")).distinct())
     links = settle(confirmed(first, texts, shingle, percent))
     parts = connected_components(links)
+    drop(first, reps)
     component = parts.select(F.col("node").alias("id"), "component")
-    placed = crowded.select("band", "bucket", "id", *_LONGS).join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = settle(placed.withColumn("one", F.min("component").over(bucket)).withColumn("two", F.max("component").over(bucket)).where("one <> two").drop("one", "two"))
-    least = percent / 100 - SLACK
-    order = ["band", "bucket", "i", "j"]
-    blocks = in_blocks(open_.drop("component"), ["band", "bucket"], "id").select(*order, "block", "id", *_LONGS)
+    placed = settle(crowded.drop("total").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    drop(crowded)
+    order = [*bucket, "i", "j"]
+    blocks = across(placed, bucket, SKETCHES).select(*order, "side", "id", "component", "major", *_LONGS)
     near = settle(blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_may_link(least), "a long, b long"))
-    families = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("family"))
-    docs_in = open_.dropDuplicates(["id"]).drop("band", "bucket").join(families, "id")
-    several = docs_in.groupBy("family").agg(F.min("component").alias("one"), F.max("component").alias("two")).where("one <> two").select("family")
-    docs_in = settle(docs_in.join(several, "family", "left_semi"))
+    families = connected_components(near)
+    docs_in = settle(placed.drop(*bucket).dropDuplicates(["id"]).join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id"))
+    drop(near, placed, families)
     if not docs_in.isEmpty():
-        with_text = docs_in.join(keep_ids(texts, docs_in.select("id"), "left_semi"), "id")
         order = ["family", "i", "j"]
-        blocks = in_blocks(with_text, ["family"], "id").select(*order, "block", "id", "component", *_LONGS, "text")
-        more = blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_confirm_blocks(shingle, percent, least), "a long, b long")
-        links = settle(links.unionByName(more))
-        parts = connected_components(links)
-    members = signed.join(groups, sets, "left").withColumn("rep", F.coalesce("rep", "id"))
-    return (
-        members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
-    )
+        blocks = across(docs_in, ["family"], BLOCK).join(keep_ids(texts, docs_in.select("id"), "left_semi"), "id").select(*order, "side", "id", "component", "major", *_LONGS, "text")
+        drop(parts)
+        more = settle(blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_confirm_blocks(shingle, percent, least), "a long, b long"))
+        parts = connected_components(links.unionByName(more))
+        drop(more)
+    drop(links, docs_in)
+    of_group = groups.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*sets, "_n", F.coalesce("component", "rep").alias("component_id"))
+    linked = attached(named.select("id", *sets), settle(of_group), sets).select("id", "n_shingles", "component_id")
+    alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))

@@ -78,25 +78,28 @@ def _delete_all() -> None:
 HEAVY = 10_000
 
 
-def with_groups(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    """``rows`` and their group's ``aggregates`` as columns, groups being rows of equal ``keys`` (not null).
-
-    The aggregates are pre-aggregated before the shuffle. Groups of more than a
-    HEAVY-th of all rows, of which there are fewer than HEAVY, are sent to every task
-    with their aggregates, so a group of a third of all rows is dealt over as many
-    tasks as its rows come from; the other groups are joined by a shuffle. ``rows``
-    is read three times and should be a settled table.
+def with_groups(rows: DataFrame, keys: list[str], having: str = "true", **aggregates: Column) -> DataFrame:
+    """``rows`` and their group's ``aggregates`` as columns, groups being rows of equal ``keys`` (not null); ``having`` may use the aggregates and _n, the group's rows.
+
+    The aggregates are pre-aggregated before the shuffle; see attached() for how
+    they come back to the rows. ``rows`` is gone through several times and should be
+    a settled table, or cheap.
     """
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(c.alias(name) for name, c in aggregates.items()))
-    bound = max(1_000, rows.count() // HEAVY)
-    return _attached(rows, groups, keys, bound).drop("_n")
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(c.alias(name) for name, c in aggregates.items())).where(having)
+    return attached(rows, groups, keys).drop("_n")
+
 
+def attached(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with the one row that ``groups`` has for their ``keys``; _n of ``groups`` says how many rows that are.
 
-def _attached(rows: DataFrame, groups: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    Groups of more than a HEAVY-th of all rows, of which there are fewer than HEAVY,
+    are sent to every task, so a group of a third of all rows is dealt over as many
+    tasks as its rows come from; the other groups are joined by a shuffle.
+    """
+    bound = max(1_000, rows.count() // HEAVY)
     heavy = F.broadcast(groups.where(F.col("_n") > bound))
-    hot = rows.join(heavy, keys)
     light = rows.join(heavy.select(*keys), keys, "left_anti").join(groups.where(F.col("_n") <= bound), keys)
-    return hot.unionByName(light)
+    return rows.join(heavy, keys).unionByName(light)
 
 
 #: Ids of so many documents are sent to every task at most (some tens of MB).

@@ -72,6 +72,35 @@ def test_near_duplicates(spark, n):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+@pytest.mark.parametrize("heavy", [10_000, 1])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, heavy):
+    """Many blocks a bucket; hot groups by a broadcast or not; a large component with strangers, and a family of texts that are all unlinked."""
+    monkeypatch.setattr("raterlake.llm.neardup.BLOCK", 7)
+    monkeypatch.setattr("raterlake.llm.neardup.SKETCHES", 5)
+    monkeypatch.setattr("raterlake.llm.store.HEAVY", heavy)
+    rng = random.Random(41)
+    base = text(rng, 150)
+    rows = corpus(5)
+    for k in range(80):  # 15 to 20 words changed: unlike each other, some like the base
+        own = list(base)
+        for _ in range(rng.randint(1, 20)):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
+        rows.append((1000 + k, " ".join(own)))
+    sets = {i: shingle_set(t, 2) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == least_reachable(ids, links)
+
+
+def test_near_duplicates_odd_rows(spark):
+    """Rows without an id link with nothing and are kept; rows that repeat an id each stand; other columns don't matter."""
+    t = " ".join(text(random.Random(2), 50))
+    rows = [(None, t, 1), (None, t, 1), (3, t, 1), (3, t, 2), (5, t, 1), (6, None, 1), (7, "", 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id int, text string, kept int")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 0, True), (3, 3, True), (3, 3, True), (5, 3, False), (6, 6, True), (7, 7, True)]
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).collect() == []
