@@ -5,7 +5,9 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from raterlake.llm import edits, html, packing
 from raterlake.llm.decontam import leaked_items
@@ -240,11 +242,96 @@ def test_template_decides_on_marked_pages(spark):
 
 
 def test_template_join_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(html, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(html, "BROADCAST_CHARS", -1)
     df = spark.createDataFrame([(k, "https://h.example/", "<article><p>x</p></article>") for k in range(20)], "page_id long, url string, html string")
     assert [r["text"] for r in extract_text(df).collect()] == ["x"] * 20
 
 
+def test_occurrence_vectors_are_the_brute_force_ones(spark):
+    """Tokens have equal vectors if and only if they stand equally often on the same pages, repeated rows counted."""
+    rng = random.Random(51)
+    rows = []
+    for k in range(40):
+        parts = [f'<div class="{c}"><p>{words(rng, 3)}</p></div>' * rng.choice([0, 1, 1, 2]) for c in "abcde"]
+        rows.append((k, f"https://h{k % 2}.example/{k}", f"<body><section>{''.join(parts)}</section></body>"))
+    rows += [rows[3]] * 2 + [rows[4]] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.occurrences(df.select(html.host_of(F.col("url")).alias("host"), F.xxhash64("page_id").alias("key"), "html")).toPandas()
+    want = {}
+    for n, (_, url, page) in enumerate(rows):
+        for path, times in html.parse(page)[1].items():
+            want.setdefault((url.split("/")[2], path), {})[n] = times
+    assert {(r.host, r.path): r.pages for r in got.itertuples()} == {k: len(v) for k, v in want.items() if len(v) >= html.SUPPORT}
+    tokens = list(got.itertuples())
+    for a in tokens:
+        for b in tokens:
+            if a.host == b.host:
+                assert (a.vector == b.vector) == (want[a.host, a.path] == want[b.host, b.path])
+
+
+def _class_table(rows):
+    return pd.DataFrame(rows, columns=["path", "pages", "total", "vector", "rank"])
+
+
+def test_classes_are_once_ordered_and_nested():
+    table = _class_table([("/b", 10, 10, "all", 0), ("/b/x", 10, 10, "all", 10), ("/b/y", 10, 10, "all", 15), ("/b/z", 10, 10, "all", 40), ("/b/x/p", 10, 33, "all", 5), ("/b/x/q", 4, 4, "some", 8), ("/b/z/q", 4, 4, "some", 20)])
+    named = [[table.path[r] for r in part] for part in html.classes(table)]
+    # /b/y changes places with /b/x, /b/x/p is not once a page, and the two q lie in different slots
+    assert named == [["/b", "/b/x", "/b/z"], ["/b/x/q"], ["/b/z/q"]]
+
+
+def test_layouts_have_their_own_slots(spark):
+    """Two layouts of a host without marks: each class finds its slot, and tokens taken as one class would not."""
+    rng = random.Random(52)
+    rows, want = [], {}
+    for k in range(40):
+        lines = [words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+        want[k] = "\n".join(lines)
+        story = "".join(f"<p>{x}</p>" for x in lines)
+        inner = f'<div class="story">{story}</div>' if k % 2 else f'<section><div class="long"><div class="text">{story}</div></div></section>'
+        rows.append((k, f"https://h.example/{k}", f'<body><div class="top">{words(rng, 2)}</div>{inner}<div class="end">{words(rng, 2)}</div></body>'))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_text(df).collect()} == want
+    tokens = html.occurrences(df.select(html.host_of(F.col("url")).alias("host"), F.xxhash64("page_id").alias("key"), "html")).toPandas()
+    own = html._deduced(tokens).content[0].split("\n")
+    assert "/body/div.story" in own and "/body/section/div.long/div.text" in own
+    same = html._deduced(tokens.assign(vector="0")).content[0].split("\n")
+    assert same != own
+
+
+def test_marks_are_evidence_only(spark):
+    """Without article and main the text is the same, on hosts with enough pages."""
+    rng = random.Random(53)
+    rows = []
+    for k in range(60):
+        lines = [words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+        rows.append((k, f"https://h{k % 3}.example/{k}", PAGE.format(body=f'<article><h1>{words(rng, 4)}</h1>{"".join(f"<p>{x}</p>" for x in lines)}</article>')))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    bare = df.withColumn("html", F.regexp_replace("html", "<(/?)article", "<$1div"))
+    assert {tuple(r) for r in extract_text(df).collect()} == {tuple(r) for r in extract_text(bare).collect()}
+
+
+def test_names_count_where_the_template_bears_them_out(spark):
+    """A notice on every page goes, a paragraph that happens to be called so on one page stays."""
+    rng = random.Random(54)
+    story = [words(rng, 60) for _ in range(20)]
+    rows = [(k, "https://h.example/", f'<article><div class="notice">{words(rng, 5)}</div><p>{t}</p>{"<p class=related>" + words(rng, 4) + "</p>" if k == 7 else ""}</article>') for k, t in enumerate(story)]
+    got = {r["page_id"]: r["text"].split("\n") for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == [story[k]] for k in range(20) if k != 7) and len(got[7]) == 2
+    whole = "<body><div class=notice><p>" + story[0] + "</p></div></body>"  # all of the text is in the named place
+    assert main_text(whole) == story[0]
+
+
+def test_odd_pages(spark):
+    """A very long page, a host of one page, repeated rows, columns with the result's names, formulas."""
+    long = "<article>" + "<p>one two</p>" * 100_000 + "</article>"
+    rows = [(1, "https://a.example/", long, "x", 1), (2, "https://b.example/", "<nav>n</nav><div class=cookie>c</div><p>only <math><mi>x</mi></math></p>", "x", 1), (2, "https://b.example/", "<p>other</p>", "x", 1), (3, "https://b.example/", None, "x", 1)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    out = sorted((r["page_id"], r["n_chars"], r["text"][:7]) for r in got.collect())
+    assert out == [(1, 799_999, "one two"), (2, 5, "other"), (2, 6, "only x"), (3, 0, "")]
+
+
 def test_machine_is_the_pair_sum():
     rng = np.random.default_rng(0)
     m = Machine(12, 3)
