@@ -20,7 +20,7 @@ still may repeat go deeper:
 4. window digit. Of the runs left, every window is ordered through its whole depth.
 
 Groups that are equal after the last pass are exactly the repeated windows.
-Digits are compared as hashes: an anchor by 64 bits, a run by 96 more, a window by
+Digits are compared as hashes: an anchor by 64 bits, a run by 112 more, a window by
 128, made of two polynomials with different bases and values, so that a false
 repeat is not to be expected at any size of a corpus (10^14 windows make 10^28
 pairs, and 2^128 is 3 * 10^38); whole texts are compared by sha-256.
@@ -104,22 +104,22 @@ def _run_rows(length: int, unit: str):
                 # a side stops where the run does: no window reaches further there
                 left = K.span_hash(total, np.maximum(anchor - half, first), anchor + DIGIT) >> np.uint64(48)
                 right = K.span_hash(total, anchor, np.minimum(anchor + DIGIT + half, first + size)) >> np.uint64(48)
-                sides = ((left << np.uint64(16)) | right).astype(np.uint32).view(np.int32)
+                check = K.span_hash(total_2, first, first + size, second=True) >> np.uint64(48)
                 digit, span = hashed[anchor].view(np.int64), K.span_hash(total, first, first + size).view(np.int64)
-                check = (K.span_hash(total_2, first, first + size, second=True) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                row, size = _merged(doc, digit, span, check, begin, size)
-                digit, span, check, sides, own, where = digit[row], span[row], check[row], sides[row], ids[lo:hi][doc[row]].astype(np.int64), (begin[row] << 16) | size
-                done = _settled((digit, span, check), own)
-                digit[done], span[done], check[done], sides[done], where[done] = _anywhere(own[done], where[done]), 0, 0, 0, ~where[done]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit, span, check, own, where, sides)], names=["anchor", "span", "check", "id", "at", "sides"])
+                marks = ((check << np.uint64(32)) | (left << np.uint64(16)) | right).view(np.int64)  # 16 bits of each
+                row, size = _merged(doc, digit, span, marks, begin, size)
+                digit, span, marks, own, where = digit[row], span[row], marks[row], ids[lo:hi][doc[row]].astype(np.int64), (begin[row] << 16) | size
+                done = _settled((digit, span, marks), own)
+                digit[done], span[done], marks[done], where[done] = _anywhere(own[done], where[done]), 0, 0, ~where[done]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit, span, marks, own, where)], names=["anchor", "span", "marks", "id", "at"])
 
     return run
 
 
-def _merged(doc: np.ndarray, anchor: np.ndarray, span: np.ndarray, check: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _merged(doc: np.ndarray, anchor: np.ndarray, span: np.ndarray, marks: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal runs of a document that overlap, as in a text that repeats a word, become one: the first one's row number and the tokens they cover together."""
-    order = np.lexsort((begin, check, span, anchor, doc))
-    d, a, s, c, b, n = (x[order] for x in (doc, anchor, span, check, begin, size))
+    order = np.lexsort((begin, marks, span, anchor, doc))
+    d, a, s, c, b, n = (x[order] for x in (doc, anchor, span, marks, begin, size))
     new = np.ones(len(order), bool)
     new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (b[1:] > b[:-1] + n[:-1]) | (b[1:] // LONGEST != b[:-1] // LONGEST)
     first = np.flatnonzero(new)
@@ -127,11 +127,10 @@ def _merged(doc: np.ndarray, anchor: np.ndarray, span: np.ndarray, check: np.nda
     return order[first], b[last] + n[last] - b[first]
 
 
-def _shared(group: np.ndarray, i: np.ndarray, sides: np.ndarray) -> np.ndarray:
+def _shared(group: np.ndarray, i: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Whether another document of the group has the same tokens on the left or on the right of the anchor."""
     out = np.zeros(len(group), bool)
-    packed = sides.view(np.uint32).astype(np.int64)
-    for side in (packed >> 16, packed & 0xFFFF):
+    for side in ((marks >> 16) & 0xFFFF, marks & 0xFFFF):
         _, kind = np.unique((group << 16) | side, return_inverse=True)
         least, most = np.full(kind.max(initial=-1) + 1, 2**62), np.full(kind.max(initial=-1) + 1, -(2**62))
         np.minimum.at(least, kind, i)
@@ -141,17 +140,17 @@ def _shared(group: np.ndarray, i: np.ndarray, sides: np.ndarray) -> np.ndarray:
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, span, check, id) -> rows that repeat a smaller document's run (open = false) and rows to order further (open = true).
+    """Rows sorted by (anchor, span, marks, id) -> rows that repeat a smaller document's run (open = false) and rows to order further (open = true).
 
     A group is ordered further if it has several kinds of run and several
     documents. Carried from batch to batch: of such a group its last row's anchor,
     span and owner; of another the rows that may still be ordered further, which
     are rows of one document.
     """
-    carry = None  # (anchor, span, check, owner)
-    held, held_mixed = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int64, np.int32)), False
+    carry = None  # (anchor, span, marks, owner)
+    held, held_mixed = tuple(np.zeros(0, np.int64) for _ in range(5)), False
     for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
         done = columns[4] < 0
         if done.any():
             yield pa.RecordBatch.from_arrays([pa.array(columns[3][done]), pa.array(~columns[4][done]), pa.array(np.zeros(done.sum(), bool))], names=["id", "at", "open"])
@@ -159,14 +158,14 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(columns[0]):
             continue
         waiting = len(held[0]) > 0
-        a, s, check, i, at, sides = (np.concatenate([h, c]) for h, c in zip(held, columns, strict=True))
+        a, s, marks, i, at = (np.concatenate([h, c]) for h, c in zip(held, columns, strict=True))
         new_a = np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         new_s = np.ones(len(a), bool)
-        new_s[1:] = new_a[1:] | (s[1:] != s[:-1]) | (check[1:] != check[:-1])
+        new_s[1:] = new_a[1:] | (s[1:] != s[:-1]) | (marks[1:] != marks[:-1])
         if carry is not None:
             new_a[0] = a[0] != carry[0]
-            new_s[0] = new_a[0] or s[0] != carry[1] or check[0] != carry[2]
+            new_s[0] = new_a[0] or s[0] != carry[1] or marks[0] != carry[2]
         owner = np.concatenate([[carry[3] if carry is not None else 0], i[new_s]])[np.cumsum(new_s)]
         group = np.cumsum(new_a)
         last = group[-1]
@@ -181,13 +180,13 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated = i > owner
         opened = ~repeated & several[group]
         inner = np.flatnonzero(opened & (group > group[0]) & (group < last))  # whole groups: a side must be shared
-        opened[inner] = _shared(group[inner], i[inner], sides[inner])
+        opened[inner] = _shared(group[inner], i[inner], marks[inner])
         out = repeated | opened
         if several[last]:
-            carry, held = (a[-1], s[-1], check[-1], owner[-1]), tuple(x[:0] for x in held)
+            carry, held = (a[-1], s[-1], marks[-1], owner[-1]), tuple(x[:0] for x in held)
         else:
             keep = (group == last) & ~repeated
-            carry, held, held_mixed = None, (a[keep], s[keep], check[keep], i[keep], at[keep], sides[keep]), bool(mixed[last])
+            carry, held, held_mixed = None, (a[keep], s[keep], marks[keep], i[keep], at[keep]), bool(mixed[last])
         yield pa.RecordBatch.from_arrays([pa.array(i[out]), pa.array(at[out]), pa.array(opened[out])], names=["id", "at", "open"])
 
 
@@ -254,8 +253,8 @@ def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     drop(digests)
     whole = copies.select("id", F.lit(WHOLE).cast("long").alias("at"))
     known = keep_ids(known, copies, "left_anti")
-    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span long, check int, id long, at long, sides int")
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "check", "id")
+    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span long, marks long, id long, at long")
+    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "marks", "id")
     found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean"))
     deeper = known.join(found.where("open").groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")
     windows = deeper.mapInArrow(_window_rows(length, unit), "window long, check long, id long, start long")

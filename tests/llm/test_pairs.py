@@ -156,11 +156,11 @@ def test_repeats_streams_groups_over_batches(spark):
 
     rng = np.random.default_rng(0)
     n = 400
-    cols = [np.sort(rng.integers(0, 40, n)), rng.integers(0, 3, n), rng.integers(0, 2, n).astype(np.int32), rng.integers(0, 6, n), np.arange(n) << 16 | 60, rng.integers(0, 4, n).astype(np.int32)]
+    cols = [np.sort(rng.integers(0, 40, n)), rng.integers(0, 3, n), rng.integers(0, 4, n), rng.integers(0, 6, n), np.arange(n) << 16 | 60]
     cols[4][::17] = ~cols[4][::17]
     order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
     cols = [c[order] for c in cols]
-    names = ["anchor", "span", "check", "id", "at", "sides"]
+    names = ["anchor", "span", "marks", "id", "at"]
 
     def run(size):
         batches = [pa.RecordBatch.from_arrays([pa.array(c[s : s + size]) for c in cols], names=names) for s in range(0, n, size)]
@@ -201,7 +201,7 @@ def test_repeats_with_colliding_digits(unit, monkeypatch):
             return iter(t.to_batches(max_chunksize=23))
 
         runs = list(repeats._run_rows(length, unit)(batches(rows, ["id", "text"])))
-        found = pa.Table.from_batches(list(repeats._owners(ordered(runs, ["anchor", "span", "check", "id"])))).to_pylist()
+        found = pa.Table.from_batches(list(repeats._owners(ordered(runs, ["anchor", "span", "marks", "id"])))).to_pylist()
         open_ = {}
         for r in found:
             if r["open"]:
@@ -321,5 +321,5 @@ def test_repeats_tell_many_runs_of_one_anchor_apart():
     rows = pa.Table.from_batches(list(repeats._run_rows(50, "bytes")(iter([batch])))).to_pandas()
     group = rows[rows.anchor == rows.anchor.mode()[0]]
     assert len(group) > 0.9 * n and group.span.nunique() == len(group)
-    ordered = pa.RecordBatch.from_pandas(group.sort_values(["anchor", "span", "check", "id"]), preserve_index=False)
+    ordered = pa.RecordBatch.from_pandas(group.sort_values(["anchor", "span", "marks", "id"]), preserve_index=False)
     assert not any(not o for b in repeats._owners(iter([ordered])) for o in b.column(2).to_pylist())
