@@ -86,6 +86,41 @@ def test_leaks_of_few_shingles():
     assert found == {(k, k, 1 + k % 2) for k in range(3000)}
 
 
+def test_leaks_of_scattered_items():
+    """Items in pieces of 25 words, hundreds or thousands of other words between: recall 1."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from raterlake.llm import decontam
+
+    rng = random.Random(18)
+    items, docs = [], []
+    for k in range(120):
+        own = words(rng, rng.randint(96, 1200), 10**6).split()
+        gap = rng.choice([200, 1000, 5000])
+        items.append(" ".join(own))
+        docs.append(" ".join(" ".join(own[at : at + 25]) + " " + words(rng, gap, 10**6) for at in range(0, len(own), 25)))
+    batch = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    index = decontam._Index([r for b in decontam._item_sets(5)(iter([batch(items)])) for r in b.to_pylist()], 5)
+    found = {(r["id"], r["item_id"]) for b in decontam._search(SimpleNamespace(value=index), 80)(iter([batch(docs)])) for r in b.to_pylist()}
+    want = set()
+    for k, t in enumerate(items):
+        w, d = t.split(), docs[k].split()
+        s, whole = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}, {tuple(d[i : i + 5]) for i in range(len(d) - 4)}
+        if 100 * len(s & whole) >= 80 * len(s):
+            want.add((k, k))
+    assert found == want and len(want) > 100
+
+
+def test_leaks_odd_rows(spark):
+    """Rows without an id, repeated rows, columns with the result's names."""
+    t = "one two three four five six seven"
+    docs = spark.createDataFrame([(None, t, 1), (None, t, 1), (4, t, 1), (4, t, 2), (5, "x", 1)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, t, "z"), (1, t, "z"), (1, "other words that stand in none at all", "z"), (None, "two three four five six", "z")], "item_id long, text string, containment string")
+    got = sorted(((r["doc_id"] or 0, r["item_id"] or 0, r["n_shared"]) for r in leaked_items(docs, items).collect()))
+    assert got == [(0, 0, 1), (0, 1, 3), (4, 0, 1), (4, 1, 3)]
+
+
 def best_fit(lengths, window):
     open_, out = [], 0
     for x in sorted(lengths, reverse=True):
