@@ -106,9 +106,9 @@ def attached(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 BROADCAST_IDS = 4_000_000
 
 
-def keep_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``rows`` whose id is in ``ids`` (``how`` left_semi) or isn't (left_anti); ``ids`` (id, each once) goes to every task if it has few enough rows, else both are shuffled."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+def keep_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "id") -> DataFrame:
+    """``rows`` whose ``key`` is in ``ids`` (``how`` left_semi) or isn't (left_anti); ``ids`` (``key``, each once) goes to every task if it has few enough rows, else both are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
 def small_batches(spark: SparkSession) -> None:

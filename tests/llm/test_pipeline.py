@@ -42,6 +42,7 @@ def test_stages(spark, tables):
     kept = {k for k in seen["quality"] if k is not None and k < 600}
     assert not kept & set(bad) and kept == set(docs)
     assert set(docs) - set(seen["near_dedup"]) == {301, 302, 303} and None in seen["near_dedup"]
+    assert spark.read.parquet(f"{sf}/documents.parquet").columns == columns
     cut = seen["repeated_passages"]
     assert passage in cut[310]["text"] and passage not in cut[311]["text"] and cut[311]["n_chars"] == len(cut[311]["text"])
     assert all(cut[k]["text"] == docs[k] for k in range(300))
@@ -50,6 +51,30 @@ def test_stages(spark, tables):
     assert set(packed.doc_id.dropna().astype(int)) == {k for k in seen["decontamination"] if k is not None}
 
 
+def test_rows_without_an_id_of_their_own(spark, tables):
+    """Rows that share an id or have none are judged by their contents: copies and leaks go, different texts stay, columns of any kind stand beside."""
+    sf, docs, _, passage = tables
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rng = random.Random(14)
+    a, b, c = (words(rng, 90) for _ in range(3))
+    rows = [(1, a), (2, b), (2, c), (2, c), (None, a), (None, words(rng, 60) + " " + item), (None, words(rng, 40)), (None, words(rng, 60) + " " + passage), (3, words(rng, 60) + " " + passage), (None, None)]
+    df = spark.createDataFrame([(i, t, {"k": t or ""}, len(t or "")) for i, t in rows], "doc_id long, text string, key map<string,string>, n_chars long")
+    near = corpus_pipeline.near_dedup(spark, df, sf)
+    assert near.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in near.collect()]
+    assert sorted(i or 0 for i, _ in left) == [0, 0, 0, 0, 1, 2, 2, 3] and (None, a) not in left and {(2, b), (2, c)} < set(left)
+    cut = {(r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_passages(spark, near, sf).collect()}
+    assert sum(passage in (t or "") for _, t in cut) == 1 and any(i == 3 and passage in t for i, t in cut)
+    clean = corpus_pipeline.decontamination(spark, near, sf).collect()
+    assert len(clean) == 7 and not any(item in (r["text"] or "") for r in clean)
+
+
+def test_empty_table(spark, tables):
+    df = spark.read.parquet(f"{tables[0]}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, tables[0]).collect() == []
+
+
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables[0]).count() > 250
 
