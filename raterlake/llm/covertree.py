@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raterlake.llm.components import connected_components
-from raterlake.llm.store import settle, small_batches
+from raterlake.llm.store import attached, drop, settle, small_batches, with_groups
 
 #: Radii of the levels, as Euclidean distances of unit vectors.
 RADII = (0.5, 0.25, 0.125, 0.0625)
@@ -269,20 +269,22 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_
 
     Vectors that are null, empty, all zero or hold a null or non-finite component
     link with nothing. Vectors of different lengths are compared as if the shorter
-    were filled with zeros. Rows that repeat an id are vectors of their own. Other
-    columns are ignored; an empty table gives an empty result.
+    were filled with zeros. Rows that repeat an id are vectors of their own. A row
+    without an id links with nothing: its component_id is null, and it is kept. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     kind = "<f4" if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
-    sound = "v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
+    sound = "id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     valid = rows.where(sound)
-    same = settle(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    same = settle(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("key", F.monotonically_increasing_id()))
     n, width = same.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
+        drop(same)
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    packed = same.select(F.col("rep").alias("id"), "weight", "v").mapInArrow(_packed(kind), "id long, weight long, v binary")
+    packed = same.select(F.col("key").alias("id"), "weight", "v").mapInArrow(_packed(kind), "id long, weight long, v binary")
     n_pivots = min(MAX_PIVOTS, -(-n // BLOCK))
     chosen = packed.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
     pivots = _matrix(chosen["v"], kind, width)
@@ -302,9 +304,14 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_
     noded = settle(blocked.select("id", "weight", "v", "block").groupBy("block").applyInPandas(_nodes(kind, width), "id long, weight long, v binary, block int" + _CENTRES))
     routed = noded.mapInPandas(_routed(pivots, np.array(cells), radii, reach, kind), "i int, j int, own int, id long, weight long, v binary" + _CENTRES)
     found = settle(routed.groupBy("i", "j").applyInPandas(_pair(cosine, kind, width), "id long, n long, other long"))
+    drop(placed, noded)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     components = connected_components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    per_rep = same.join(counts, same.rep == counts.id, "left").join(components, F.col("rep") == F.col("node"), "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = valid.join(per_rep, "v").select("id", "n_links", "component_id")
+    named = settle(components.join(same.select(F.col("key").alias("node"), "rep"), "node"))
+    labels = with_groups(named, ["component"], label=F.min("rep")).select("node", "label")
+    per_vector = same.join(counts, same.key == counts.id, "left").join(labels, F.col("key") == F.col("node"), "left")
+    per_vector = per_vector.select("v", F.col("weight").alias("_n"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
+    linked = attached(valid, settle(per_vector), ["v"]).select("id", "n_links", "component_id")
+    drop(found, components, named)
     alone = rows.where(f"not coalesce({sound}, false)").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id").withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id").withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -270,6 +270,9 @@ def test_vectors_odd_rows(spark):
         assert got[i] == (3, 1, i == 1)
     for i in (3, 4, 5, 6, 7, 8):
         assert got[i] == (0, i, True)
+    more = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.1], 1), (6, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, n_links int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in linked_vectors(more).collect())
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (4, 1, 4, True), (4, 1, 4, True), (6, 0, 6, True)]
     assert linked_vectors(df.limit(0)).collect() == []
 
 
