@@ -16,7 +16,8 @@ from raterlake.llm.html import extract_text, main_text
 from raterlake.llm import langid
 from raterlake.llm.langid import identify
 from raterlake.llm.packing import CapacityTree, pack, plan
-from raterlake.llm.pseudolm import BATCH, CLASSES, Network, contexts, pseudo_likelihood
+from raterlake.llm import pseudolm
+from raterlake.llm.pseudolm import BATCH, CELLS, CLASSES, DIGITS, SHAPES, SIDES, WIDTH, WORDS, Network, Vocabulary, contexts, pseudo_likelihood
 from raterlake.llm.quality import Machine, score_quality
 from raterlake.llm.tokenizer import encoder
 
@@ -480,18 +481,98 @@ def test_contexts():
     assert around.tolist() == [[0, 0, 6, 7], [0, 5, 7, 0], [5, 6, 0, 0], [0, 0, 0, 0]]
 
 
+def even_prior():
+    return np.full((SHAPES, DIGITS), -np.log(DIGITS), np.float32)
+
+
 def test_network_learns():
-    rng = np.random.default_rng(1)
-    classes = np.tile(np.array([3, 9, 4, 30, 77]), 4000)
-    around = contexts(classes, np.array([0, len(classes)]))
-    network = Network()
-    before = network.log_likelihood(around, classes).mean()
+    cells = np.tile(np.array([3, 9, 4, 30, 77, WORDS + 40]), 4000)
+    around = contexts(cells, np.array([0, len(cells)]))
+    network = Network(even_prior())
+    before = network.log_likelihood(around, cells).mean()
     for _ in range(10):
-        for at in range(0, len(classes), BATCH):
-            network.step(around[at : at + BATCH], classes[at : at + BATCH], 4.0)
-    assert before < -3 and network.log_likelihood(around, classes).mean() > -0.5
-    p = network.probabilities(contexts(rng.integers(1, CLASSES, 50), np.array([0, 50])))[1]
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+        for at in range(0, len(cells), BATCH):
+            network.step(around[at : at + BATCH], cells[at : at + BATCH], 4.0)
+    assert before < -3 and network.log_likelihood(around, cells).mean() > -0.5
+
+
+def naive_log_likelihood(network, around, cells):
+    """Word by word and unit by unit."""
+    out = []
+    for row, cell in zip(around, cells, strict=True):
+        h = [np.tanh(sum(float(network.near[c + s * CELLS][k]) for s, c in enumerate(row)) + float(network.lift[k])) for k in range(WIDTH)]
+        scores = [sum(h[k] * float(network.out[k][c]) for k in range(WIDTH)) + float(network.bias[c]) for c in range(CLASSES)]
+        own = cell if cell <= WORDS else 1 + WORDS + (cell - 1 - WORDS) // DIGITS
+        value = scores[own] - np.log(sum(np.exp(scores)))
+        if cell > WORDS:
+            shape, digit = divmod(cell - 1 - WORDS, DIGITS)
+            fine = [sum(h[k] * float(network.fine[k][d]) for k in range(WIDTH)) + float(network.prior[shape][d]) for d in range(DIGITS)]
+            value += fine[digit] - np.log(sum(np.exp(fine)))
+        out.append(value)
+    return np.array(out)
+
+
+def odd_network(seed):
+    rng = np.random.default_rng(seed)
+    prior = np.log(rng.dirichlet(np.ones(DIGITS), SHAPES)).astype(np.float32)
+    return Network(prior, rng.normal(0, 0.3, sum(Network.SIZES)))
+
+
+def test_log_likelihood_is_the_naive_one():
+    cells = np.random.default_rng(2).integers(1, CELLS, 30)
+    around, network = contexts(cells, np.array([0, 12, 30])), odd_network(3)
+    assert around.shape == (30, SIDES)
+    assert np.allclose(network.log_likelihood(around, cells), naive_log_likelihood(network, around, cells), atol=1e-3)
+
+
+def test_step_follows_the_gradient():
+    """The step is the gradient of the mean log-likelihood, place by place, as differences give it."""
+    rng = np.random.default_rng(6)
+    cells = np.concatenate([rng.integers(1, WORDS, 8), rng.integers(WORDS + 1, CELLS, 8)])
+    around = contexts(cells, np.array([0, 16]))
+    network = odd_network(7)
+    start = network.weights().astype(np.float64)
+    network.step(around, cells, 1e-2)
+    gradient = (network.weights() - start) / 1e-2
+    edges = np.concatenate([[0], np.cumsum(Network.SIZES)])
+    touched = np.flatnonzero(np.abs(gradient) > 2e-3)
+    assert all(((touched >= a) & (touched < b)).any() for a, b in zip(edges[:-1], edges[1:], strict=True))
+    for place in rng.choice(touched, 40, replace=False):
+        up, down = start.copy(), start.copy()
+        up[place] += 1e-2
+        down[place] -= 1e-2
+        slope = (naive_log_likelihood(Network(network.prior, up), around, cells).mean() - naive_log_likelihood(Network(network.prior, down), around, cells).mean()) / 2e-2
+        assert gradient[place] == pytest.approx(slope, rel=0.05, abs=2e-4)
+
+
+def test_probabilities_of_all_words_add_up_to_one():
+    """Classes, digits, words of a cell and the rest of a cell for words never seen."""
+    from raterlake.llm import kernels as K
+
+    rng = random.Random(8)
+    vocabulary_words = sorted({"".join(rng.choice("abcdeABC1.") for _ in range(rng.randint(1, 9))) for _ in range(400)})
+    data = np.frombuffer(" ".join(vocabulary_words).encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    hashes, _, starts, ends = K.word_hashes(data, offsets, lower=False)
+    n = np.random.default_rng(1).integers(1, 50, len(hashes))
+    common = np.argsort(-n, kind="stable")[:20]
+    shape, digit = pseudolm.shapes(data, starts, ends), pseudolm.digits(hashes)
+    total, distinct = np.zeros((SHAPES, DIGITS)), np.zeros((SHAPES, DIGITS))
+    rest = np.setdiff1d(np.arange(len(hashes)), common)
+    np.add.at(total, (shape[rest], digit[rest]), n[rest])
+    np.add.at(distinct, (shape[rest], digit[rest]), 1)
+    vocabulary = Vocabulary(hashes[common].view(np.int64).tolist(), total, distinct, (hashes[rest].view(np.int64), n[rest]))
+    cells, _, words_ = vocabulary.split(data, offsets)
+    inside, missing = vocabulary.inside(cells, words_)
+    assert not len(missing) and (cells[common] <= WORDS).all() and (cells[rest] > WORDS).all()
+    network = odd_network(9)
+    network.prior = vocabulary.prior
+    around = np.tile(np.array([[3, 200, 0, 900]]), (CELLS, 1))
+    every = np.exp(network.log_likelihood(around, np.arange(CELLS)).astype(np.float64))
+    assert every.sum() == pytest.approx(1, abs=1e-4)
+    seen = (every[cells[rest]] * np.exp(inside[rest])).sum()
+    unseen = (every[1 + WORDS :] * 0.5 / np.exp(vocabulary.whole)).sum()
+    assert every[: 1 + WORDS].sum() + seen + unseen == pytest.approx(1, abs=1e-4)
 
 
 def test_pseudo_likelihood(spark):
@@ -519,7 +600,10 @@ def test_pseudo_likelihood_tells_words_of_a_shape_apart(spark, monkeypatch, head
     docs = [(k, " ".join(rng.choices(usual, k=100))) for k in range(200)]
     docs += [(k, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(100))) for k in range(200, 210)]
     docs += [(None, docs[0][1])]
-    out = {r["doc_id"]: r for r in pseudo_likelihood(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    frame = spark.createDataFrame([(k, t, "x", 1) for k, t in docs] + [(5, docs[5][1], "x", 1)] * 2, "doc_id long, text string, word string, log_likelihood int")
+    rows = pseudo_likelihood(frame).collect()
+    assert len({round(r["per_word"], 6) for r in rows if r["doc_id"] == 5}) == 1 and len(rows) == 213
+    out = {r["doc_id"]: r for r in rows}
     assert max(out[k]["per_word"] for k in range(200, 210)) < min(out[k]["per_word"] for k in range(200)) - 1
     assert out[None]["log_likelihood"] == pytest.approx(out[0]["log_likelihood"]) and len(out) == 211
     tokens = " ".join(t for _, t in docs).split()
