@@ -7,21 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from raterlake.operators import ranks
+
 
 def micros(ts: str) -> Column:
     """Microseconds of a timestamp column, with or without a time zone."""
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row") -> DataFrame:
-    """Adds the 0-based rank of each row in its group.
-
-    With a group of few rows' worth this is a window; for a large table without
-    natural groups pass a coarse group (a split) whose size a task can sort.
-    """
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
-
-
 def shard_plan(df: DataFrame, group: str, size: int) -> DataFrame:
     """(group, shard_id, start, end, count) of shards of ``size`` rows, from the groups' counts alone."""
     n = df.groupBy(group).agg(F.count("*").alias("n"))
@@ -42,32 +35,58 @@ def dry_run(work: DataFrame, done: DataFrame, keys: Sequence[str], group: str, r
 
 
 def breaker_trips(df: DataFrame, group: str, order: str, failed: str, limit: int = 5) -> DataFrame:
-    """(group, tripped_at, run_length): where a group's run of failures first reaches ``limit``; successes reset it."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = df.withColumn("_run", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w))
-    inside = Window.partitionBy(group, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = runs.withColumn("_length", F.sum(F.when(F.col(failed), 1).otherwise(0)).over(inside)).where((F.col("_length") >= limit) & F.col(failed))
-    return counted.groupBy(group).agg(F.min(order).alias("tripped_at"), F.max("_length").alias("run_length"))
+    """(group, tripped_at, run_length): where a group's run of failures first reaches ``limit``, and its longest run; successes reset it.
+
+    Runs are counted in buckets of the order. What a bucket ends with is carried to
+    the next ones by a window over the buckets alone.
+    """
+    rows = ranks.bucketed(df.select(group, F.col(order).alias("_o"), F.col(failed).alias("_f")), [group], "_o")
+    inside = Window.partitionBy(group, "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.withColumn("_run", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(inside))
+    within = Window.partitionBy(group, "_bucket", "_run").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    counted = runs.withColumn("_length", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(within))
+    ends = rows.groupBy(group, "_bucket").agg(F.max(F.when(~F.col("_f"), F.col("_o"))).alias("_last"), F.count("*").alias("_n"))
+    tails = rows.join(ends, [group, "_bucket"]).groupBy(group, "_bucket").agg(F.count_if(F.col("_f") & (F.col("_last").isNull() | (F.col("_o") > F.col("_last")))).alias("_tail"), F.max("_last").isNotNull().alias("_reset"))
+    over = Window.partitionBy(group).orderBy("_bucket")
+    islands = tails.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(over))
+    carried = islands.withColumn("_out", F.sum("_tail").over(Window.partitionBy(group, "_island").orderBy("_bucket"))).withColumn("_in", F.coalesce(F.lag("_out").over(over), F.lit(0)))
+    length = F.col("_length") + F.when(F.col("_run") == 0, F.col("_in")).otherwise(0)
+    full = counted.join(carried.select(group, "_bucket", "_in"), [group, "_bucket"]).withColumn("_length", length).where((F.col("_length") >= limit) & F.col("_f"))
+    return full.groupBy(group).agg(F.min("_o").alias("tripped_at"), F.max("_length").alias("run_length"))
+
+
+#: Windows of a time bucket in rate_audit.
+WINDOWS = 60
 
 
 def rate_audit(df: DataFrame, group: str, ts: str, seconds: int = 60) -> DataFrame:
-    """(group, most_in_window, least_gap_s): the most calls in any window of ``seconds`` up to a call, and the least gap between calls."""
-    stamped = df.withColumn("_t", micros(ts))
-    w = Window.partitionBy(group).orderBy("_t")
-    counted = stamped.withColumn("_n", F.count("*").over(w.rangeBetween(-seconds * 1_000_000, 0))).withColumn("_gap", F.col("_t") - F.lag("_t").over(w))
-    return counted.groupBy(group).agg(F.max("_n").alias("most_in_window"), (F.min("_gap") / 1e6).alias("least_gap_s"))
+    """(group, most_in_window, least_gap_s): the most calls in any window of ``seconds`` up to a call, and the least gap between calls.
+
+    Calls are counted in time buckets of WINDOWS windows, to which the last window of
+    the bucket before is added. Gaps between buckets come from their first and last calls.
+    """
+    span = seconds * 1_000_000
+    stamped = df.select(group, micros(ts).alias("_t")).where("_t is not null").withColumn("_bucket", F.floor(F.col("_t") / (span * WINDOWS)))
+    late = F.col("_t") >= (F.col("_bucket") + 1) * (span * WINDOWS) - span
+    copies = F.when(late, F.array(F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("own")), F.struct((F.col("_bucket") + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("own"))))
+    rows = stamped.select(group, "_t", F.explode(copies).alias("c")).select(group, "_t", "c.b", "c.own")
+    w = Window.partitionBy(group, "b").orderBy("_t")
+    counted = rows.withColumn("_n", F.count("*").over(w.rangeBetween(-span, 0))).withColumn("_gap", F.col("_t") - F.lag("_t").over(w)).where("own")
+    per = counted.groupBy(group, "b").agg(F.max("_n").alias("_n"), F.min("_gap").alias("_gap"), F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    gap = F.col("_first") - F.lag("_last").over(Window.partitionBy(group).orderBy("b"))
+    return per.withColumn("_gap", F.least("_gap", gap)).groupBy(group).agg(F.max("_n").alias("most_in_window"), (F.min("_gap") / 1e6).alias("least_gap_s"))
 
 
 def progress_marks(df: DataFrame, group: str, order: str, every: int) -> DataFrame:
     """Every ``every``-th row of a group, with its number from 1."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("done", n).where(F.col("done") % every == 0)
+    return ranks.numbered(df, [group], order, "done").where(F.col("done") % every == 0)
 
 
 def final_attempts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last attempt of each call and how many there were."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("attempt", F.row_number().over(w.orderBy(order))).withColumn("attempts", F.count("*").over(w)).where("attempt = attempts").drop("attempt")
+    """The last attempt of each call and how many there were; one aggregate."""
+    others = [c for c in df.columns if c not in keys]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_last"), F.count("*").alias("attempts"))
+    return last.select(*keys, *(F.col("_last")[c].alias(c) for c in others), "attempts")
 
 
 def throughput(df: DataFrame, group: Sequence[str], ts: str, total: int) -> DataFrame:
@@ -82,3 +101,20 @@ def run_totals(df: DataFrame, group: str, failed: str) -> DataFrame:
     """(group, completed, failed, total, succeeded, total_as_counted): the last counts failures among the completed and again, as some run reports do."""
     agg = df.groupBy(group).agg(F.count("*").alias("completed"), F.count_if(F.col(failed)).alias("failed"))
     return agg.withColumns({"total": F.col("completed"), "succeeded": F.col("completed") - F.col("failed"), "total_as_counted": F.col("completed") + F.col("failed")})
+
+
+def speed_report(calls: DataFrame, group: str, latency: str) -> DataFrame:
+    """(group, calls, avg_latency_ms, total_s): calls without a latency count as calls; the total is calls times the mean, null without any latency."""
+    agg = calls.groupBy(group).agg(F.count("*").alias("calls"), F.avg(F.col(latency).try_cast("double")).alias("avg_latency_ms"))
+    return agg.withColumn("total_s", F.col("calls") * F.col("avg_latency_ms") / 1000)
+
+
+def shard_rows(df: DataFrame, group: str, order: str, size: int, shard: int) -> DataFrame:
+    """The rows of one shard (from 1) of each group, with shard_id."""
+    return ranks.numbered(df, [group], order, "_row").withColumn("shard_id", F.ceil(F.col("_row") / size).cast("long")).where(F.col("shard_id") == shard).drop("_row")
+
+
+def ready(engines: DataFrame, group: str, is_ready: Column, passed: Column, least: int = 2) -> DataFrame:
+    """(ready_count, ready_engines, consensus_ready): engines that are ready and passed, and whether they are enough for a vote."""
+    ok = engines.where(is_ready & passed).select(group).distinct().agg(F.count("*").alias("ready_count"), F.concat_ws(",", F.array_sort(F.collect_list(group))).alias("ready_engines"))  # engines are few
+    return ok.withColumn("consensus_ready", F.col("ready_count") >= least)

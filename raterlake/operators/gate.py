@@ -63,11 +63,49 @@ def resolution_stats(df: DataFrame, column: str = "resolution") -> DataFrame:
 
 
 def export_gate(df: DataFrame, label: str, review: str, valid: Sequence[str], pseudo: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(rows to export, rows for review); fails if a label is a pseudo-label or unknown. A null label passes."""
+    """(rows to export, rows for review); running either fails if it meets a label that is a pseudo-label or unknown. A null label passes."""
     low = F.lower(F.col(label))
     bad = F.col(label).isNotNull() & (F.col(label).isin(list(pseudo)) | low.isin(V.PSEUDO) | ~F.col(label).isin(list(valid)))
-    found = df.where(bad).select(label).limit(1).collect()
-    if found:
-        raise ValueError(f"export blocked: {found[0][0]!r} is no official label")
+    blocked = F.raise_error(F.concat(F.lit("export blocked: "), F.col(label), F.lit(" is no official label"))).cast("boolean")
+    checked = df.where(F.when(bad, blocked).otherwise(F.lit(True)))
     needs = F.coalesce(F.col(review), F.lit(False))
-    return df.where(~needs), df.where(needs)
+    return checked.where(~needs), checked.where(needs)
+
+
+def assemble_damage_rows(answers: DataFrame, kind: str = "kind", fields: str = "fields") -> DataFrame:
+    """Adds P1..P4, severity, area, confidence, raw_schema_ok, raw_vocab_ok, raw_errors, fallback_reason, gate_pass and review_required to parsed damage answers.
+
+    Unlike assemble_rows there are no rules across dimensions, severity is judged
+    with the labels, and a row is for review if its raw answer fails or a label fell
+    back. Severity, area and confidence pass through as they are.
+    """
+    dims = ["P1", "P2", "P3", "P4"]
+    raw = {d: F.col(fields)[d] for d in dims}
+    parsed = (F.col(kind) == "object") & (F.size(fields) > 0)
+    passed = {c: F.coalesce(F.col(fields)[c], F.lit("")).alias(c) for c in ("severity", "area", "confidence")}
+    df = with_labels(answers, raw)
+    missing = schema_missing(F.when(parsed, F.col(fields)), [*dims, *passed])
+    vocabularies = {**{d: V.LABELS[d] for d in dims}, "severity": list(V.SEVERITY.values())}
+    errors = F.when(parsed, vocabulary_errors({**raw, "severity": F.col(fields)["severity"]}, vocabularies)).otherwise(F.array(F.lit("no_data")))
+    fallback = F.concat_ws("; ", *(F.when(F.col(f"{d}_reason").startswith("fallback:"), F.col(f"{d}_reason")) for d in dims))
+    df = df.withColumns({"_missing": missing, "_errors": errors, "fallback_reason": fallback})
+    schema_ok, vocab_ok = F.size("_missing") == 0, F.size("_errors") == 0
+    return df.select(
+        *answers.columns, *dims, *passed.values(), schema_ok.alias("raw_schema_ok"), vocab_ok.alias("raw_vocab_ok"), F.concat_ws("; ", "_missing", "_errors").alias("raw_errors"), "fallback_reason",
+        (schema_ok & vocab_ok).alias("gate_pass"), (~(schema_ok & vocab_ok) | (F.col("fallback_reason") != "")).alias("review_required"),
+    )
+
+
+def both_steps(semantic: DataFrame, damage: DataFrame, keys: Sequence[str], first: str = "D1", second: str = "P1") -> DataFrame:
+    """Semantic and damage rows of the same item and rater side by side, with step3_valid and step4_valid: whether the first raw label of each is in its vocabulary."""
+    a = semantic.withColumn("step3_valid", F.coalesce(F.col(first).isin(V.LABELS[first]), F.lit(False)))
+    b = damage.withColumn("step4_valid", F.coalesce(F.col(second).isin(V.LABELS[second]), F.lit(False)))
+    return a.join(b, list(keys))
+
+
+def review_queue(rows: DataFrame, path: str, review: str = "review_required") -> DataFrame:
+    """Writes the rows for review as JSON lines and returns them; without any nothing is written."""
+    queue = rows.where(F.coalesce(F.col(review), F.lit(False)))
+    if not queue.isEmpty():
+        queue.write.mode("overwrite").json(path)
+    return queue

@@ -7,7 +7,7 @@ one shuffle, and keep only aggregates of a unit, never its rows in a list.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,9 +97,24 @@ def independent_counts(df: DataFrame, columns: Sequence[str], total: bool = Fals
     return grouped.select(kind.alias("kind"), value.alias("value"), "n")
 
 
-def bucket_index(votes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(bucket_kind, bucket, n): independent counts by each column."""
-    return independent_counts(votes, columns).toDF("bucket_kind", "bucket", "n")
+def bucket_index(votes: DataFrame, columns: Sequence[str], labels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(bucket_kind, bucket, n): independent counts by each column; each of a column's ``labels`` has a row, be it of 0."""
+    counted = independent_counts(votes, columns).toDF("bucket_kind", "bucket", "n")
+    known = [(c, x) for c, values in (labels or {}).items() for x in values]
+    if not known:
+        return counted
+    empty = votes.sparkSession.createDataFrame([(c, x, 0) for c, x in known], "bucket_kind string, bucket string, n long")
+    return counted.unionByName(empty).groupBy("bucket_kind", "bucket").agg(F.sum("n").alias("n"))
+
+
+def bucket_manifest(members: DataFrame, unit: str, labels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(bucket, n, first_unit, last_unit) of a bucket export, empty buckets of the ``labels`` included."""
+    counted = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(unit).alias("first_unit"), F.max(unit).alias("last_unit"))
+    names = [(f"{c}/{x}",) for c, values in (labels or {}).items() for x in values]
+    if not names:
+        return counted
+    every = F.broadcast(members.sparkSession.createDataFrame(names, "bucket string"))
+    return every.join(counted, "bucket", "left").unionByName(counted.join(every, "bucket", "left_anti")).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def bucket_members(votes: DataFrame, unit: str, columns: Sequence[str], skip: dict[str, Sequence[str]] | None = None) -> DataFrame:

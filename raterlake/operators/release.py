@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,75 @@ def verify_checksums(expected: DataFrame, actual: DataFrame, key: str) -> DataFr
     return e.join(a, key, "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def required_present(found: DataFrame, name: str, required: Sequence[str]) -> DataFrame:
+    """(check, status): each required name, FAIL if ``found`` lacks it."""
+    wanted = found.sparkSession.createDataFrame([(r,) for r in required], f"{name} string")
+    there = wanted.join(found.select(name).distinct().withColumn("_there", F.lit(True)), name, "left")
+    return there.select(F.concat(F.lit("required: "), name).alias("check"), F.when(F.col("_there"), "PASS").otherwise("FAIL").alias("status"))
+
+
+def validate(
+    files: DataFrame, required: Sequence[str], expected_sums: DataFrame, splits: Sequence[tuple[str, DataFrame]], total: int, consensus: DataFrame, per_rater: DataFrame, raters: Mapping[str, int | None], texts: DataFrame, documents: DataFrame, taxonomy: DataFrame | None = None, key: str = "patch_id"
+) -> DataFrame:
+    """(section, check, status, n): a release's eight sections as one table.
+
+    Required files; checksums (files without one, sums that differ); splits (their
+    total, ids in two of them); consensus (ids that it and the splits lack of each
+    other, unknown levels); rows a rater (None: at least one), rows of no rater
+    (a warning), rows that failed the gate (reported); labels of the taxonomy
+    (reported); secrets in ``documents`` (name, content) and placeholders in
+    ``texts`` (name, content; a warning). A check of ``n`` findings passes with none.
+    """
+    spark = files.sparkSession
+
+    def one(section: str, check: str, counted: DataFrame, bad: str = "FAIL") -> DataFrame:
+        return counted.select(F.lit(section).alias("section"), F.lit(check).alias("check"), F.when(F.col("n") == 0, "PASS").otherwise(bad).alias("status"), F.col("n").cast("long").alias("n"))
+
+    count = lambda df: df.agg(F.count("*").alias("n"))
+    rows = [required_present(files, "path", required).select(F.lit("files").alias("section"), "check", "status", F.when(F.col("status") == "PASS", 0).otherwise(1).cast("long").alias("n"))]
+    rows.append(one("checksums", "files without a checksum", count(files.join(expected_sums, "path", "left_anti"))))
+    pair = files.select("path", F.col("sha256").alias("a")).join(expected_sums.select("path", F.col("sha256").alias("e")), "path")
+    rows.append(one("checksums", "checksums that differ", count(pair.where("a <> e"))))
+    ids = reduce(DataFrame.unionByName, (df.select(key).distinct().withColumn("split", F.lit(name)) for name, df in splits))
+    per_id = ids.groupBy(key).agg(F.count("*").alias("splits"))
+    rows.append(one("splits", "ids more or fewer than expected", per_id.agg(F.abs(F.coalesce(F.sum("splits"), F.lit(0)) - total).alias("n"))))
+    rows.append(one("splits", "ids in two splits", count(per_id.where("splits > 1"))))
+    sides = per_id.select(key, F.lit(True).alias("_s")).join(consensus.select(key).distinct().withColumn("_c", F.lit(True)), key, "full_outer")
+    rows.append(one("consensus", "ids that consensus and splits lack of each other", count(sides.where("_s is null or _c is null"))))
+    rows.append(one("consensus", "unknown levels", count(consensus.where("coalesce(consensus_level, '') not in ('high', 'medium', 'low')"))))
+    per = per_rater.groupBy(F.trim(F.coalesce("engine", F.lit(""))).alias("engine")).agg(F.count("*").alias("n"))
+    wanted = F.broadcast(spark.createDataFrame([(e, n) for e, n in raters.items()], "engine string, wanted long"))
+    by = wanted.join(per, "engine", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    fits = F.when(F.col("wanted").isNull(), F.col("n") > 0).otherwise(F.col("n") == F.col("wanted"))
+    rows.append(by.select(F.lit("raters").alias("section"), F.concat(F.lit("rows of "), "engine").alias("check"), F.when(fits, "PASS").otherwise("FAIL").alias("status"), "n"))
+    rows.append(one("raters", "rows of no rater", per_rater.agg(F.count_if(F.trim(F.coalesce("engine", F.lit(""))) == "").alias("n")), "WARN"))
+    rows.append(per_rater.agg(F.count_if(F.lower(F.col("gate_pass").cast("string")) == "false").alias("n")).select(F.lit("raters").alias("section"), F.lit("rows that failed the gate").alias("check"), F.lit("PASS").alias("status"), "n"))
+    if taxonomy is not None:
+        rows.append(taxonomy.groupBy("dim").agg(F.count("*").alias("n")).select(F.lit("taxonomy").alias("section"), F.concat(F.lit("labels of "), "dim").alias("check"), F.lit("PASS").alias("status"), "n"))
+    rows.append(one("secrets", "documents with secret keys", count(documents.where(F.size(secret_keys(F.col("content"))) > 0))))
+    rows.append(one("placeholders", "texts with placeholders", count(texts.where(has_placeholder(F.col("content")))), "WARN"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def release_verdict(report: DataFrame) -> DataFrame:
+    """(passed, warned, failed, verdict): NOT READY with a failure, PASS with warnings, or PASS."""
+    agg = report.agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in (("PASS", "passed"), ("WARN", "warned"), ("FAIL", "failed"))))
+    return agg.withColumn("verdict", F.when(F.col("failed") > 0, "NOT READY").when(F.col("warned") > 0, "PASS with warnings").otherwise("PASS"))
+
+
+def freeze(prompts: DataFrame, name: str, content: str) -> DataFrame:
+    """(name, sha256_16, length) of frozen texts; a null text counts as empty."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    return prompts.select(F.col(name).alias("name"), F.substring(F.sha2(text, 256), 1, 16).alias("sha256_16"), F.char_length(text).alias("length"))
+
+
+def sets_equal(parts: Sequence[DataFrame], whole: DataFrame, key: str) -> DataFrame:
+    """(missing, extra, equal): ids of the whole that no part has, and the other way round."""
+    union = reduce(DataFrame.unionByName, (p.select(key) for p in parts)).distinct().withColumn("_p", F.lit(True))
+    both = union.join(whole.select(key).distinct().withColumn("_w", F.lit(True)), key, "full_outer")
+    return both.agg(F.count_if(F.col("_p").isNull()).alias("missing"), F.count_if(F.col("_w").isNull()).alias("extra")).withColumn("equal", (F.col("missing") == 0) & (F.col("extra") == 0))
+
+
 def set_report(parts: Sequence[tuple[str, DataFrame]], whole: DataFrame, key: str) -> DataFrame:
     """(measure, n): sizes of the parts, of each two parts' intersection, of their union, and what the union and the whole lack of each other."""
     sets = [(name, df.select(key).distinct()) for name, df in parts]

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from raterlake.operators import ranks
+from raterlake.operators.tiling import seeded
 
-def quantiles(df: DataFrame, wanted: Sequence[tuple[str, float]]) -> dict[tuple[str, float], float]:
-    """Linearly interpolated quantiles, all from one pass; a bounded number of scalars comes back."""
-    columns = sorted({c for c, _ in wanted})
-    levels = {c: sorted({q for k, q in wanted if k == c}) for c in columns}
-    row = df.agg(*(F.percentile(c, F.array(*map(F.lit, levels[c]))).alias(c) for c in columns)).first()
-    return {(c, q): row[c][i] for c in columns if row[c] is not None for i, q in enumerate(levels[c])}
+
+def with_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """``df`` and one column a wanted quantile: name -> (column, level), linearly interpolated over the whole table and exact."""
+    for column in sorted({c for c, _ in wanted.values()}):
+        names = {name: q for name, (c, q) in wanted.items() if c == column}
+        found = ranks.quantiles(df, [], column, sorted(set(names.values())))
+        row = found.agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for name, q in names.items()))
+        df = df.join(F.broadcast(row))  # one row
+    return df
 
 
 def pick_strata(df: DataFrame, key: str, strata: Sequence[tuple[str, Column]], n: int = 4) -> DataFrame:
@@ -35,7 +40,7 @@ def pick_strata(df: DataFrame, key: str, strata: Sequence[tuple[str, Column]], n
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows by the order of a seeded hash of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded(key, seed), key).limit(n)
 
 
 def array_mean(values: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterlake.functions import answers, labels
-from raterlake.operators import agreement, calls, gate, panel, quality, release, sampling, tiling
+from raterlake.operators import agreement, calls, gate, panel, quality, ranks, release, sampling, tiling
 from raterlake.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,8 +163,8 @@ _PRIORITIES, _PRIORITY_ALIASES = ["URGENT", "HIGH", "MEDIUM", "LOW"], {"NOT SPEC
 
 @query("""select o_orderkey, case regexp_replace(o_orderpriority, '^[0-9]+\\s*-\\s*', '') when 'NOT SPECIFIED' then 'MEDIUM' else regexp_replace(o_orderpriority, '^[0-9]+\\s*-\\s*', '') end label from orders""")
 def label_normalize(spark, sf_dir):
-    df = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
-    return df.select("o_orderkey", labels.normalize(F.col("o_orderpriority"), _PRIORITIES, _PRIORITY_ALIASES, "LOW").alias("label"))
+    df = table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").withColumn("clean", labels.clean_value(F.col("o_orderpriority")))
+    return df.select("o_orderkey", labels.normalize(F.col("o_orderpriority"), _PRIORITIES, _PRIORITY_ALIASES, "LOW", cleaned=F.col("clean")).alias("label"))
 
 
 @query("""with v(o, raw) as (values ('F', '天尊'), ('O', '7'), ('P', '10')), r as (select o_orderkey, raw from orders join v on o = o_orderstatus)
@@ -222,10 +222,14 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "props").select("event_id", answers.json_fields(F.col("props"))["k"].alias("k"))
 
 
-@query("""select event_id, 'object' kind, json_extract_string(props, '$.k') k from events""")
+@query("""select event_id, case event_id % 8 when 2 then 'array' when 3 then 'scalar' when 5 then 'none' when 6 then 'none' when 7 then 'none' else 'object' end kind,
+case when event_id % 8 in (0, 1, 4) then json_extract_string(props, '$.k') end k from events""")
 def json_fence_extract(spark, sf_dir):
+    """Fenced, bare and surrounded answers, arrays, numbers, two objects, single quotes, broken fences."""
     ship(spark)
-    df = table(spark, sf_dir, "events", "event_id", "props").withColumn("text", F.concat(F.lit("Answer:\n```json\n"), "props", F.lit("\n```\nDone {}")))
+    forms = ["concat('Answer:\n```json\n', props, '\n```\nDone {}')", "props", "concat('[', props, ']')", "'42'", "concat('So: ', props, ' it is')", "concat(props, ' and ', props)", "\"{'k': 1}\"", "'```\n[1, 2\n```'"]
+    text = F.expr("case event_id % 8 " + " ".join(f"when {i} then {form}" for i, form in enumerate(forms)) + " end")
+    df = table(spark, sf_dir, "events", "event_id", "props").withColumn("text", text)
     return df.select("event_id", answers.extract_json(F.col("text")).alias("j")).select("event_id", "j.kind", F.col("j.fields")["k"].alias("k"))
 
 
@@ -265,27 +269,29 @@ def coverage(spark, sf_dir):
     return quality.coverage(table(spark, sf_dir, "labels"), "doc_id", 7455).withColumn("pct", F.round("pct", 9))
 
 
-def _checks(spark, sf_dir):
+def _checks(spark, sf_dir, required=("patch_id", "D1")):
     df = table(spark, sf_dir, "events", "event_id", "event_type", "value")
-    rows = df.select(F.col("event_id").alias("patch_id"), F.col("event_type").alias("D1"), (F.col("value") > 5).cast("string").alias("gate_pass"), F.when(F.col("event_type") == "error", "fallback: error").otherwise("").alias("fallback_reason"))
-    return quality.check_rater(rows, 10000, {"D1": ["view", "click", "purchase", "error"]})
+    rows = df.select(F.col("event_id").alias("patch_id"), F.col("event_type").alias("D1"), (F.col("value") > 5).cast("string").alias("gate_pass"), F.when(F.col("event_type") == "error", "fallback: error").otherwise("").alias("fallback_reason"), F.col("value").alias("latency_ms"))
+    return quality.check_rater(rows, 10000, {"D1": ["view", "click", "purchase", "error"]}, required=required, latency="latency_ms")
 
 
 _CHECKS = """with m as (select count(distinct event_id) * 100.0::double / 10000 coverage, count(*) filter (event_type in ('view', 'click', 'purchase', 'error')) * 100.0::double / count(*) vocab,
-count(*) filter (value > 5) * 100.0::double / count(*) gate, 100.0 - count(*) filter (event_type = 'error') * 100.0::double / count(*) nofb, count(distinct event_type)::double d, (count(distinct event_id) - count(event_id))::double dup from events),
-c as (select unnest([{'check': 'coverage', 'observed': coverage, 'expected': 90.0::double}, {'check': 'vocab', 'observed': vocab, 'expected': 95.0::double}, {'check': 'gate_pass', 'observed': gate, 'expected': 95.0::double},
-{'check': 'fallback', 'observed': nofb, 'expected': 95.0000001::double}, {'check': 'd1_dist', 'observed': d, 'expected': 3.0::double}, {'check': 'duplicates', 'observed': dup, 'expected': 0.0::double}], recursive := true) from m)
+count(*) filter (value > 5) * 100.0::double / count(*) gate, 100.0 - count(*) filter (event_type = 'error') * 100.0::double / count(*) nofb, count(distinct event_type)::double d, (count(distinct event_id) - count(event_id))::double dup, avg(value) filter (value > 0) latency from events),
+c as (select unnest([{{'check': 'coverage', 'observed': coverage, 'expected': 90.0::double, 'low': 'WARN'}}, {{'check': 'schema', 'observed': {schema}::double, 'expected': 0.0::double, 'low': 'FAIL'}}, {{'check': 'vocab', 'observed': vocab, 'expected': 95.0::double, 'low': 'WARN'}}, {{'check': 'gate_pass', 'observed': gate, 'expected': 95.0::double, 'low': 'WARN'}},
+{{'check': 'fallback', 'observed': nofb, 'expected': 95.0000001::double, 'low': 'WARN'}}, {{'check': 'd1_dist', 'observed': d, 'expected': 3.0::double, 'low': 'WARN'}}, {{'check': 'duplicates', 'observed': dup, 'expected': 0.0::double, 'low': 'WARN'}}, {{'check': 'latency', 'observed': latency, 'expected': 0.0::double, 'low': 'WARN'}}], recursive := true) from m),
+s as (select "check", observed, expected, case when observed >= expected then 'PASS' when "check" = 'coverage' and observed < 50 then 'INFO' else low end status from c)
 """
 
 
-@query(_CHECKS + """select "check", round(observed, 9) observed, expected, case when observed >= expected then 'PASS' else 'WARN' end status from c""")
+@query(_CHECKS.format(schema="0") + """select "check", round(observed, 9) observed, expected, status from s""")
 def completion_checks(spark, sf_dir):
     return _checks(spark, sf_dir).withColumn("observed", F.round("observed", 9))
 
 
-@query(_CHECKS + """select count(*) total, count(*) filter (observed >= expected) passed, count(*) filter (observed < expected) warned, 0::bigint failed, 'PASS' verdict from c""")
+@query(_CHECKS.format(schema="-1") + """select count(*) total, count(*) filter (status = 'PASS') passed, count(*) filter (status = 'WARN') warned, count(*) filter (status = 'FAIL') failed, case when count(*) filter (status = 'FAIL') = 0 then 'PASS' else 'FAIL' end verdict from s""")
 def go_no_go(spark, sf_dir):
-    return quality.verdict(_checks(spark, sf_dir))
+    """A table without one of the required columns fails."""
+    return quality.verdict(_checks(spark, sf_dir, ("patch_id", "D1", "D2")))
 
 
 @query("""with r as (select event_type, value v, row_number() over (partition by event_type order by value) - 1 k, count(*) over (partition by event_type) n from events where value > 0)
@@ -302,21 +308,16 @@ s3 as (select doc_id from d, q where n_chars < q30 and doc_id not in (select doc
 """
 
 
-def _bounds(spark, sf_dir):
-    return sampling.quantiles(table(spark, sf_dir, "documents", "n_chars"), [("n_chars", 0.75), ("n_chars", 0.3), ("n_chars", 0.9)])
-
-
 @query("""select 0.3::double q, quantile_cont(n_chars, 0.30) value from documents union all select 0.75::double, quantile_cont(n_chars, 0.75) from documents union all select 0.9::double, quantile_cont(n_chars, 0.9) from documents""")
 def quantile_strata(spark, sf_dir):
-    df = table(spark, sf_dir, "documents", "n_chars").agg(F.percentile("n_chars", F.array(F.lit(0.3), F.lit(0.75), F.lit(0.9))).alias("p"))
-    return df.select(F.explode(F.arrays_zip(F.array(F.lit(0.3), F.lit(0.75), F.lit(0.9)).alias("q"), F.col("p").alias("value"))).alias("x")).select(F.col("x.q").alias("q"), F.col("x.value").alias("value"))
+    return ranks.quantiles(table(spark, sf_dir, "documents", "n_chars"), [], "n_chars", [0.3, 0.75, 0.9])
 
 
 @query(_STRATA + "select doc_id, 'long' stratum from s1 union all select doc_id, 'longest' from s2 union all select doc_id, 'short' from s3")
 def stratified_pick(spark, sf_dir):
-    b, n = _bounds(spark, sf_dir), F.col("n_chars")
-    strata = [("long", n > b["n_chars", 0.75]), ("longest", n > b["n_chars", 0.9]), ("short", n < b["n_chars", 0.3])]
-    return sampling.pick_strata(table(spark, sf_dir, "documents", "doc_id", "n_chars"), "doc_id", strata, 4).select("doc_id", "stratum")
+    df = sampling.with_quantiles(table(spark, sf_dir, "documents", "doc_id", "n_chars"), {"q75": ("n_chars", 0.75), "q30": ("n_chars", 0.3), "q90": ("n_chars", 0.9)})
+    strata = [("long", F.expr("n_chars > q75")), ("longest", F.expr("n_chars > q90")), ("short", F.expr("n_chars < q30"))]
+    return sampling.pick_strata(df, "doc_id", strata, 4).select("doc_id", "stratum")
 
 
 @query("""with n as (select lang, count(*) n from documents group by 1), s as (select lang, n, unnest(range(1, ceil(n / 200.0)::bigint + 1)) shard_id from n)
@@ -380,9 +381,10 @@ def split_sets(spark, sf_dir):
 
 
 @query(_UNITS + """, b as (select *, case when n_engines >= 4 and unanimous then 'high' when coalesce(min_ratio, 0) >= 0.75 then 'medium' else 'review' end consensus from u)
-select 'D1' bucket_kind, D1 bucket, count(*) n from b group by 2 union all select 'D2', D2, count(*) from b group by 2 union all select 'consensus', consensus, count(*) from b group by 2""")
+select 'D1' bucket_kind, D1 bucket, count(*) n from b group by 2 union all select 'D2', D2, count(*) from b group by 2 union all select 'consensus', consensus, count(*) from b group by 2 union all select 'D1', 'X', 0 union all select 'D2', 'Y', 0""")
 def bucket_index(spark, sf_dir):
-    return panel.bucket_index(panel.consensus(rated(spark, sf_dir), "l_orderkey", ["D1", "D2"], ORDER), ["D1", "D2", "consensus"])
+    votes = panel.consensus(rated(spark, sf_dir), "l_orderkey", ["D1", "D2"], ORDER)
+    return panel.bucket_index(votes, ["D1", "D2", "consensus"], {"D1": ["A", "R", "X"], "D2": ["F", "O", "Y"]})
 
 
 @query(_UNITS + """select 'D1/' || D1 bucket, l_orderkey from u where D1 <> '' union all select 'D2/' || D2, l_orderkey from u where D2 not in ('', 'O')""")
@@ -395,17 +397,23 @@ def checksum_list(spark, sf_dir):
     return release.checksums(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query("""select case when l.doc_id is null then 'unlisted' else 'ok' end status, count(*) n from documents d left join labels l using (doc_id) group by 1""")
+@query("""with e as (select doc_id, doc_id % 10 = 3 changed from labels), a as (select doc_id from documents where doc_id % 10 <> 7)
+select case when a.doc_id is null then 'missing' when e.doc_id is null then 'unlisted' when changed then 'mismatch' else 'ok' end status, count(*) n from e full join a using (doc_id) group by 1""")
 def checksum_verify(spark, sf_dir):
-    docs = release.checksums(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
-    return release.verify_checksums(docs.join(table(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_semi"), docs, "doc_id")
+    """The listed sums are those of the labelled documents, some of another text; some documents are gone."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    listed = docs.join(table(spark, sf_dir, "labels", "doc_id"), "doc_id", "left_semi").withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    return release.verify_checksums(release.checksums(listed, "doc_id", "text"), release.checksums(docs.where("doc_id % 10 <> 7"), "doc_id", "text"), "doc_id")
 
 
-@query("""select c_custkey, regexp_extract(c_name, '^(.+)#(\\d+)$', 1) kind, regexp_extract(c_name, '^(.+)#(\\d+)$', 2)::int number, 'tile' source_id from customer""")
+@query("""select c_custkey, case when c_custkey % 6 = 5 then null else regexp_extract(c_name, '^(.+)#(\\d+)$', 1) end kind, case when c_custkey % 6 = 5 then null else regexp_extract(c_name, '^(.+)#(\\d+)$', 2)::int end number,
+'src' || c_custkey % 5 || '_a' source_id from customer""")
 def id_parse(spark, sf_dir):
-    parsed = tiling.parse_tile_name(F.concat(F.regexp_replace("c_name", "#", "_"), F.lit("_7.png")))
-    source = answers.source_of_tile(F.concat(F.lit("tile_"), F.regexp_replace("c_name", "#", "_")))
-    return table(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", parsed.alias("p"), source.alias("source_id")).select("c_custkey", F.col("p.source_id").alias("kind"), F.col("p.x").alias("number"), "source_id")
+    """File names, one in six of another kind, and tile ids of five sources."""
+    df = table(spark, sf_dir, "customer", "c_custkey", "c_name")
+    parsed = tiling.parse_tile_name(F.concat(F.regexp_replace("c_name", "#", "_"), F.when(F.col("c_custkey") % 6 == 5, "_7.jpg").otherwise("_7.png")))
+    source = answers.source_of_tile(F.concat(F.lit("src"), (F.col("c_custkey") % 5).cast("string"), F.lit("_a_"), F.regexp_extract("c_name", r"(\d+)$", 1), F.lit("_7")))
+    return df.select("c_custkey", parsed.alias("p"), source.alias("source_id")).select("c_custkey", F.col("p.source_id").alias("kind"), F.col("p.x").alias("number"), "source_id")
 
 
 @query("""select page_id, case when rtrim(url, '/') like '%/v1' then rtrim(url, '/') else rtrim(url, '/') || '/v1' end base_url, case when url like '%casino%' then 'forbidden:casino; missing_v1' else 'missing_v1' end faults, substr(url, 1, 6) || '...' || right(url, 4) masked from pages""")
@@ -431,21 +439,31 @@ def unique_per_unit(spark, sf_dir):
     return panel.unique_labels_per_unit(rated(spark, sf_dir), "l_orderkey", "D1").withColumn("mean_labels", F.round("mean_labels", 10))
 
 
-@query("""select count(*) background, count(*) filter (l_linestatus = 'F') compliant from lineitem where l_returnflag = 'N'""")
+@query("""select count(*) filter (l_returnflag = 'N') background, count(*) filter (l_returnflag = 'N' and l_linestatus = 'F') compliant, round(count(*) filter (l_returnflag = 'N' and l_linestatus = 'F') * 100.0::double / count(*) filter (l_returnflag = 'N'), 9) rate_pct from lineitem""")
 def na_compliance(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus").where("l_returnflag = 'N'")
-    return df.agg(F.count("*").alias("background"), F.count_if(F.col("l_linestatus") == "F").alias("compliant"))
+    df = table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus")
+    return quality.na_compliance(df, F.col("l_returnflag") == "N", F.col("l_linestatus") == "F").withColumn("rate_pct", F.round("rate_pct", 9))
 
 
-@query("""with r as (select l_linestatus version, avg((l_returnflag <> 'N')::int) gate, avg((l_discount > 0.05)::int) review, count(*) n from lineitem group by 1)
-select count(*)::bigint versions, round(max(gate) filter (version = 'F'), 9) gate_f, round(max(gate) filter (version = 'O'), 9) gate_o, round(max(gate) filter (version = 'O') - max(gate) filter (version = 'F'), 9) gate_delta, round(max(review) filter (version = 'O') - max(review) filter (version = 'F'), 9) review_delta from r""")
+_VERSIONS = """with p as (select (o_custkey % 2 = 0)::int v, l.l_orderkey u, nullif(l_returnflag, 'N') D1, l_linestatus D2, l_discount from lineitem l join orders on o_orderkey = l_orderkey),
+long as (select v, u, 'D1' dim, D1 label from p union all select v, u, 'D2', D2 from p),
+c as (select v, u, dim, label, count(*)::bigint c from long where label is not null group by all), um as (select v, u, dim, sum(c)::bigint m, sum(c * c)::bigint s from c group by all),
+pr as (select v, dim, sum(m * (m - 1) // 2)::bigint n_pairs, sum((m * m - s) // 2)::bigint dis from um where m > 1 group by all),
+n1 as (select v, dim, label, sum(c)::double n from c group by all), vl as (select v, dim, sum(n) nv, sum(n * n) sq from n1 group by all),
+alpha as (select v, dim, 1 - (dis / n_pairs) / ((nv * nv - sq) / (nv * (nv - 1))) alpha from vl join pr using (v, dim)),
+r as (select v, avg((D1 is not null)::int) * 100 schema_rate, avg((l_discount <= 0.05)::int) * 100 cross_rate from p group by 1)
+"""
+
+
+@query(_VERSIONS + """select 'schema_valid_rate' measure, round(max(schema_rate) filter (v = 0), 9) a, round(max(schema_rate) filter (v = 1), 9) b, round(max(schema_rate) filter (v = 1) - max(schema_rate) filter (v = 0), 9) delta from r
+union all select 'cross_dim_valid_rate', round(max(cross_rate) filter (v = 0), 9), round(max(cross_rate) filter (v = 1), 9), round(max(cross_rate) filter (v = 1) - max(cross_rate) filter (v = 0), 9) from r
+union all select 'alpha_' || dim, round(max(alpha) filter (v = 0), 9), round(max(alpha) filter (v = 1), 9), round(max(alpha) filter (v = 1) - max(alpha) filter (v = 0), 9) from alpha group by dim""")
 def ab_compare(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem", "l_linestatus", "l_returnflag", "l_discount")
-    r = df.groupBy(F.col("l_linestatus").alias("version")).agg(F.avg((F.col("l_returnflag") != "N").cast("int")).alias("gate"), F.avg((F.col("l_discount") > 0.05).cast("int")).alias("review"))
-    f, o = F.col("version") == "F", F.col("version") == "O"
-    gf, go = F.max(F.when(f, F.col("gate"))), F.max(F.when(o, F.col("gate")))
-    rf, ro = F.max(F.when(f, F.col("review"))), F.max(F.when(o, F.col("review")))
-    return r.agg(F.count("*").alias("versions"), F.round(gf, 9).alias("gate_f"), F.round(go, 9).alias("gate_o"), F.round(go - gf, 9).alias("gate_delta"), F.round(ro - rf, 9).alias("review_delta"))
+    """Two versions (by customer): rates, and alpha of each dimension, with their differences."""
+    df = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", "l_discount").join(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    df = df.select((F.col("o_custkey") % 2 == 0).cast("int").alias("v"), "l_orderkey", F.expr("nullif(l_returnflag, 'N')").alias("D1"), F.col("l_linestatus").alias("D2"), "l_discount")
+    out = agreement.ab_compare(df, "v", (0, 1), "l_orderkey", ["D1", "D2"], F.col("D1").isNotNull(), F.col("l_discount") <= 0.05)
+    return out.select("measure", *(F.round(c, 9).alias(c) for c in ("a", "b", "delta")))
 
 
 def _failures(spark, sf_dir):
@@ -510,13 +528,17 @@ def secret_scan(spark, sf_dir):
     return table(spark, sf_dir, "events", "event_id", "props").select("event_id", F.concat_ws(",", release.secret_keys(F.col("props"), ("k", "token"))).alias("keys")).where("keys <> ''")
 
 
-@query("""select source, count(*) n, avg(n_chars) mean_chars from documents group by 1""")
+@query("""with u as (select event_type g, value v from events union all select event_type, user_id::double from events where event_id % 3 = 0) select g event_type, count(*) n, round(avg(v), 9) mean from u group by 1""")
 def pooled_means(spark, sf_dir):
-    df = table(spark, sf_dir, "documents", "source", "n_chars")
-    return df.groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"))
+    df = table(spark, sf_dir, "events", "event_id", "event_type", "value", "user_id")
+    second = df.where("event_id % 3 = 0").select("event_type", F.col("user_id").alias("value"))
+    return quality.pooled_mean([df, second], "event_type", "value").withColumn("mean", F.round("mean", 9))
 
 
 @query("""select d.doc_id, e.engine, v.version from (select doc_id from documents where doc_id not in (select doc_id from labels)) d cross join (values ('a'), ('b')) e(engine) cross join (values (1), (2)) v(version)""")
 def work_list(spark, sf_dir):
     todo = calls.remaining(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels", "doc_id"), ["doc_id"])
     return todo.select("doc_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("engine")).select("doc_id", "engine", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"))
+
+
+from raterlake.plans import reports  # noqa: E402, F401  (registers its queries)

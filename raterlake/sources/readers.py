@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """CSV with a header, quoted line feeds and doubled quotes; all columns are strings unless a schema is given; a missing value is an empty string."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", recursive)
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, recursive: bool = False, glob: str | None = None, skip_bad: bool = False, one_line: bool = False) -> DataFrame:
+    """CSV with a header, quoted line feeds and doubled quotes; all columns are strings unless a schema is given; a missing value is an empty string.
+
+    ``skip_bad`` leaves out what can't be read of a broken or vanished file and
+    keeps what was read before. ``one_line`` says that no value holds a line feed, so that a
+    large file may be split over many tasks.
+    """
+    reader = spark.read.option("header", True).option("multiLine", not one_line).option("escape", '"').option("recursiveFileLookup", recursive)
+    reader = reader.option("ignoreCorruptFiles", skip_bad).option("ignoreMissingFiles", skip_bad)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
@@ -64,9 +71,12 @@ def coalesced_pool(sources: Sequence[DataFrame], key: str, limit: int) -> DataFr
     return first.orderBy("_source", key).limit(limit).drop("_source")
 
 
-def write_csv(df: DataFrame, path: str, fields: Sequence[str]) -> None:
-    """The given fields only, missing ones empty, as text."""
-    known = set(df.columns)
+def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, strict: bool = False) -> None:
+    """The given fields only (all without any given), missing ones empty, as text; with ``strict`` a column that isn't among the fields is an error."""
+    known, fields = set(df.columns), fields or df.columns
+    extra = sorted(known - set(fields))
+    if strict and extra:
+        raise ValueError(f"columns that are no fields: {extra}")
     df.select(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in known else F.lit("").alias(f) for f in fields)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
@@ -87,3 +97,33 @@ def write_checksums(files: DataFrame, path: str) -> None:
 def write_id_lists(df: DataFrame, path: str, key: str, split: str) -> None:
     """Sorted ids in one folder a split."""
     df.select(F.col(key).cast("string").alias("id"), split).repartitionByRange(split, "id").sortWithinPartitions(split, "id").write.mode("overwrite").partitionBy(split).text(path)
+
+
+def write_report(df: DataFrame, path: str, limit: int = 10_000) -> int:
+    """A small result as one pretty-printed JSON file on the driver's side, for reports; more than ``limit`` rows are an error. Returns the rows."""
+    rows = [r.asDict(recursive=True) for r in df.limit(limit + 1).collect()]
+    if len(rows) > limit:
+        raise ValueError(f"a report has at most {limit} rows")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(rows, f, ensure_ascii=False, indent=2, default=str)
+    return len(rows)
+
+
+def markdown(df: DataFrame, title: str, limit: int = 1_000) -> str:
+    """A small result as a Markdown table; more than ``limit`` rows are an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a table has at most {limit} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
+    return "\n".join([f"# {title}", "", line(df.columns), "|" + "-|" * len(df.columns), *map(line, rows)]) + "\n"
+
+
+def read_config(text: str) -> dict[str, str]:
+    """The top-level ``name: "value"`` scalars of a YAML text, which is all that prompts and settings need; other lines are ignored."""
+    found = {}
+    for line in text.splitlines():
+        name, colon, value = line.partition(":")
+        value = value.strip()
+        if colon and name and not name[0].isspace() and len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+            found[name.strip()] = value[1:-1]
+    return found

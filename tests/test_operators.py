@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from raterlake.functions import vocabulary as V
-from raterlake.operators import agreement, calls, gate, panel, quality, release, sampling, tiling
+from raterlake.operators import agreement, calls, gate, panel, quality, ranks, release, sampling, tiling
 
 
 def votes(spark, rows, dims=("D1",)):
@@ -112,8 +112,10 @@ def test_export_gate(spark):
     df = spark.createDataFrame([("a", False), ("b", True), (None, False)], "l string, r boolean")
     keep, queue = gate.export_gate(df, "l", "r", ["a", "b"])
     assert keep.count() == 2 and queue.count() == 1
-    with pytest.raises(ValueError):
-        gate.export_gate(spark.createDataFrame([("Unknown", False)], "l string, r boolean"), "l", "r", ["Unknown"])
+    keep, queue = gate.export_gate(spark.createDataFrame([("Unknown", False)], "l string, r boolean"), "l", "r", ["Unknown"])
+    for part in (keep, queue):
+        with pytest.raises(Exception, match="no official label"):
+            part.count()
 
 
 def test_assemble_rows(spark):
@@ -151,7 +153,7 @@ def test_sampling(spark):
     picked = sampling.pick_strata(df, "id", [("a", F.col("v") > 5), ("b", F.col("v") > 8)], 3).collect()
     a, b = ([r["id"] for r in picked if r["stratum"] == s] for s in "ab")
     assert a == ["10", "11", "12"] and b == ["13", "14", "15"]
-    assert sampling.quantiles(df, [("v", 0.25)])["v", 0.25] == pytest.approx(4.75)
+    assert sampling.with_quantiles(df, {"q": ("v", 0.25)}).first()["q"] == pytest.approx(4.75)
     assert sampling.hash_sample(df, "id", 5).count() == 5
 
 
@@ -175,3 +177,74 @@ def test_antijoin_partitions(spark):
     work, done = spark.range(10).toDF("k"), spark.createDataFrame([(1,), (3,), (3,), (99,)], "k long")
     left = calls.remaining(work, done, ["k"])
     assert left.count() + work.join(done, "k", "left_semi").count() == 10
+
+
+@pytest.mark.parametrize(("accuracy", "n"), [(100_000, 50), (50, 3000)])
+def test_values_at_ranks(spark, monkeypatch, accuracy, n):
+    """Whole groups, and groups of which only a narrow range is ordered."""
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    rng = random.Random(n)
+    rows = [("a", float(rng.randrange(400))) for _ in range(n)] + [("b", rng.random()) for _ in range(n // 2)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in quality.latency_summary(df, ["g"], "v").collect()}
+    by = {g: sorted(v for k, v in rows if k == g and v is not None and v > 0) for g in "abc"}
+    assert set(got) == set("abc")
+    for g, v in by.items():
+        assert (got[g]["n"], got[g]["median"], got[g]["p95"]) == (len(v), v[len(v) // 2], v[int(len(v) * 0.95)])
+    import numpy as np
+
+    every = [v for _, v in rows if v is not None]
+    for r in ranks.quantiles(df, [], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect():
+        assert r["value"] == pytest.approx(np.quantile(every, r["q"]))
+    assert ranks.quantiles(df.limit(0), [], "v", [0.5]).collect() == []
+
+
+@pytest.mark.parametrize("bucket", [7, 1_000_000])
+def test_runs_and_windows_over_buckets(spark, monkeypatch, bucket):
+    """Breaker, numbers and rate audit against plain loops, with many small buckets and with one."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(calls, "WINDOWS", 1 if bucket == 7 else 60)
+    rng = random.Random(5)
+    rows = [(g, k, rng.random() < p, 1000 * k + rng.randrange(30_000)) for g, p in (("a", 0.8), ("b", 0.2), ("c", 1.0), ("d", 0.0)) for k in range(120)]
+    df = spark.createDataFrame(rows, "g string, o long, f boolean, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    want = {}
+    for g in "abcd":
+        run, first, longest = 0, None, 0
+        for _, o, f, _ in sorted(r for r in rows if r[0] == g):
+            run = run + 1 if f else 0
+            first = o if run == 4 and first is None else first
+            longest = max(longest, run)
+        if first is not None:
+            want[g] = (first, longest)
+    assert {r["g"]: (r["tripped_at"], r["run_length"]) for r in calls.breaker_trips(df, "g", "o", "f", 4).collect()} == want
+    assert all(r["o"] + 1 == r["done"] for r in calls.progress_marks(df, "g", "o", 1).collect())
+    assert calls.progress_marks(df, "g", "o", 30).count() == 16
+    got = {r["g"]: (r["most_in_window"], r["least_gap_s"]) for r in calls.rate_audit(df, "g", "ts", 5).collect()}
+    for g in "abcd":
+        t = sorted(r[3] for r in rows if r[0] == g)
+        assert got[g] == (max(sum(x - 5000 <= y <= x for y in t) for x in t), min(b - a for a, b in zip(t, t[1:], strict=False)) / 1000)
+
+
+def test_smoke_and_pilot(spark):
+    good = [("a", "true", "true", "")] * 9 + [("a", "false", "true", "")]
+    semantic = spark.createDataFrame(good, "engine string, raw_schema_ok string, gate_pass string, cross_dim_warnings string")
+    damage = semantic.drop("cross_dim_warnings")
+    assert quality.go_no_go(quality.smoke_checks(semantic, damage)).first()["verdict"] == "GO"
+    bad = damage.unionByName(spark.createDataFrame([("b", "true", "false")], damage.schema))
+    checks = {r["check"]: r["status"] for r in quality.smoke_checks(semantic, bad).collect()}
+    assert checks["engine_b_gate_pass"] == "FAIL" and checks["engine_a_gate_pass"] == "PASS"
+    assert quality.go_no_go(quality.smoke_checks(semantic, bad)).first()["verdict"] == "NO-GO"
+    pilot = spark.createDataFrame([(True, True)] * 9 + [(False, True)], "x boolean, y boolean")
+    assert quality.pilot_exit(pilot, "x", "y").first()["exit_ok"] and not quality.pilot_exit(pilot, "x", "y", 0.95).first()["exit_ok"]
+
+
+def test_check_rater_without_rows_or_columns(spark):
+    df = spark.createDataFrame([("p", "a")], "patch_id string, D1 string")
+    got = {r["check"]: r["status"] for r in quality.check_rater(df, 1, {"D1": ["a"], "D2": ["b"]}, required=["patch_id", "D2"]).collect()}
+    assert got["schema"] == "FAIL" and got["coverage"] == "PASS" and "latency" not in got
+    assert [tuple(r) for r in quality.check_rater(df.limit(0), 1, {"D1": ["a"]}).select("check", "status").collect()] == [("coverage", "INFO")]
+
+
+def test_rank_split_sizes(spark):
+    df = tiling.rank_split(spark.range(1237).select(F.col("id").alias("k")), "k")
+    assert {r["split"]: r["count"] for r in df.groupBy("split").count().collect()} == {"train": 989, "val": 123, "test": 125}

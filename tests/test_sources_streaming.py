@@ -1,6 +1,7 @@
 import csv
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from raterlake.sources import readers
@@ -50,6 +51,17 @@ def test_writers(spark, tmp_path):
     assert readers.read_json_lines(spark, f"{tmp_path}/json", "id string, n int").count() == 2
 
 
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1), (None, 2)], "name string, n int")
+    assert readers.write_report(df, f"{tmp_path}/r.json") == 2 and '"n": 2' in (tmp_path / "r.json").read_text()
+    assert readers.markdown(df, "T").splitlines()[2:] == ["| name | n |", "|-|-|", "| a\\|b | 1 |", "|  | 2 |"]
+    with pytest.raises(ValueError):
+        readers.write_report(df, f"{tmp_path}/r.json", limit=1)
+    with pytest.raises(ValueError):
+        readers.write_csv(df, f"{tmp_path}/strict", ["name"], strict=True)
+    assert readers.read_config('a: "x y"\n  b: "no"\nc: \'z\'\nd: plain\n') == {"a": "x y", "c": "z"}
+
+
 def test_pool(spark):
     a, b = spark.createDataFrame([("x", 1), ("y", 1)], "k string, n int"), spark.createDataFrame([("x", 2), ("z", 2)], "k string, n int")
     assert {tuple(r) for r in readers.coalesced_pool([a, b], "k", 3).collect()} == {("x", 1), ("y", 1), ("z", 2)}
