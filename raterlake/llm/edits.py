@@ -187,24 +187,54 @@ _NUMBER = re.compile(r"\+?\d(?:[ ().-]{0,2}\d){8,}")
 _HEX = re.compile(r"\b[0-9a-f]{32,}\b")
 
 
+def masked(text: str) -> list[tuple[int, int, str]]:
+    """(start, stop, mask) of the places of a text to mask, the last first; of places that overlap the first."""
+    found = [(m.start(), m.end(), "<number>") for m in _NUMBER.finditer(text)] + [(m.start(), m.end(), "<secret>") for m in _HEX.finditer(text)]
+    if "@" in text:
+        found += [(m.start(), m.end(), "<mail>") for m in _MAIL.finditer(text)]
+    end, kept = 0, []
+    for start, stop, mask in sorted(found):
+        if start >= end:
+            kept.append((start, stop, mask))
+            end = stop
+    return kept[::-1]
+
+
 def _redactions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            found = [(m.start(), m.end(), "<number>") for m in _NUMBER.finditer(text)] + [(m.start(), m.end(), "<secret>") for m in _HEX.finditer(text)]
-            if "@" in text:
-                found += [(m.start(), m.end(), "<mail>") for m in _MAIL.finditer(text)]
-            end, kept = 0, []
-            for start, stop, mask in sorted(found):
-                if start >= end:
-                    kept.append((start, stop, mask))
-                    end = stop
-            rows.extend((key, len(kept) - k, *e) for k, e in enumerate(kept))
+        rows = [(key, k, *e) for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for k, e in enumerate(masked(text.as_py() or ""))]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["id", "seq", "start", "stop", "replacement"])
 
 
+def _redacted(path: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                tree = TokenTree.of(text.as_py() or "", path)
+                before, edits = tree.tokens[1], masked(text.as_py() or "")
+                for start, stop, mask in edits:
+                    tree.edit(start, stop, mask)
+                rows.append(("".join(tree.leaves) if edits else text.as_py() or "", before, len(edits), tree.tokens[1], tree.encoded))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True))], names=["id", "text", "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded"])
+
+    return run
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """(id, text, n_tokens_before, n_edits, n_tokens, n_chars_encoded): each document's own redactions() found and applied to its tree in one pass, without a shuffle.
+
+    A null text is empty. Repeated rows and rows without an id are edited each; other
+    columns are ignored, whatever their names. Edits that come from another table are
+    for apply_edits().
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_redacted(tokenizer_path), "id long, text string, n_tokens_before long, n_edits long, n_tokens long, n_chars_encoded long")
+
+
 def redactions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Edits that mask mail addresses, long numbers and hexadecimal secrets, the last place of a text first."""
     small_batches(docs.sparkSession)

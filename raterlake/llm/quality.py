@@ -166,11 +166,12 @@ def held_out(column: str, parts: int, part: int) -> F.Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> Machine:
-    """A machine fitted on at most ``train_rows`` labelled rows that are not held out, the first by a hash of their id."""
+    """A machine fitted on at most ``train_rows`` labelled rows that are not held out, the first by a hash of their id; of rows that repeat an id the least text."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(train_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_extract, "label int, index array<int>, value array<float>")
+    once = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # rows that repeat an id count once
+    rows = once.select("label", "text").mapInArrow(_extract, "label int, index array<int>, value array<float>")
     table = rows.toArrow()
     docs_in = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(table["index"], table["value"], strict=True)]
     machine = Machine()

@@ -69,10 +69,9 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from raterlake.llm.edits import apply_edits, redactions, token_trees
+    from raterlake.llm.edits import redact
 
-    docs = _table(spark, sf_dir, "documents")
-    return apply_edits(token_trees(docs), redactions(docs)).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded")
+    return redact(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

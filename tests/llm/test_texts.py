@@ -194,6 +194,21 @@ def test_ids_are_those_of_the_library():
         assert encode(t) == e.ids, t
 
 
+def test_redact_is_edits_applied(spark):
+    """One pass gives what trees and a table of edits give; odd rows and columns of any name."""
+    rng = random.Random(61)
+    parts = ["mail a.b@c.example", "+1 (456) 555-2186", "0123456789abcdef" * 2, "plain words", "<|endoftext|>", "é €"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.choice([0, 3, 300]))) for _ in range(30)] + [None, ""]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)] + [(None, texts[3], "x", 1)] * 2, "doc_id long, text string, edits string, id int")
+    columns = ["text", "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded"]
+    own = sorted(((r["id"], *(r[c] for c in columns)) for r in edits.redact(docs).collect() if r["id"] is not None), key=str)
+    table = sorted(((r["id"], *(r[c] for c in columns)) for r in apply_edits(token_trees(docs), redactions(docs)).where("id is not null").collect()), key=str)
+    assert own == table and len(own) == 32 and sum(r[3] for r in own) > 100
+    encode = encoder()
+    assert all(r[4] == len(encode(r[1])) for r in own)
+    assert edits.redact(docs).count() == 34 and edits.redact(docs.limit(0)).collect() == []
+
+
 def test_mail_addresses_of_any_length(spark):
     docs = spark.createDataFrame([(1, "to " + "m" * 500 + "@mail.example now"), (2, "@x.y a@b @"), (3, "x" * 200_000)], "doc_id long, text string")
     assert [(r["id"], r["start"], r["stop"]) for r in redactions(docs).collect()] == [(1, 3, 3 + 500 + 13)]
