@@ -103,6 +103,12 @@ def run_totals(df: DataFrame, group: str, failed: str) -> DataFrame:
     return agg.withColumns({"total": F.col("completed"), "succeeded": F.col("completed") - F.col("failed"), "total_as_counted": F.col("completed") + F.col("failed")})
 
 
+def run_manifest(df: DataFrame, group: str, failed: str, ts: str) -> DataFrame:
+    """run_totals() with the first and last time of each run, and the seconds between."""
+    times = df.groupBy(group).agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), ((F.max(micros(ts)) - F.min(micros(ts))) / 1e6).alias("elapsed_s"))
+    return run_totals(df, group, failed).join(times, group)
+
+
 def speed_report(calls: DataFrame, group: str, latency: str) -> DataFrame:
     """(group, calls, avg_latency_ms, total_s): calls without a latency count as calls; the total is calls times the mean, null without any latency."""
     agg = calls.groupBy(group).agg(F.count("*").alias("calls"), F.avg(F.col(latency).try_cast("double")).alias("avg_latency_ms"))

@@ -239,3 +239,10 @@ def sets_equal(spark, sf_dir):
 @query("""select item_id::varchar as name, substr(sha256(text), 1, 16) sha256_16, length(text)::int length from benchmark""")
 def freeze_hashes(spark, sf_dir):
     return release.freeze(table(spark, sf_dir, "benchmark").withColumn("item_id", F.col("item_id").cast("string")), "item_id", "text")
+
+
+@query("""select event_type, count(*) completed, count(*) filter (value > 50) failed, count(*) filter (value <= 50) succeeded, count(*) + count(*) filter (value > 50) total_as_counted, min(event_id) first_event, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 elapsed_s from events group by 1""")
+def run_manifest(spark, sf_dir):
+    df = table(spark, sf_dir, "events", "event_type", "value", "ts", "event_id").withColumn("failed", F.col("value") > 50)
+    first = df.groupBy("event_type").agg(F.min("event_id").alias("first_event"))
+    return calls.run_manifest(df, "event_type", "failed", "ts").join(first, "event_type").select("event_type", "completed", "failed", "succeeded", "total_as_counted", "first_event", "elapsed_s")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,23 +25,64 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = No
     return df.na.fill("")
 
 
-def read_shards(spark: SparkSession, folder: str, schema: str, keys: Sequence[str] = ("patch_id", "engine"), required: Sequence[str] = ("D1",), keep_blank: bool = False) -> DataFrame:
-    """All shard_*.csv below a folder, the first row a key in the order of path parts and lines; blank keys dropped unless ``keep_blank``."""
-    names = [p.split()[0] for p in schema.split(",")]
-    missing = [c for c in required if c not in names]
+#: Different headers that the files of a folder may have; each is read on its own.
+MOST_HEADERS = 50
+
+
+def headers(spark: SparkSession, folder: str, glob: str = "*.csv", recursive: bool = True) -> DataFrame:
+    """(file, columns): the column names in each file's first line; a byte order mark and quotes are taken off."""
+    lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(folder)
+    first = lines.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value").groupBy("file").agg(F.min_by("value", "n").alias("line"))
+    names = F.transform(F.split(F.regexp_replace("line", "^\ufeff|\r$", ""), ","), lambda c: F.btrim(F.trim(c), F.lit('"')))
+    return first.select("file", names.alias("columns"))
+
+
+def read_shards(spark: SparkSession, folder: str, schema: str, keys: Sequence[str] = ("patch_id", "engine"), required: Sequence[str] = ("D1",), keep_blank: bool = False, recursive: bool = True, dedup: bool = True) -> DataFrame:
+    """All shard_*.csv of a folder, by their own headers: a file without a required column is left out, a column that it lacks is empty, and others are ignored.
+
+    The first row a key is kept in the order of path parts and lines (all rows
+    without ``dedup``); rows with a blank first key go unless ``keep_blank``.
+    """
+    kinds = dict(part.split(None, 1) for part in (p.strip() for p in schema.split(",")))
+    missing = [c for c in (*required, *keys) if c not in kinds]
     if missing:
         raise ValueError(f"columns missing in the schema: {missing}")
-    df = read_csv(spark, folder, schema, recursive=True, glob="shard_*.csv").select("*", F.split("_metadata.file_path", "/").alias("_path"), F.monotonically_increasing_id().alias("_line"))
+    glob = "shard_*.csv"
+    found = headers(spark, folder, glob, recursive)
+    different = [r["columns"] for r in found.select("columns").distinct().limit(MOST_HEADERS + 1).collect()]
+    if len(different) > MOST_HEADERS:
+        raise ValueError(f"the files have more than {MOST_HEADERS} different headers")
+    parts = []
+    for names in different:
+        if set(required) - set(names):
+            continue
+        read = read_csv(spark, folder, ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names), recursive, glob, skip_bad=True)
+        read = read.select(*(F.col(f"`{c}`").alias(c) if c in names else F.lit("").cast(kind).alias(c) for c, kind in kinds.items()), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+        if len(different) > 1:
+            own = found.where(F.col("columns") == F.array(*map(F.lit, names))).select(F.col("file").alias("_file"))
+            read = read.join(own, "_file", "left_semi")
+        parts.append(read)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    df = reduce(DataFrame.unionByName, parts)
     if not keep_blank:
         df = df.where(f"trim({keys[0]}) <> ''")
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_path", "_line"))
-    return df.withColumn("_n", first).where("_n = 1").drop("_n", "_path", "_line")
+    if not dedup:
+        return df.drop("_file", "_line")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.split("_file", "/"), "_line"))
+    return df.withColumn("_n", first).where("_n = 1").drop("_n", "_file", "_line")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """A JSON state as one row; None if the file is empty, as after a broken write."""
+    text = spark.read.text(path, wholetext=True).first()
+    return spark.read.option("multiLine", True).json(path) if text and text[0].strip() else None
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(id) of a list with one id a line; blank lines are none."""
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")

@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from raterlake.sources import readers
+from raterlake.operators import release
+from raterlake.sources import publish, readers
 from raterlake.streaming import ingest
 
 SCHEMA = "patch_id string, engine string, D1 string, raw_response string"
@@ -27,6 +28,20 @@ def test_shards(spark, tmp_path):
     assert readers.read_shards(spark, str(tmp_path), SCHEMA, keep_blank=True).count() == 3
 
 
+def test_shards_with_headers_of_their_own(spark, tmp_path):
+    """Columns in another order, more or fewer of them, a file without the required one, and a byte order mark."""
+    for name, text in {"shard_1": "patch_id,engine,D1,raw_response\np1,e,a,x\n", "shard_2": "\ufeffD1,extra,patch_id,engine\nb,9,p2,e\n", "shard_3": "patch_id,engine\np3,e\n", "sub/shard_4": "patch_id,engine,D1,raw_response\np1,e,late,x\np4,f,d,y\n"}.items():
+        os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+        with open(f"{tmp_path}/{name}.csv", "w", encoding="utf-8") as f:
+            f.write(text)
+    rows = {r["patch_id"]: tuple(r) for r in readers.read_shards(spark, str(tmp_path), SCHEMA).collect()}
+    assert rows == {"p1": ("p1", "e", "a", "x"), "p2": ("p2", "e", "b", ""), "p4": ("p4", "f", "d", "y")}
+    assert readers.read_shards(spark, str(tmp_path), SCHEMA, recursive=False).count() == 2
+    assert readers.read_shards(spark, str(tmp_path), SCHEMA, dedup=False).count() == 4
+    with pytest.raises(ValueError):
+        readers.read_shards(spark, str(tmp_path), "patch_id string, engine string")
+
+
 def test_lists_and_checksums(spark, tmp_path):
     (tmp_path / "ids.txt").write_text("a\n\n b \n")
     assert sorted(r["id"] for r in readers.read_ids(spark, str(tmp_path / "ids.txt")).collect()) == ["a", "b"]
@@ -62,6 +77,20 @@ def test_reports(spark, tmp_path):
     assert readers.read_config('a: "x y"\n  b: "no"\nc: \'z\'\nd: plain\n') == {"a": "x y", "c": "z"}
 
 
+def test_release_is_built_and_verified(spark, tmp_path):
+    votes = spark.createDataFrame([("p1", "a", "train"), ("p2", "b", "val")], "patch_id string, D4 string, split string")
+    rated = spark.createDataFrame([("p1", "x", "完好"), ("p1", "y", "完好"), ("p2", "x", "中度损伤"), ("p2", "y", "完好")], "patch_id string, engine string, D4 string")
+    files = publish.build_release(str(tmp_path / "r"), votes, rated, ["D4"])
+    assert files.count() > 5 and sorted(r["id"] for s in ("train", "val") for r in readers.read_ids(spark, f"{tmp_path}/r/splits/split={s}").collect()) == ["p1", "p2"]
+    sums = readers.read_checksums(spark, f"{tmp_path}/r/checksums")
+    again = readers.read_files(spark, f"{tmp_path}/r", "part-*", content=True).where("path not like '%/checksums/%'")
+    assert {r["status"]: r["n"] for r in release.verify_checksums(sums, again.select("path", "sha256"), "path").collect()} == {"ok": sums.count()}
+    assert spark.read.json(f"{tmp_path}/r/taxonomy").count() == 5
+    (tmp_path / "s.json").write_text('{"done": [1, 2]}')
+    (tmp_path / "empty.json").write_text("")
+    assert readers.read_state(spark, f"{tmp_path}/s.json").first()["done"] == [1, 2] and readers.read_state(spark, f"{tmp_path}/empty.json") is None
+
+
 def test_pool(spark):
     a, b = spark.createDataFrame([("x", 1), ("y", 1)], "k string, n int"), spark.createDataFrame([("x", 2), ("z", 2)], "k string, n int")
     assert {tuple(r) for r in readers.coalesced_pool([a, b], "k", 3).collect()} == {("x", 1), ("y", 1), ("z", 2)}
