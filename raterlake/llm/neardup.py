@@ -274,36 +274,19 @@ def _confirm_blocks(n: int, percent: int, least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: id, n_shingles, component_id (the least id linked to it over any number of steps, itself included), kept.
-
-    Words are runs of other than ASCII white space, A-Z lower-cased; documents
-    link if 100 * shared >= percent * all of their distinct shingles. A text with
-    fewer words than a shingle has one shingle, all its words; a null or empty
-    text has none and links with nothing. Rows that repeat an id are not merged. A
-    row without an id links with nothing: its component_id is null, and it is kept.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    least = percent / 100 - SLACK
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = settle(texts.mapInArrow(_signatures(shingle), _SCHEMA))
-    sets = ["n_shingles", "h1", "h2"]
-    named = signed.where("n_shingles > 0 and id is not null")
-    groups = named.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
-    distinct = named.join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi")
-    reps = settle(distinct.drop("n_shingles", "h1", "h2"))
-    bucket = ["band", "bucket"]
-    shared = settle(with_groups(reps.select("id", F.posexplode("bands").alias(*bucket)), bucket, having="_n > 1", company=F.count("*")))
+def _linked(shared: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) of the distinct sets ``reps`` (id, sketch) that share buckets (id, band, bucket, company), links confirmed on ``texts``."""
+    if shared.isEmpty():
+        return shared.sparkSession.createDataFrame([], "node long, component long")
+    bucket, least = ["band", "bucket"], percent / 100 - SLACK
     company = shared.groupBy("id").agg(F.sum("company").alias("total"))
     crowded = settle(shared.drop("company").join(company, "id").join(reps.select("id", *_LONGS), "id"))
-    drop(shared)
     sketch = F.struct("id", *_LONGS)
     hub = with_groups(crowded, bucket, hub=F.max(F.struct("total", (-F.col("id")).alias("order"), sketch.alias("doc")))).select(sketch.alias("x"), F.col("hub.doc").alias("hub"))
     first = settle(hub.where("x.id <> hub.id").where(estimated("x", "hub") >= least).select(F.col("hub.id").alias("a"), F.col("x.id").alias("b")).distinct())
     links = settle(confirmed(first, texts, shingle, percent))
     parts = connected_components(links)
-    drop(first, reps)
+    drop(first)
     component = parts.select(F.col("node").alias("id"), "component")
     placed = settle(crowded.drop("total").join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
     drop(crowded)
@@ -321,6 +304,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = connected_components(links.unionByName(more))
         drop(more)
     drop(links, docs_in)
+    return parts
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row a document: id, n_shingles, component_id (the least id linked to it over any number of steps, itself included), kept.
+
+    Words are runs of other than ASCII white space, A-Z lower-cased; documents
+    link if 100 * shared >= percent * all of their distinct shingles. A text with
+    fewer words than a shingle has one shingle, all its words; a null or empty
+    text has none and links with nothing. Rows that repeat an id are not merged. A
+    row without an id links with nothing: its component_id is null, and it is kept.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = settle(texts.mapInArrow(_signatures(shingle), _SCHEMA))
+    sets = ["n_shingles", "h1", "h2"]
+    named = signed.where("n_shingles > 0 and id is not null")
+    groups = named.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("_n"))
+    distinct = named.join(groups.select("rep"), F.col("id") == F.col("rep"), "left_semi")
+    reps = settle(distinct.drop("n_shingles", "h1", "h2"))
+    bucket = ["band", "bucket"]
+    shared = settle(with_groups(reps.select("id", F.posexplode("bands").alias(*bucket)), bucket, having="_n > 1", company=F.count("*")))
+    parts = _linked(shared, reps, texts, shingle, percent)
+    drop(shared, reps)
     of_group = groups.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*sets, "_n", F.coalesce("component", "rep").alias("component_id"))
     linked = attached(named.select("id", *sets), settle(of_group), sets).select("id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -74,8 +74,8 @@ def _delete_all() -> None:
             return
 
 
-#: Keys that hold more than one in so many rows of a table are joined by a broadcast.
-HEAVY = 10_000
+#: Keys that hold more than one in so many rows of a table, and more than so many rows, are joined by a broadcast.
+HEAVY, HEAVY_ROWS = 10_000, 1_000
 
 
 def with_groups(rows: DataFrame, keys: list[str], having: str = "true", **aggregates: Column) -> DataFrame:
@@ -96,7 +96,10 @@ def attached(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     are sent to every task, so a group of a third of all rows is dealt over as many
     tasks as its rows come from; the other groups are joined by a shuffle.
     """
-    bound = max(1_000, rows.count() // HEAVY)
+    n = rows.count()
+    bound = max(HEAVY_ROWS, n // HEAVY)
+    if n <= bound:
+        return rows.join(groups, keys)
     heavy = F.broadcast(groups.where(F.col("_n") > bound))
     light = rows.join(heavy.select(*keys), keys, "left_anti").join(groups.where(F.col("_n") <= bound), keys)
     return rows.join(heavy, keys).unionByName(light)

@@ -72,12 +72,11 @@ def test_near_duplicates(spark, n):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
-@pytest.mark.parametrize("heavy", [10_000, 1])
-def test_near_duplicates_in_small_blocks(spark, monkeypatch, heavy):
-    """Many blocks a bucket; hot groups by a broadcast or not; a large component with strangers, and a family of texts that are all unlinked."""
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Many blocks a bucket; groups of over three rows joined by a broadcast; a large component with strangers, and a family of texts that are all unlinked."""
     monkeypatch.setattr("raterlake.llm.neardup.BLOCK", 7)
     monkeypatch.setattr("raterlake.llm.neardup.SKETCHES", 5)
-    monkeypatch.setattr("raterlake.llm.store.HEAVY", heavy)
+    monkeypatch.setattr("raterlake.llm.store.HEAVY_ROWS", 3)
     rng = random.Random(41)
     base = text(rng, 150)
     rows = corpus(5)
