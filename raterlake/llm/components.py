@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from raterlake.llm.store import drop, settle, with_groups
 
 
-def _state(links: DataFrame) -> tuple:
-    """How many links there are and their checksum."""
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every node ``u`` has one link, to a node that has none of its own: then each tree is a star on its least node."""
+    own = links.groupBy(F.col("u").alias("k")).agg(F.count("*").alias("n"))
+    named = links.select(F.col("v").alias("k")).distinct().withColumn("named", F.lit(True))
+    return own.join(named, "k", "left").where("n > 1 or named").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,15 +21,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has columns ``a`` and ``b``. Alternating large-star and small-star
     steps (Kiveris et al. 2014): each step moves every neighbour of a node to the
     least of them, so the number of rounds grows with the logarithm of the
-    longest path; it ends when a round changes nothing. Minima are pre-aggregated
+    longest path; it ends when only stars are left. Minima are pre-aggregated
     before the shuffle, a node with very many links is dealt over all tasks, and
-    nothing but a row count and a checksum comes to the driver. Self-links and
+    nothing but row counts comes to the driver. Self-links and
     repeated links change nothing; without links the result is empty. The result
     reads a settled table of its own.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = _state(now)
-    while seen[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = with_groups(both, ["u"], m=F.min("v")).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = settle(least.distinct())
@@ -36,10 +37,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = settle(moved.distinct())
         drop(large)
-        state = _state(now)
-        if state == seen:
-            break
-        seen = state
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     out._raterlake_path = now._raterlake_path  # for drop()
     return out
