@@ -106,7 +106,7 @@ def attached(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: Ids of so many documents are sent to every task at most (some tens of MB).
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 2_000_000
 
 
 def keep_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "id") -> DataFrame:
