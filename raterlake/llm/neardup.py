@@ -16,7 +16,7 @@ different components that may be similar enough form families. Only the members
 families take their texts along: within a family, again in blocks, all pairs of different components that may be similar enough are confirmed on whole
 sets. Only spanning links leave a task. A bucket of one large component and few
 strangers moves each of its members once; a bucket of n members of which no two
-are linked has n * n comparisons of sketches, and moves each n / 1,024 times.
+are linked has n * n comparisons of sketches, and moves each n / 512 times.
 
 A pair of similarity exactly 0.8 shares no band with probability
 (1 - 0.8^4)^24 = 3e-6.
@@ -131,7 +131,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
 
 #: Rows of a block with texts, and of one of sketches; two blocks are compared in one task.
-BLOCK, SKETCHES = 512, 1024
+BLOCK, SKETCHES = 512, 512
 
 
 def across(rows: DataFrame, group: list[str], block: int) -> DataFrame:
