@@ -44,9 +44,8 @@ def breaker_trips(df: DataFrame, group: str, order: str, failed: str, limit: int
     inside = Window.partitionBy(group, "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     runs = rows.withColumn("_run", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(inside))
     within = Window.partitionBy(group, "_bucket", "_run").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    counted = runs.withColumn("_length", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(within))
-    ends = rows.groupBy(group, "_bucket").agg(F.max(F.when(~F.col("_f"), F.col("_o"))).alias("_last"), F.count("*").alias("_n"))
-    tails = rows.join(ends, [group, "_bucket"]).groupBy(group, "_bucket").agg(F.count_if(F.col("_f") & (F.col("_last").isNull() | (F.col("_o") > F.col("_last")))).alias("_tail"), F.max("_last").isNotNull().alias("_reset"))
+    counted = runs.withColumn("_length", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(within)).withColumn("_resets", F.max("_run").over(Window.partitionBy(group, "_bucket")))
+    tails = counted.groupBy(group, "_bucket").agg(F.count_if(F.col("_f") & (F.col("_run") == F.col("_resets"))).alias("_tail"), (F.max("_resets") > 0).alias("_reset"))
     over = Window.partitionBy(group).orderBy("_bucket")
     islands = tails.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(over))
     carried = islands.withColumn("_out", F.sum("_tail").over(Window.partitionBy(group, "_island").orderBy("_bucket"))).withColumn("_in", F.coalesce(F.lag("_out").over(over), F.lit(0)))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterlake.operators import ranks
@@ -25,17 +24,23 @@ def with_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> Da
 def pick_strata(df: DataFrame, key: str, strata: Sequence[tuple[str, Column]], n: int = 4) -> DataFrame:
     """Up to ``n`` rows a stratum by key (as text order if the key is text), a row going to the first stratum that picks it.
 
-    Only picked rows are kept from later strata, so the strata are gone through in
-    order; what is carried along are at most n keys a stratum.
+    A stratum needs no more than its first n rows and as many for each stratum before it;
+    these few candidates are cut down in every partition before they meet, and
+    one fold over them, strata in order, does the picking. One pass over ``df``.
     """
-    picked: list[DataFrame] = []
-    for name, rule in strata:
-        rest = df.where(rule)
-        if picked:
-            used = reduce(DataFrame.unionByName, (p.select(key) for p in picked))
-            rest = rest.join(F.broadcast(used), key, "left_anti")  # at most n rows a stratum
-        picked.append(rest.orderBy(key).limit(n).withColumn("stratum", F.lit(name)))
-    return reduce(DataFrame.unionByName, picked)
+    most = n * len(strata)
+    tagged = df.withColumn("_s", F.explode(F.array_compact(F.array(*(F.when(rule, F.lit(i)) for i, (_, rule) in enumerate(strata))))))
+    ranked = tagged.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(key))).where(F.col("_r") <= most)
+    few = ranked.groupBy().agg(F.array_sort(F.collect_list(F.struct("_s", "_r", F.struct(*df.columns).alias("row")))).alias("few"))  # at most `most` a stratum
+
+    def pick(done: Column, x: Column) -> Column:
+        taken = F.exists(done, lambda d: (d["row"][key] == x["row"][key]) & (d["_s"] != x["_s"]))
+        full = F.size(F.filter(done, lambda d: d["_s"] == x["_s"])) >= n
+        return F.when(taken | full, done).otherwise(F.concat(done, F.array(x)))
+
+    picked = few.select(F.explode(F.aggregate("few", F.filter("few", lambda x: F.lit(False)), pick)).alias("p"))
+    names = F.array(*(F.lit(name) for name, _ in strata))
+    return picked.select("p.row.*", F.element_at(names, F.col("p._s") + 1).alias("stratum"))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
