@@ -21,9 +21,9 @@ still may repeat go deeper:
 
 Groups that are equal after the last pass are exactly the repeated windows.
 Digits are compared as hashes: an anchor by 64 bits, a run by 112 more, a window by
-128, made of two polynomials with different bases and values, so that a false
-repeat is not to be expected at any size of a corpus (10^14 windows make 10^28
-pairs, and 2^128 is 3 * 10^38); whole texts are compared by sha-256.
+96, made of two polynomials with different bases and values, so that a false
+repeat is not to be expected (10^13 windows that get so far make 5 * 10^25 pairs,
+and 2^96 is 8 * 10^28); whole texts are compared by sha-256.
 
 Before rows are shuffled, runs and windows that another document of the same
 megabyte of text has are settled there: but for the least document's they are
@@ -210,7 +210,7 @@ def _window_rows(length: int, unit: str):
                 good = absolute + length <= by_doc[doc + 1]
                 where, doc, absolute = where[good], doc[good], absolute[good]
                 window = K.span_hash(K.prefix(tokens), absolute, absolute + length).view(np.int64)
-                check = K.span_hash(K.prefix(tokens, second=True), absolute, absolute + length, second=True).view(np.int64)
+                check = (K.span_hash(K.prefix(tokens, second=True), absolute, absolute + length, second=True) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 own, where = ids[lo:hi][doc].astype(np.int64), where.astype(np.int64)
                 done = _settled((window, check), own)
                 window[done], check[done], where[done] = _anywhere(own[done], where[done]), 0, ~where[done]
@@ -257,7 +257,7 @@ def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "marks", "id")
     found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean"))
     deeper = known.join(found.where("open").groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")
-    windows = deeper.mapInArrow(_window_rows(length, unit), "window long, check long, id long, start long")
+    windows = deeper.mapInArrow(_window_rows(length, unit), "window long, check int, id long, start long")
     last = windows.repartition("window").sortWithinPartitions("window", "check", "id").mapInArrow(_later_windows(length), "id long, at long")
     return found.where("not open").select("id", "at").unionByName(settle(last)).unionByName(whole)
 
