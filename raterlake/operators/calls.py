@@ -40,18 +40,18 @@ def breaker_trips(df: DataFrame, group: str, order: str, failed: str, limit: int
     Runs are counted in buckets of the order. What a bucket ends with is carried to
     the next ones by a window over the buckets alone.
     """
-    rows = ranks.bucketed(df.select(group, F.col(order).alias("_o"), F.col(failed).alias("_f")), [group], "_o")
-    inside = Window.partitionBy(group, "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranks.bucketed(df.select(F.struct(group).alias("_g"), F.col(order).alias("_o"), F.col(failed).alias("_f")), "_o")
+    inside = Window.partitionBy("_g", "_bucket").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     runs = rows.withColumn("_run", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(inside))
-    within = Window.partitionBy(group, "_bucket", "_run").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    counted = runs.withColumn("_length", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(within)).withColumn("_resets", F.max("_run").over(Window.partitionBy(group, "_bucket")))
-    tails = counted.groupBy(group, "_bucket").agg(F.count_if(F.col("_f") & (F.col("_run") == F.col("_resets"))).alias("_tail"), (F.max("_resets") > 0).alias("_reset"))
-    over = Window.partitionBy(group).orderBy("_bucket")
+    within = Window.partitionBy("_g", "_bucket", "_run").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    counted = runs.withColumn("_length", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(within)).withColumn("_resets", F.max("_run").over(Window.partitionBy("_g", "_bucket")))
+    tails = counted.groupBy("_g", "_bucket").agg(F.count_if(F.col("_f") & (F.col("_run") == F.col("_resets"))).alias("_tail"), (F.max("_resets") > 0).alias("_reset"))
+    over = Window.partitionBy("_g").orderBy("_bucket")
     islands = tails.withColumn("_island", F.sum(F.col("_reset").cast("int")).over(over))
-    carried = islands.withColumn("_out", F.sum("_tail").over(Window.partitionBy(group, "_island").orderBy("_bucket"))).withColumn("_in", F.coalesce(F.lag("_out").over(over), F.lit(0)))
+    carried = islands.withColumn("_out", F.sum("_tail").over(Window.partitionBy("_g", "_island").orderBy("_bucket"))).withColumn("_in", F.coalesce(F.lag("_out").over(over), F.lit(0)))
     length = F.col("_length") + F.when(F.col("_run") == 0, F.col("_in")).otherwise(0)
-    full = counted.join(carried.select(group, "_bucket", "_in"), [group, "_bucket"]).withColumn("_length", length).where((F.col("_length") >= limit) & F.col("_f"))
-    return full.groupBy(group).agg(F.min("_o").alias("tripped_at"), F.max("_length").alias("run_length"))
+    full = counted.join(carried.select("_g", "_bucket", "_in"), ["_g", "_bucket"]).withColumn("_length", length).where((F.col("_length") >= limit) & F.col("_f"))
+    return full.groupBy(f"_g.{group}").agg(F.min("_o").alias("tripped_at"), F.max("_length").alias("run_length"))
 
 
 #: Windows of a time bucket in rate_audit.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,16 +56,14 @@ def hash_split(df: DataFrame, key: str, parts: Sequence[tuple[str, float]] = (("
 
 def rank_split(df: DataFrame, key: str, parts: Sequence[tuple[str, float]] = (("train", 0.8), ("val", 0.1), ("test", 0.1)), seed: int = 42) -> DataFrame:
     """Adds split with exact sizes: rows in the order of a seeded hash, each part but the last getting the whole number below its share of the rows."""
-    ordered = ranks.numbered(df.withColumns({"_all": F.lit(0), "_h": seeded(key, seed)}), ["_all"], "_h", "_row")
-    sized = ordered.join(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
-    upto, out = F.lit(0), F.lit(parts[-1][0])
-    edges = []
+    ordered = ranks.numbered(df.withColumn("_h", seeded(key, seed)), [], "_h", "_row")
+    n, upto, edges, out = df.count(), 0, [], F.lit(parts[-1][0])
     for name, share in parts[:-1]:
-        upto = upto + F.floor(F.col("_n") * F.lit(share))
+        upto += math.floor(n * share)
         edges.append((name, upto))
     for name, edge in reversed(edges):
         out = F.when(F.col("_row") <= edge, name).otherwise(out)
-    return sized.withColumn("split", out).drop("_all", "_h", "_row", "_n")
+    return ordered.withColumn("split", out).drop("_h", "_row")
 
 
 def with_source(tiles: DataFrame, images: DataFrame, key: str = "source_id") -> DataFrame:

@@ -248,3 +248,58 @@ def test_check_rater_without_rows_or_columns(spark):
 def test_rank_split_sizes(spark):
     df = tiling.rank_split(spark.range(1237).select(F.col("id").alias("k")), "k")
     assert {r["split"]: r["count"] for r in df.groupBy("split").count().collect()} == {"train": 989, "val": 123, "test": 125}
+
+
+def test_ranks_null_groups_and_orders(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 3)
+    rows = [(g, o, i) for g in ("a", None) for i, o in enumerate([None, 5, 9, 10**18, 7, 5, 1, None, 3])]
+    df = spark.createDataFrame(rows, "g string, o long, i int")
+    got = ranks.numbered(df, ["g"], "o", "k").collect()
+    for g in ("a", None):
+        mine = sorted((r["k"], r["o"]) for r in got if r["g"] == g)
+        assert [k for k, _ in mine] == list(range(1, 10))
+        assert [o for _, o in mine] == [None, None, 1, 3, 5, 5, 7, 9, 10**18]
+    assert sorted(r["k"] for r in ranks.numbered(df, [], "o", "k").collect()) == list(range(1, 19))
+    assert {(r["g"], r["done"]) for r in calls.progress_marks(df, "g", "o", 4).collect()} == {(g, k) for g in ("a", None) for k in (4, 8)}
+    assert {(r["g"], r["o"]) for r in calls.shard_rows(df, "g", "o", 4, 3).collect()} == {("a", 10**18), (None, 10**18)}
+    trips = calls.breaker_trips(spark.createDataFrame([(None, i, i != 3) for i in range(9)], "g string, o long, f boolean"), "g", "o", "f", 4).collect()
+    assert [tuple(r) for r in trips] == [(None, 7, 5)]
+
+
+def test_latency_of_null_group(spark, monkeypatch):
+    df = spark.createDataFrame([(None, float(i)) for i in range(1, 11)] + [("a", 2.0)] + [("b", float(i)) for i in range(1, 6)], "g string, v double")
+    for most in (10_000, 1):  # by a broadcast of all groups, and of the largest one only
+        monkeypatch.setattr(ranks, "BROADCAST_GROUPS", most)
+        got = {r["g"]: (r["n"], r["median"], r["p95"]) for r in quality.latency_summary(df, ["g"], "v").collect()}
+        assert got == {None: (10, 6.0, 10.0), "a": (1, 2.0, 2.0), "b": (5, 3.0, 5.0)}
+
+
+def test_outlier_leaves_buckets_even(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 100)
+    df = spark.range(1000).selectExpr("if(id = 999, 1000000000000000000, id) o")
+    sizes = [r["count"] for r in ranks.bucketed(df, "o").groupBy("_bucket").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 110
+
+
+@pytest.mark.parametrize("cuts", [[], [3.0], [float(i) for i in range(0, 40, 3)], [float(i) for i in range(17)]])
+def test_bucket_of(spark, cuts):
+    df = spark.createDataFrame([(None,)] + [(i,) for i in range(-2, 45)], "o long")
+    for r in df.withColumn("b", ranks.bucket_of(df["o"], cuts)).collect():
+        assert r["b"] == (-1 if r["o"] is None else sum(c <= r["o"] for c in cuts))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_product_and_no_group_in_one_task(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).selectExpr("id", "cast(id % 3 as string) g", "cast(id as double) v", "id % 7 = 0 f")
+        for out in (tiling.rank_split(df, "id"), calls.breaker_trips(df, "g", "id", "f"), calls.progress_marks(df, "g", "id", 10), calls.shard_rows(df, "g", "id", 10, 1)):
+            assert "NestedLoop" not in plan_of(out) and "Cartesian" not in plan_of(out)
+        plan = plan_of(quality.latency_summary(df, ["g"], "v"))
+        assert "NestedLoop" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
