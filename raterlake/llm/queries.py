@@ -74,6 +74,13 @@ def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.merkle import merkle_manifest
+
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(_table(spark, sf_dir, "documents"), held=tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_cover_tree": op9_cover_tree,
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
