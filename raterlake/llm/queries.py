@@ -81,6 +81,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"), held=tampered)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cover_tree": op9_cover_tree,
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,6 +135,21 @@ edge as (select x, y from link union select y, x from link),
 reach(id, other) as (select x, y from edge union select r.id, e.y from reach r join edge e on r.other = e.x),
 least as (select id, min(other) m from reach group by id)
 select d.doc_id, coalesce(n, 0) n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) component_id, coalesce(m, d.doc_id) >= d.doc_id kept from documents d left join n using (doc_id) left join least on id = d.doc_id""",
+    "op13_phrase_collocations": """
+with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) p from documents),
+w as (select lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda x: x <> '') w from p),
+total as (select lang, sum(len(w))::bigint n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) phrase from w, range(1, 5) r(k)),
+f as (select lang, k, phrase, count(*) f from g group by all having count(*) >= 30),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') w from f where k > 1),
+cut as (select c.lang, c.phrase, c.a, j, x.f l, y.f r, (2000000::hugeint * c.a) // (x.f + y.f) score from c, range(1, 4) t(j), f x, f y
+  where j < c.k and x.lang = c.lang and y.lang = c.lang and x.phrase = array_to_string(c.w[1:j], ' ') and y.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (select lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) phrase from c where k > 2),
+m as (select lang, phrase, max(a) longer from inside group by all),
+kept as (select b.* from best b left join m using (lang, phrase) where longer is null or 100::hugeint * longer < 80::hugeint * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint score from ranked join total using (lang) where rank <= 2000""",
     "op9_cover_tree": """
 with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
 link as (select a.vec_id x, b.vec_id y from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
