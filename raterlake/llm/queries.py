@@ -74,6 +74,12 @@ def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from raterlake.llm.fingerprints import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raterlake.llm.merkle import merkle_manifest
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_cover_tree": op9_cover_tree,
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
@@ -140,10 +147,10 @@ with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translat
 w as (select lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda x: x <> '') w from p),
 total as (select lang, sum(len(w))::bigint n from w group by lang),
 g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) phrase from w, range(1, 5) r(k)),
-f as (select lang, k, phrase, count(*) f from g group by all having count(*) >= 30),
+f as materialized (select lang, k, phrase, count(*) f from g group by all having count(*) >= 30),
 c as (select lang, k, phrase, f a, string_split(phrase, ' ') w from f where k > 1),
-cut as (select c.lang, c.phrase, c.a, j, x.f l, y.f r, (2000000::hugeint * c.a) // (x.f + y.f) score from c, range(1, 4) t(j), f x, f y
-  where j < c.k and x.lang = c.lang and y.lang = c.lang and x.phrase = array_to_string(c.w[1:j], ' ') and y.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
+split as (select lang, phrase, a, j, array_to_string(w[1:j], ' ') x, array_to_string(w[j + 1:k], ' ') y from (select *, unnest(range(1, k)) j from c)),
+cut as (select s.lang, s.phrase, a, j, x.f l, y.f r, (2000000::hugeint * a) // (x.f + y.f) score from split s join f x on x.lang = s.lang and x.phrase = s.x join f y on y.lang = s.lang and y.phrase = s.y),
 best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
 inside as (select lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) phrase from c where k > 2),
 m as (select lang, phrase, max(a) longer from inside group by all),
