@@ -130,19 +130,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return together.mapInArrow(_confirm(n, percent), "a long, b long")
 
 
-#: Rows of a block with texts, and of one of sketches; two blocks are compared in one task.
-BLOCK, SKETCHES = 512, 512
+#: Rows of a block with texts, and of one of sketches; two blocks are compared in one task. Bytes of texts in a block (a longer text is a block of its own, or nearly so).
+BLOCK, SKETCHES, BLOCK_BYTES = 512, 512, 32 << 20
 
 
-def across(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+def across(rows: DataFrame, group: list[str], block: int, size: str | None = None) -> DataFrame:
     """Rows (id, component) of each group as pairs of blocks: i of the rows outside the group's largest component (side 0), j of all its rows (side 1).
 
     Each row comes once for every pair of blocks that it takes part in; ``major``
-    marks rows of the largest component. Groups of one component give nothing.
+    marks rows of the largest component. Groups of one component give nothing. Blocks have
+    ``block`` rows and, where ``size`` names a column of bytes, BLOCK_BYTES on average.
     """
-    sizes = rows.groupBy(*group, "component").agg(F.count("*").alias("n"))
-    stats = sizes.groupBy(*group).agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("_n")).where("largest.n < _n")
-    placed = attached(rows, stats.select(*group, "_n", "largest", F.ceil((F.col("_n") - F.col("largest.n")) / block).cast("int").alias("_few"), F.ceil(F.col("_n") / block).cast("int").alias("_all")), group)
+    size_of = F.col(size) if size else F.lit(0)
+    sizes = rows.groupBy(*group, "component").agg(F.count("*").alias("n"), F.sum(size_of).alias("bytes"))
+    stats = sizes.groupBy(*group).agg(F.max(F.struct("n", "bytes", "component")).alias("largest"), F.sum("n").alias("_n"), F.sum("bytes").alias("_bytes")).where("largest.n < _n")
+    blocks = lambda n, b: F.greatest(F.ceil(n / block), F.ceil(b / BLOCK_BYTES)).cast("int")
+    few = blocks(F.col("_n") - F.col("largest.n"), F.col("_bytes") - F.col("largest.bytes"))
+    placed = attached(rows, stats.select(*group, "_n", "largest", few.alias("_few"), blocks(F.col("_n"), F.col("_bytes")).alias("_all")), group)
     placed = placed.withColumn("major", F.col("component") == F.col("largest.component")).drop("largest", "_n")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -151,6 +155,15 @@ def across(rows: DataFrame, group: list[str], block: int) -> DataFrame:
     return left.unionByName(right).drop("_few", "_all")
 
 
+def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All rows as one batch. Texts get 64-bit offsets: with 32 bits a column of over 2 GB would come as several batches."""
+    table = pa.Table.from_batches(held)
+    wide = {pa.string(): pa.large_string(), pa.binary(): pa.large_binary()}
+    table = table.cast(pa.schema([pa.field(f.name, wide.get(f.type, f.type)) for f in table.schema])).combine_chunks()
+    (batch,) = table.to_batches() or [pa.RecordBatch.from_pylist([], table.schema)]
+    return batch
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """One batch a group of rows that are equal in the first ``keys`` columns, from batches in the order of these."""
     held: list[pa.RecordBatch] = []
@@ -168,12 +181,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
         edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
         for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if k and held:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield whole(held)
                 held = []
             if hi > lo:
                 held.append(batch.slice(lo, hi - lo))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield whole(held)
 
 
 def _similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -298,11 +311,13 @@ def _linked(shared: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int,
     drop(near, placed, families)
     if not docs_in.isEmpty():
         order = ["family", "i", "j"]
-        blocks = across(docs_in, ["family"], BLOCK).join(keep_ids(texts, docs_in.select("id"), "left_semi"), "id").select(*order, "side", "id", "component", "major", *_LONGS, "text")
+        found = keep_ids(texts, docs_in.select("id"), "left_semi")
+        sized = settle(docs_in.join(found.select("id", F.octet_length("text").alias("bytes")), "id"))
+        blocks = across(sized, ["family"], BLOCK, "bytes").join(found, "id").select(*order, "side", "id", "component", "major", *_LONGS, "text")
         drop(parts)
         more = settle(blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_confirm_blocks(shingle, percent, least), "a long, b long"))
         parts = connected_components(links.unionByName(more))
-        drop(more)
+        drop(more, sized)
     drop(links, docs_in)
     return parts
 

@@ -325,3 +325,35 @@ def test_repeats_tell_many_runs_of_one_anchor_apart():
     assert len(group) > 0.9 * n and group.span.nunique() == len(group)
     ordered = pa.RecordBatch.from_pandas(group.sort_values(["anchor", "span", "marks", "id"]), preserve_index=False)
     assert not any(not o for b in repeats._owners(iter([ordered])) for o in b.column(2).to_pylist())
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    """A few bytes a block: as many blocks as texts, and the same result."""
+    from raterlake.llm import neardup
+
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    want = sorted(map(tuple, near_duplicates(docs, shingle=2, percent=80).collect()))
+    seen, across = [], neardup.across
+
+    def counted(*args):
+        out = across(*args)
+        seen.append((args[1], out.agg(F.max("j")).first()[0]))
+        return out
+
+    monkeypatch.setattr(neardup, "across", counted)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 600)
+    assert sorted(map(tuple, near_duplicates(docs, shingle=2, percent=80).collect())) == want
+    assert all(most is None or most > 0 for group, most in seen if group == ["family"])
+
+
+def test_groups_keep_all_batches():
+    """Rows of a group that come in many batches, with texts, come out as one batch with 64-bit offsets."""
+    import pyarrow as pa
+
+    from raterlake.llm.neardup import grouped
+
+    rows = [(k, f"text {i}" * 50) for k in (1, 2, 2, 3) for i in range(700)]
+    batches = [pa.RecordBatch.from_pydict({"k": [k for k, _ in rows[i : i + 300]], "text": [t for _, t in rows[i : i + 300]]}) for i in range(0, len(rows), 300)]
+    got = list(grouped(iter(batches), 1))
+    assert [b.num_rows for b in got] == [700, 1400, 700] and all(b.schema.field("text").type == pa.large_string() for b in got)
+    assert [t for b in got for t in b.column("text").to_pylist()] == [t for _, t in rows]
