@@ -1,18 +1,19 @@
 """Token counts that follow edits without encoding a document again.
 
-A document is kept as leaves, pieces of about LEAF characters cut where no
-pre-token crosses: before a single space between two characters that are not white
-space. Over the leaves stands a segment tree of character and token sums. An edit
-finds its leaves by descending the character sums, takes in a neighbour wherever
-the cut beside it is no longer such a place, encodes only that region, and updates
-the sums up to the root. BPE never joins pre-tokens, and no added token of the vocabulary
-holds a space, so the root is the count that encoding the whole edited text would give.
+A document is kept as leaves, pieces of about LEAF characters cut where the vocabulary's
+pattern surely ends a pre-token (see SURE). Over the leaves stands a segment tree of
+character and token sums. An edit finds its leaves by descending the character sums, takes in
+a neighbour wherever the cut beside it is no longer such a place, encodes only that
+region, and updates the sums up to the root; many edits of a document are made in one
+sweep. BPE never joins pre-tokens, so the root is the count that encoding the whole
+edited text would give. A leaf is longer only where the text has no such place, as one word
+of a megabyte: that is one pre-token, which can only be encoded whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,25 +24,33 @@ from raterlake.llm.tokenizer import encoder
 
 LEAF = 512
 
+#: ASCII marks but for the apostrophe, which may begin a pre-token of letters, and those of the vocabulary's added token.
+_MARK = r"!-&(-/:;=?@\[-`{}~"
+#: Letters of scripts without spaces, and their marks.
+_IDEOGRAPH, _STOP = "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3", "\u3001\u3002\u300c\u300d\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+#: Where a pre-token surely ends, whatever stands further off: before white space after anything else, and between letters, digits and marks.
+SURE = re.compile(
+    rf"(?<=\S)(?=[ \t\n\r])|(?<=[A-Za-z])(?=[0-9'{_MARK}])|(?<=[0-9])(?=[A-Za-z'{_MARK}])|(?<=[{_MARK}])(?=[A-Za-z0-9])"
+    rf"|(?<=[{_IDEOGRAPH}])(?=[{_STOP}])|(?<=[{_STOP}])(?=[{_IDEOGRAPH}])"
+)
+
 
 def pieces(text: str) -> list[str]:
     """``text`` in pieces of at least LEAF characters (but for the last), cut where no pre-token crosses."""
     out, at, end = [], 0, len(text)
     while end - at > 2 * LEAF:
-        cut = text.find(" ", at + LEAF)
-        while cut > 0 and cut + 1 < end and (text[cut - 1].isspace() or text[cut + 1].isspace()):
-            cut = text.find(" ", cut + 1)
-        if cut < 0 or cut + 1 >= end:
+        cut = SURE.search(text, at + LEAF, end - 1)
+        if cut is None:
             break
-        out.append(text[at:cut])
-        at = cut
+        out.append(text[at : cut.start()])
+        at = cut.start()
     out.append(text[at:])
     return out
 
 
 def _parted(left: str, right: str) -> bool:
     """Whether no pre-token crosses from ``left`` to ``right``."""
-    return not left[-1].isspace() and len(right) > 1 and right[0] == " " and not right[1].isspace()
+    return SURE.match(left[-1] + right[0], 1) is not None
 
 
 class TokenTree:
@@ -92,6 +101,62 @@ class TokenTree:
                 node += 1
         return node - self.width, at
 
+    def sweep(self, edits: Sequence[tuple[int, int, str]]) -> None:
+        """Make ``edits`` (start, stop, replacement), ascending and apart, their places being those of the text before all of them.
+
+        Leaves that the edits touch become regions, which take in neighbours as in edit();
+        each region is encoded once, however many edits it holds, and the sums follow.
+        """
+        out: list[tuple[str, int | None]] = []  # a leaf and its tokens, None where it is to be encoded
+
+        def put(text: str, tokens: int | None) -> None:
+            while out and (tokens is None or out[-1][1] is None) and not (text and out[-1][0] and _parted(out[-1][0], text)):
+                text, tokens = out.pop()[0] + text, None
+            out.append((text, tokens))
+
+        old = self.tokens[self.width : self.width + len(self.leaves)]
+        at, k, open_edit = 0, 0, None
+        for leaf, tokens in zip(self.leaves, old, strict=True):
+            if not leaf:
+                continue
+            end, place, parts = at + len(leaf), at, []
+            touched = open_edit is not None
+            if open_edit is not None:
+                place = min(end, open_edit)
+                open_edit = open_edit if open_edit > end else None
+            while open_edit is None and k < len(edits) and edits[k][0] < end:
+                start, stop, replacement = edits[k]
+                parts += [leaf[place - at : start - at], replacement]
+                place, open_edit, touched, k = min(stop, end), stop if stop > end else None, True, k + 1
+            put("".join(parts) + leaf[place - at :] if touched else leaf, None if touched else tokens)
+            at = end
+        tail = "".join(replacement for _, _, replacement in edits[k:])  # what is put in at the end of the text
+        if tail:
+            put(tail, None)
+        leaves, counts = [], []
+        for text, tokens in out:
+            fresh = [text] if tokens is not None else pieces(text)
+            leaves += fresh
+            counts += [tokens] if tokens is not None else [len(encoder(self.path)(x)) for x in fresh]
+            self.encoded += 0 if tokens is not None else len(text)
+        self._build(leaves or [""], counts or [0])
+
+    def edit_all(self, edits: Sequence[tuple[int, int, str]]) -> None:
+        """Make ``edits`` one after the other, each by the places of the text as it is then. Those that go from the end towards the start are made in one sweep."""
+        sweep: list[tuple[int, int, str]] = []
+        for start, stop, replacement in edits:
+            size = self.chars[1] if not sweep else None
+            if sweep and max(start, stop) <= sweep[-1][0] and start >= 0:
+                sweep.append((start, max(start, stop), replacement))
+                continue
+            if sweep:
+                self.sweep(sweep[::-1])
+                size = self.chars[1]
+            start = max(0, min(start, size))
+            sweep = [(start, max(start, min(stop, size)), replacement)]
+        if sweep:
+            self.sweep(sweep[::-1])
+
     def edit(self, start: int, stop: int, replacement: str) -> None:
         """Put ``replacement`` for the characters start..stop; bounds outside the text are moved to its ends."""
         start = max(0, min(start, self.chars[1]))
@@ -153,8 +218,7 @@ def _edited(path: str | None):
                     leaves.append(text[at : at + size])
                     at += size
                 tree = TokenTree(leaves, counts, path)
-                for e in edits:
-                    tree.edit(e["start"], e["stop"], e["replacement"] or "")
+                tree.edit_all([(e["start"], e["stop"], e["replacement"] or "") for e in edits])
                 texts.append("".join(tree.leaves)), chars.append([len(x) for x in tree.leaves]), tokens.append(tree.tokens[tree.width : tree.width + len(tree.leaves)])
                 after.append(tree.tokens[1]), encoded.append(tree.encoded)
             yield pa.RecordBatch.from_arrays(
@@ -214,8 +278,7 @@ def _redacted(path: str | None):
             for text in batch.column(1):
                 tree = TokenTree.of(text.as_py() or "", path)
                 before, edits = tree.tokens[1], masked(text.as_py() or "")
-                for start, stop, mask in edits:
-                    tree.edit(start, stop, mask)
+                tree.edit_all(edits)
                 rows.append(("".join(tree.leaves) if edits else text.as_py() or "", before, len(edits), tree.tokens[1], tree.encoded))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True))], names=["id", "text", "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded"])

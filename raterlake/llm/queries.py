@@ -74,6 +74,14 @@ def op10_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded")
 
 
+def op10_edits_of_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts from trees that are kept and edits that come as a table."""
+    from raterlake.llm.edits import apply_edits, redactions, token_trees
+
+    docs = _table(spark, sf_dir, "documents")
+    return apply_edits(token_trees(docs), redactions(docs)).select(F.col("id").alias("doc_id"), "n_tokens_before", "n_edits", "n_tokens", "n_chars_encoded")
+
+
 def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from raterlake.llm.fingerprints import fingerprints
 
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_cnn_language": op8_byte_cnn_language,
     "op9_cover_tree": op9_cover_tree,
     "op10_edit_aware_token_counts": op10_edit_aware_token_counts,
+    "op10_edits_of_a_table": op10_edits_of_a_table,
     "op11_document_fingerprints": op11_document_fingerprints,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_phrase_collocations": op13_phrase_collocations,

@@ -230,6 +230,52 @@ def test_token_tree():
             assert "".join(tree.leaves) == t and tree.tokens[1] == len(encode(t))
 
 
+ODD = ["foo", " bar", " ", "\n", "baz's", "12", " é", "  ", "!!", " the", "\t", "a1b2", "x@y.zz", "漢字", "。", "、かな", "한글", "'ll", "<|endoftext|>", "<|", "|>", "\u00a0", "\x1c", "½", "_", "'"]
+
+
+def test_pieces_end_pre_tokens(monkeypatch):
+    """Leaves of a few characters, so that every sure place is tried."""
+    monkeypatch.setattr(edits, "LEAF", 1)
+    encode, rng, cuts = encoder(), random.Random(8), 0
+    for _ in range(3000):
+        t = "".join(rng.choice(ODD) for _ in range(rng.randint(0, 40)))
+        leaves = edits.pieces(t)
+        cuts += len(leaves)
+        assert "".join(leaves) == t and sum(len(encode(x)) for x in leaves) == len(encode(t)), t
+    assert cuts > 40_000
+
+
+@pytest.mark.parametrize("leaf", [3, 40])
+def test_sweeps_are_edits(monkeypatch, leaf):
+    """Lists of edits in any order, as single edits and in sweeps."""
+    monkeypatch.setattr(edits, "LEAF", leaf)
+    encode, rng = encoder(), random.Random(9)
+    for _ in range(400):
+        t = "".join(rng.choice(ODD) for _ in range(rng.choice([0, 3, 60])))
+        places = sorted((rng.randint(-2, len(t) + 3) for _ in range(2 * rng.randint(0, 6))), reverse=rng.random() < 0.8)
+        given = [(min(a, b), max(a, b) if rng.random() < 0.9 else a - 1, "".join(rng.choice(ODD) for _ in range(rng.choice([0, 1, 1, 9])))) for a, b in zip(places[::2], places[1::2], strict=True)]
+        tree = TokenTree.of(t)
+        tree.edit_all(given)
+        for a, b, r in given:
+            a = max(0, min(a, len(t)))
+            t = t[:a] + r + t[max(a, min(b, len(t))) :]
+        assert "".join(tree.leaves) == t and tree.tokens[1] == len(encode(t)) and tree.chars[1] == len(t)
+
+
+@pytest.mark.parametrize("line", ["person{}@mail.example\n", "cell {}\tperson{}@mail.example\t", "编号{}的说明写在这里，联系person{}@mail.example。"])
+def test_many_edits_of_a_long_text(line):
+    """A text of about a megabyte without single spaces: every edit's surroundings are encoded once."""
+    t = "".join(line.format(i, i) for i in range(1_000_000 // len(line)))
+    found = edits.masked(t)
+    tree = TokenTree.of(t)
+    assert len(found) > 10_000 and max(map(len, tree.leaves)) <= 2 * edits.LEAF + 64
+    tree.edit_all(found)
+    assert tree.encoded < 2 * len(t)
+    one = TokenTree.of(t)
+    one.edit(*found[100])
+    assert 0 < one.encoded < 6 * edits.LEAF
+
+
 def test_edits_touch_little():
     tree = TokenTree.of(words(random.Random(5), 20000))
     tree.edit(50_000, 50_003, "new")
