@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
+from raterlake.functions import typed
 from raterlake.functions import vocabulary as V
 from raterlake.functions.labels import cross_dim_warnings, lookup, schema_missing, strip, vocabulary_errors, with_labels
 
@@ -17,14 +19,52 @@ def gate_flags(schema_ok: Column, vocab_ok: Column, warnings: Column, fallback:
     return [(schema_ok & vocab_ok).alias("gate_pass"), clean.alias("normalized_valid"), (~clean | (F.coalesce(fallback, F.lit("")) != "")).alias("review_required")]
 
 
+class _Fields:
+    """The fields of parsed answers, a VARIANT or a map of strings: what is labelled, checked and shown of each."""
+
+    def __init__(self, answers: DataFrame, kind: str, fields: str, names: Sequence[str]):
+        self.typed = isinstance(answers.schema[fields].dataType, VariantType)
+        self.all, self.names = F.col(fields), list(names)
+        held = {d: typed.field(self.all, d) if self.typed else self.all[d] for d in self.names}
+        if self.typed:
+            self.values = {d: typed.answered(v) for d, v in held.items()}
+            self.shown = {d: typed.shown(v) for d, v in held.items()}
+            self.texts = {d: F.when(typed.is_text(v), typed.text_of(v)) for d, v in held.items()}
+            self.errors_show = {d: F.coalesce(typed.printed(v), F.lit("''")) for d, v in held.items()}
+            self.present = {d: v.isNotNull() for d, v in held.items()}
+            self.parsed = (typed.kind(self.all) == "object") & (F.to_json(self.all) != "{}")
+            self.passed = {d: F.coalesce(typed.text_of(v), F.lit("")) for d, v in held.items()}
+        else:
+            self.values = self.texts = held
+            self.shown = None
+            self.errors_show = {d: typed.quoted(F.coalesce(v, F.lit(""))) for d, v in held.items()}
+            self.parsed = (F.col(kind) == "object") & (F.size(fields) > 0)
+            self.passed = {d: F.coalesce(v, F.lit("")) for d, v in held.items()}
+
+    def labelled(self, answers: DataFrame, dims: Sequence[str]) -> DataFrame:
+        return with_labels(answers, {d: self.values[d] for d in dims}, shown=self.shown)
+
+    def missing(self) -> Column:
+        if not self.typed:
+            return schema_missing(F.when(self.parsed, self.all), self.names)
+        absent = F.array_compact(F.array(*(F.when(~self.present[d], F.lit(d)) for d in self.names)))
+        return F.when(F.coalesce(self.parsed, F.lit(False)), absent).otherwise(F.array(F.lit("not_dict")))
+
+    def errors(self, vocabularies: Mapping[str, Sequence[str]]) -> Column:
+        found = vocabulary_errors({d: self.texts[d] for d in vocabularies}, vocabularies, shown=self.errors_show)
+        return F.when(self.parsed, found).otherwise(F.array(F.lit("no_data")))
+
+
 def assemble_rows(answers: DataFrame, kind: str = "kind", fields: str = "fields") -> DataFrame:
-    """Adds D1..D5, raw_schema_ok, raw_vocab_ok, raw_errors, cross_dim_warnings, fallback_reason, normalized_valid, gate_pass, review_required to parsed answers."""
+    """Adds D1..D5, raw_schema_ok, raw_vocab_ok, raw_errors, cross_dim_warnings, fallback_reason, normalized_valid, gate_pass, review_required to parsed answers.
+
+    ``fields`` is the VARIANT of an answer (typed.typed_json; ``kind`` isn't read then), whose lists, numbers
+    and nulls keep their kind, or a map of strings.
+    """
     dims = ["D1", "D2", "D3", "D4", "D5"]
-    raw = {d: F.col(fields)[d] for d in dims}
-    parsed = (F.col(kind) == "object") & (F.size(fields) > 0)
-    df = with_labels(answers, raw)
-    missing = schema_missing(F.when(parsed, F.col(fields)), [*dims, "confidence"])
-    errors = F.when(parsed, vocabulary_errors(raw, V.LABELS)).otherwise(F.array(F.lit("no_data")))
+    held = _Fields(answers, kind, fields, [*dims, "confidence"])
+    parsed, df, missing = held.parsed, held.labelled(answers, dims), held.missing()
+    errors = held.errors({d: V.LABELS[d] for d in dims})
     warnings = F.when(parsed, cross_dim_warnings(*(F.col(d) for d in dims[:4]))).otherwise(F.array(F.lit("no_data")))
     fallback = F.concat_ws("; ", *(F.when(F.col(f"{d}_reason").startswith("fallback:"), F.col(f"{d}_reason")) for d in dims))
     df = df.withColumns({"raw_missing": missing, "raw_vocab_errors": errors, "cross_dim_warnings": warnings, "fallback_reason": fallback})
@@ -77,16 +117,13 @@ def assemble_damage_rows(answers: DataFrame, kind: str = "kind", fields: str = "
 
     Unlike assemble_rows there are no rules across dimensions, severity is judged
     with the labels, and a row is for review if its raw answer fails or a label fell
-    back. Severity, area and confidence pass through as they are.
+    back. Severity, area and confidence pass through as they are. ``fields`` as in assemble_rows.
     """
-    dims = ["P1", "P2", "P3", "P4"]
-    raw = {d: F.col(fields)[d] for d in dims}
-    parsed = (F.col(kind) == "object") & (F.size(fields) > 0)
-    passed = {c: F.coalesce(F.col(fields)[c], F.lit("")).alias(c) for c in ("severity", "area", "confidence")}
-    df = with_labels(answers, raw)
-    missing = schema_missing(F.when(parsed, F.col(fields)), [*dims, *passed])
-    vocabularies = {**{d: V.LABELS[d] for d in dims}, "severity": list(V.SEVERITY.values())}
-    errors = F.when(parsed, vocabulary_errors({**raw, "severity": F.col(fields)["severity"]}, vocabularies)).otherwise(F.array(F.lit("no_data")))
+    dims, rest = ["P1", "P2", "P3", "P4"], ("severity", "area", "confidence")
+    held = _Fields(answers, kind, fields, [*dims, *rest])
+    passed = {c: held.passed[c].alias(c) for c in rest}
+    df, missing = held.labelled(answers, dims), held.missing()
+    errors = held.errors({**{d: V.LABELS[d] for d in dims}, "severity": list(V.SEVERITY.values())})
     fallback = F.concat_ws("; ", *(F.when(F.col(f"{d}_reason").startswith("fallback:"), F.col(f"{d}_reason")) for d in dims))
     df = df.withColumns({"_missing": missing, "_errors": errors, "fallback_reason": fallback})
     schema_ok, vocab_ok = F.size("_missing") == 0, F.size("_errors") == 0

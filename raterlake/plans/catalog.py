@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterlake.functions import answers, labels
+from raterlake.functions import answers, labels, typed
 from raterlake.operators import agreement, calls, gate, panel, quality, ranks, release, sampling, tiling
 from raterlake.session import ship
 
@@ -233,6 +233,36 @@ def json_fence_extract(spark, sf_dir):
     return df.select("event_id", answers.extract_json(F.col("text")).alias("j")).select("event_id", "j.kind", F.col("j.fields")["k"].alias("k"))
 
 
+#: JSON texts, each with what stands before and after it in an answer; both engines read them. k is a value of the row.
+_TYPED = [
+    ("""'{"D1": ["' || k || '", "帝君"], "D2": null, "D4": 1}'""", "''", "''"),
+    ("""'{"D1": "' || k || '", "D2": 3, "D4": "轻微损伤", "confidence": 0.5}'""", "'```json' || chr(10)", "chr(10) || '``` and {}'"),
+    ("""'{"D1": [], "D2": [true, 2.5, "x", null], "D4": 0}'""", "'Answer: '", "' it is'"),
+    ("""'{"D1": "神将", "D2": "it' || chr(39) || 's", "D4": "9"}'""", "''", "' trailing'"),
+    ("""'["' || k || '"]'""", "''", "''"),
+    ("""'{"D1": 4, "D2": false, "D4": 1.25}'""", "''", "''"),
+    ("""'{"D1": "天尊"}'""", "'{' || chr(39) || 'D1' || chr(39) || ': 1} '", "''"),
+]
+_TYPED_TEXT = "case event_id % 7 " + " ".join(f"when {i} then {before} || {body} || {after}" for i, (body, before, after) in enumerate(_TYPED)) + " end"
+_TYPED_BODY = "case event_id % 7 " + " ".join(f"when {i} then {body}" for i, (body, _, _) in enumerate(_TYPED[:-1])) + " end"  # of the last nothing is JSON
+_PYTHON = "case json_type(x) when 'NULL' then 'None' when 'BOOLEAN' then case when x::varchar = 'true' then 'True' else 'False' end when 'VARCHAR' then case when contains(x::varchar, chr(39)) then x::varchar else replace(x::varchar, '\"', chr(39)) end else x::varchar end"
+
+
+@query(f"""with b as (select event_id, ({_TYPED_BODY})::json j from (select event_id, json_extract_string(props, '$.k') k from events)),
+v as (select event_id, j, json_extract(j, '$.D1') d1, json_extract(j, '$.D2') x, json_extract(j, '$.D4') d4 from b),
+t as (select *, case json_type(d1) when 'ARRAY' then json_extract_string(d1, '$[0]') else json_extract_string(d1, '$') end a1, json_extract_string(d4, '$') a4 from v)
+select event_id, case json_type(j) when 'OBJECT' then 'object' when 'ARRAY' then 'array' else 'none' end kind, coalesce(a1, '') d1,
+coalesce(case json_type(x) when 'ARRAY' then '[' || array_to_string(list_transform(json_extract(x, '$[*]'), lambda x: {_PYTHON}), ', ') || ']' else {_PYTHON} end, '') d2,
+case when a4 in ('1', '轻微损伤') then '轻微损伤' when a4 = '0' then '完好' else '严重损伤' end d4 from t""")
+def json_typed(spark, sf_dir):
+    """Lists, numbers, truth values and nulls as such, answers in fences and in other text, single quotes."""
+    typed.last_of_equal_keys(spark)
+    df = table(spark, sf_dir, "events", "event_id", "props").select("event_id", answers.json_fields(F.col("props"))["k"].alias("k")).withColumn("text", F.expr(_TYPED_TEXT))
+    df = df.select("event_id", typed.typed_json(F.col("text")).alias("j"))
+    d4 = labels.normalize_dim("D4", typed.answered(typed.field(F.col("j"), "D4")))
+    return df.select("event_id", typed.kind(F.col("j")).alias("kind"), typed.answered(typed.field(F.col("j"), "D1")).alias("d1"), F.coalesce(typed.printed(typed.field(F.col("j"), "D2")), F.lit("")).alias("d2"), d4.alias("d4"))
+
+
 def _damage(spark, sf_dir):
     df = table(spark, sf_dir, "part", "p_partkey", "p_type", "p_brand")
     severity = F.when(F.col("p_brand").endswith("5"), "extreme").otherwise("mild")
