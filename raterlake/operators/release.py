@@ -21,19 +21,19 @@ def verify_checksums(expected: DataFrame, actual: DataFrame, key: str) -> DataFr
     return e.join(a, key, "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def required_present(found: DataFrame, name: str, required: Sequence[str]) -> DataFrame:
-    """(check, status): each required name, FAIL if ``found`` lacks it."""
+def required_present(found: DataFrame, name: str, required: Sequence[str], kind: str = "required", bad: str = "FAIL") -> DataFrame:
+    """(check, status): each required name, FAIL (``bad``) if ``found`` lacks it."""
     wanted = found.sparkSession.createDataFrame([(r,) for r in required], f"{name} string")
     there = wanted.join(found.select(name).distinct().withColumn("_there", F.lit(True)), name, "left")
-    return there.select(F.concat(F.lit("required: "), name).alias("check"), F.when(F.col("_there"), "PASS").otherwise("FAIL").alias("status"))
+    return there.select(F.concat(F.lit(f"{kind}: "), name).alias("check"), F.when(F.col("_there"), "PASS").otherwise(bad).alias("status"))
 
 
 def validate(
-    files: DataFrame, required: Sequence[str], expected_sums: DataFrame, splits: Sequence[tuple[str, DataFrame]], total: int, consensus: DataFrame, per_rater: DataFrame, raters: Mapping[str, int | None], texts: DataFrame, documents: DataFrame, taxonomy: DataFrame | None = None, key: str = "patch_id"
+    files: DataFrame, required: Sequence[str], expected_sums: DataFrame, splits: Sequence[tuple[str, DataFrame]], total: int, consensus: DataFrame, per_rater: DataFrame, raters: Mapping[str, int | None], texts: DataFrame, documents: DataFrame, taxonomy: DataFrame | None = None, key: str = "patch_id", optional: Sequence[str] = ()
 ) -> DataFrame:
     """(section, check, status, n): a release's eight sections as one table.
 
-    Required files; checksums (files without one, sums that differ); splits (their
+    Required files, and ``optional`` ones (a warning if absent); checksums (files without one, sums that differ); splits (their
     total, ids in two of them); consensus (ids that it and the splits lack of each
     other, unknown levels); rows a rater (None: at least one), rows of no rater
     (a warning), rows that failed the gate (reported); labels of the taxonomy
@@ -47,6 +47,9 @@ def validate(
 
     count = lambda df: df.agg(F.count("*").alias("n"))
     rows = [required_present(files, "path", required).select(F.lit("files").alias("section"), "check", "status", F.when(F.col("status") == "PASS", 0).otherwise(1).cast("long").alias("n"))]
+    if optional:
+        there = required_present(files, "path", optional, "optional", "WARN")
+        rows.append(there.select(F.lit("files").alias("section"), "check", "status", F.when(F.col("status") == "PASS", 0).otherwise(1).cast("long").alias("n")))
     rows.append(one("checksums", "files without a checksum", count(files.join(expected_sums, "path", "left_anti"))))
     pair = files.select("path", F.col("sha256").alias("a")).join(expected_sums.select("path", F.col("sha256").alias("e")), "path")
     rows.append(one("checksums", "checksums that differ", count(pair.where("a <> e"))))
@@ -90,22 +93,28 @@ def sets_equal(parts: Sequence[DataFrame], whole: DataFrame, key: str) -> DataFr
     return both.agg(F.count_if(F.col("_p").isNull()).alias("missing"), F.count_if(F.col("_w").isNull()).alias("extra")).withColumn("equal", (F.col("missing") == 0) & (F.col("extra") == 0))
 
 
+def membership(parts: Sequence[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """(mask, n): how many ids are in just the parts whose bits ``mask`` has, bit i being that of the i-th part. One exchange on the id for all parts; rows that repeat an id in a part count once."""
+    if len(parts) > 62:
+        raise ValueError("62 parts at most, one bit each")
+    marked = reduce(DataFrame.unionByName, (df.select(key, F.lit(1 << i).cast("long").alias("bit")) for i, (_, df) in enumerate(parts)))
+    masks = marked.groupBy(key).agg(F.bit_or("bit").alias("mask"))
+    return masks.groupBy("mask").agg(F.count("*").alias("n"))
+
+
 def set_report(parts: Sequence[tuple[str, DataFrame]], whole: DataFrame, key: str) -> DataFrame:
-    """(measure, n): sizes of the parts, of each two parts' intersection, of their union, and what the union and the whole lack of each other."""
-    sets = [(name, df.select(key).distinct()) for name, df in parts]
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
-    rows = [count(df, f"size:{name}") for name, df in sets]
-    rows += [count(a.intersect(b), f"intersect:{m}&{n}") for i, (m, a) in enumerate(sets) for n, b in sets[i + 1 :]]
-    union = sets[0][1]
-    for _, df in sets[1:]:
-        union = union.union(df)
-    union = union.distinct()
-    everything = whole.select(key).distinct()
-    rows += [count(union, "union"), count(union.exceptAll(everything), "union_only"), count(everything.exceptAll(union), "whole_only")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """(measure, n): sizes of the parts, of each two parts' intersection, of their union, and what the union and the whole lack of each other.
+
+    All from the few masks of membership(), so any number of parts takes one pass over the ids.
+    """
+    names, mask, n = [name for name, _ in parts], F.col("mask"), F.col("n")
+    has = lambda bits: mask.bitwiseAND(F.lit(bits)) == bits
+    everything, some = 1 << len(names), mask.bitwiseAND(F.lit((1 << len(names)) - 1)) != 0
+    rules = [(f"size:{name}", has(1 << i)) for i, name in enumerate(names)]
+    rules += [(f"intersect:{a}&{names[j]}", has(1 << i | 1 << j)) for i, a in enumerate(names) for j in range(i + 1, len(names))]
+    rules += [("union", some), ("union_only", some & ~has(everything)), ("whole_only", has(everything) & ~some)]
+    row = membership([*parts, ("whole", whole)], key).agg(*(F.coalesce(F.sum(F.when(rule, n)), F.lit(0)).alias(str(k)) for k, (_, rule) in enumerate(rules)))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), F.col(str(k)).alias("n")) for k, (name, _) in enumerate(rules)))).alias("m")).select("m.*")
 
 
 def has_placeholder(text: Column, marks: Sequence[str] = ("[To be", "10.xxxx", "XXXXXXX")) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterlake.operators import ranks
 from raterlake.operators.tiling import seeded
+from raterlake.session import ship
 
 
 def with_quantiles(df: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
@@ -63,3 +67,41 @@ def array_stats(df: DataFrame, key: str, values: str) -> DataFrame:
     with_steps = doubles.withColumn("d", F.expr("zip_with(slice(v, 2, size(v) - 1), slice(v, 1, size(v) - 1), (a, b) -> a - b)")).withColumn("m", array_mean("v")).withColumn("dm", array_mean("d"))
     variance = lambda v, m: F.expr(f"aggregate({v}, 0D, (a, x) -> a + (x - {m}) * (x - {m})) / size({v})")
     return with_steps.select(key, F.col("m").alias("mean"), F.sqrt(variance("v", "m")).alias("std"), variance("d", "dm").alias("edge_var"))
+
+
+def _matrix_kernel(rows: int, columns: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1)
+            sizes, n = pc.list_value_length(values).to_numpy(zero_copy_only=False), batch.num_rows
+            flat, at = values.flatten(), values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            holes = np.add.reduceat(np.append(flat.is_null().to_numpy(zero_copy_only=False), False), np.minimum(np.cumsum(at) - at, len(flat))) if len(flat) else np.zeros(n)
+            sound = np.flatnonzero((np.nan_to_num(sizes, nan=-1) == rows * columns) & (holes == 0))
+            out = np.full((4, n), np.nan)
+            if len(sound):
+                start = (np.cumsum(at) - at)[sound]
+                x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)[start[:, None] + np.arange(rows * columns)].reshape(-1, rows, columns)
+                out[0, sound], out[1, sound] = x.mean(axis=(1, 2)), x.std(axis=(1, 2))
+                across, down = np.diff(x, axis=2), np.diff(x, axis=1)
+                out[2, sound] = across.var(axis=(1, 2)) if columns > 1 else 0.0
+                out[3, sound] = down.var(axis=(1, 2)) if rows > 1 else 0.0
+            known = np.zeros(n, bool)
+            known[sound] = True
+            columns_out = [pa.array(c, mask=~known) for c in (out[0], out[1], (out[2] + out[3]) / 2, out[2], out[3])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns_out], names=["key", "mean", "std", "edge_var", "var_across", "var_down"])
+
+    return run
+
+
+def matrix_stats(df: DataFrame, key: str, values: str, rows: int, columns: int) -> DataFrame:
+    """(key, mean, std, edge_var, var_across, var_down) of matrices that come as arrays of ``rows`` x ``columns`` numbers, row by row.
+
+    Variances are of the population; edge_var is the mean of the variances of the
+    differences between neighbours in a row and in a column (0 along an axis of one). Whole Arrow
+    batches at a time; only key and numbers travel. Null for an array that is null, of another size or with a
+    null in it.
+    """
+    ship(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+    held = df.select(F.col(key).alias("key"), F.col(values).cast("array<double>").alias("values"))
+    return held.mapInArrow(_matrix_kernel(rows, columns), f"key {kind}, mean double, std double, edge_var double, var_across double, var_down double").withColumnRenamed("key", key)

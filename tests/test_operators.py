@@ -303,3 +303,36 @@ def test_no_product_and_no_group_in_one_task(spark):
         assert "NestedLoop" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sets_in_one_pass(spark):
+    """Any number of parts, repeated and null ids, against Python's sets; one exchange on the id."""
+    rng = random.Random(12)
+    sets = [[rng.choice([None, *range(30)]) for _ in range(rng.choice([0, 5, 25]))] for _ in range(5)]
+    parts = [(f"p{i}", spark.createDataFrame([(x,) for x in s], "k long")) for i, s in enumerate(sets)]
+    whole = set(range(20)) | {None}
+    report = release.set_report(parts, spark.createDataFrame([(x,) for x in whole], "k long"), "k")
+    got, held = {r["measure"]: r["n"] for r in report.collect()}, [set(s) for s in sets]
+    union = set().union(*held)
+    want = {f"size:p{i}": len(s) for i, s in enumerate(held)} | {f"intersect:p{i}&p{j}": len(held[i] & held[j]) for i in range(5) for j in range(i + 1, 5)}
+    assert got == want | {"union": len(union), "union_only": len(union - whole), "whole_only": len(whole - union)}
+    fresh = release.set_report(parts, spark.createDataFrame([(x,) for x in whole], "k long"), "k")
+    assert plan_of(fresh).count("Exchange hashpartitioning(k") == 1
+
+
+def test_matrix_stats(spark):
+    """Against numpy, with nulls, other sizes, empty arrays and matrices of one row."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(7)] + [(7, None), (8, []), (9, [1.0] * 11), (10, [None] + [1.0] * 11), (11, [2.0] * 12), (12, [float(x) for x in range(12)])]
+    df = spark.createDataFrame(rows, "i int, v array<double>")
+    for shape in ((3, 4), (4, 3), (1, 12), (12, 1)):
+        for r in sampling.matrix_stats(df.repartition(2), "i", "v", *shape).collect():
+            v = dict(rows)[r["i"]]
+            if not v or len(v) != 12 or None in v:
+                assert r["mean"] is r["std"] is r["edge_var"] is None
+                continue
+            x = np.array(v).reshape(shape)
+            across, down = (np.diff(x, axis=a).var() if x.shape[a] > 1 else 0.0 for a in (1, 0))
+            assert [r[c] for c in ("mean", "std", "edge_var", "var_across", "var_down")] == pytest.approx([x.mean(), x.std(), (across + down) / 2, across, down])
