@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Sequence
 from functools import reduce
@@ -25,46 +26,80 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = No
     return df.na.fill("")
 
 
-#: Different headers that the files of a folder may have; each is read on its own.
-MOST_HEADERS = 50
+#: Different layouts (which wanted column stands where, and how many there are) that the files of a folder may have; each is read on its own.
+MOST_HEADERS = 200
+#: Columns that rows and reports of a quarantine have.
+QUARANTINE = "file string, record string, reason string"
 
 
 def headers(spark: SparkSession, folder: str, glob: str = "*.csv", recursive: bool = True) -> DataFrame:
-    """(file, columns): the column names in each file's first line; a byte order mark and quotes are taken off."""
+    """(file, line): each file's first line, without a byte order mark."""
     lines = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).text(folder)
     first = lines.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value").groupBy("file").agg(F.min_by("value", "n").alias("line"))
-    names = F.transform(F.split(F.regexp_replace("line", "^\ufeff|\r$", ""), ","), lambda c: F.btrim(F.trim(c), F.lit('"')))
-    return first.select("file", names.alias("columns"))
+    return first.select("file", F.regexp_replace("line", "^\ufeff|\r$", "").alias("line"))
 
 
-def read_shards(spark: SparkSession, folder: str, schema: str, keys: Sequence[str] = ("patch_id", "engine"), required: Sequence[str] = ("D1",), keep_blank: bool = False, recursive: bool = True, dedup: bool = True) -> DataFrame:
-    """All shard_*.csv of a folder, by their own headers: a file without a required column is left out, a column that it lacks is empty, and others are ignored.
+def _layouts(found: DataFrame, wanted: Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """(header lines, column names) of files that can be read together: as many columns, and the ``wanted`` ones at the same places."""
+    lines = [r["line"] for r in found.select("line").distinct().limit(20 * MOST_HEADERS + 1).collect()]
+    by: dict[tuple, tuple[list[str], list[str]]] = {}
+    for line in sorted(lines):
+        names = [n.strip() for n in next(csv.reader([line]), [])]
+        key = (len(names), *(names.index(w) if w in names else -1 for w in wanted))
+        by.setdefault(key, ([], names))[0].append(line)
+    if len(by) > MOST_HEADERS or len(lines) > 20 * MOST_HEADERS:
+        raise ValueError(f"the files have more than {MOST_HEADERS} different layouts")
+    return list(by.values())
 
-    The first row a key is kept in the order of path parts and lines (all rows
-    without ``dedup``); rows with a blank first key go unless ``keep_blank``.
-    """
-    kinds = dict(part.split(None, 1) for part in (p.strip() for p in schema.split(",")))
-    missing = [c for c in (*required, *keys) if c not in kinds]
-    if missing:
-        raise ValueError(f"columns missing in the schema: {missing}")
+
+def _shard_parts(spark: SparkSession, folder: str, kinds: dict[str, str], required: Sequence[str], recursive: bool, skip_bad: bool, first_header: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Rows of each layout with _file, _line and _bad (a record that its layout doesn't fit), and (file, reason) of files that are left out."""
     glob = "shard_*.csv"
     found = headers(spark, folder, glob, recursive)
-    different = [r["columns"] for r in found.select("columns").distinct().limit(MOST_HEADERS + 1).collect()]
-    if len(different) > MOST_HEADERS:
-        raise ValueError(f"the files have more than {MOST_HEADERS} different headers")
-    parts = []
-    for names in different:
-        if set(required) - set(names):
+    parts, out = [], [spark.createDataFrame([], "file string, reason string")]
+    layouts = _layouts(found, list(kinds))
+    shown = set(kinds)
+    if first_header and layouts:  # columns that the first file lacks are dropped, as one header is written for all
+        top = found.agg(F.min_by("line", F.split("file", "/")).alias("line")).first()["line"]
+        shown = {n.strip() for n in next(csv.reader([top or ""]), [])}
+    for lines, names in layouts:
+        own = found.where(F.col("line").isin(lines)).select(F.col("file").alias("_file")) if len(layouts) > 1 else None
+        lacking = [c for c in required if c not in names]
+        if lacking:
+            out.append(found.where(F.col("line").isin(lines)).select("file", F.lit(f"no column {lacking[0]}").alias("reason")))
             continue
-        read = read_csv(spark, folder, ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names), recursive, glob, skip_bad=True)
-        read = read.select(*(F.col(f"`{c}`").alias(c) if c in names else F.lit("").cast(kind).alias(c) for c, kind in kinds.items()), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
-        if len(different) > 1:
-            own = found.where(F.col("columns") == F.array(*map(F.lit, names))).select(F.col("file").alias("_file"))
-            read = read.join(own, "_file", "left_semi")
-        parts.append(read)
+        unique = [n if n and names.index(n) == i else f"_c{i}" for i, n in enumerate(names)]
+        schema = ", ".join(f"`{n}` string" for n in unique) + ", _bad string"
+        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", recursive).option("pathGlobFilter", glob)
+        read = reader.option("ignoreCorruptFiles", skip_bad).option("ignoreMissingFiles", skip_bad).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema).csv(folder)
+        cell = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
+        columns = [(cell(c) if c in names and c in shown else F.lit("")).alias(c) for c in kinds]
+        read = read.select(*columns, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"), "_bad")
+        parts.append(read if own is None else read.join(own, "_file", "left_semi"))
+    return parts, reduce(DataFrame.unionByName, out)
+
+
+def _kinds(schema: str, named: Sequence[str]) -> dict[str, str]:
+    kinds = dict(part.split(None, 1) for part in (p.strip() for p in schema.split(",")))
+    missing = [c for c in named if c not in kinds]
+    if missing:
+        raise ValueError(f"columns missing in the schema: {missing}")
+    return kinds
+
+
+def read_shards(spark: SparkSession, folder: str, schema: str, keys: Sequence[str] = ("patch_id", "engine"), required: Sequence[str] = ("D1",), keep_blank: bool = False, recursive: bool = True, dedup: bool = True, skip_bad: bool = False, first_header: bool = False) -> DataFrame:
+    """All shard_*.csv of a folder, by their own headers: a file without a required column is left out, a column that it lacks is empty, and others are ignored.
+
+    The first row a key is kept in the order of path parts and lines (all rows
+    without ``dedup``); rows with a blank first key go unless ``keep_blank``. A file that can't be read to its end is an
+    error; with ``skip_bad`` what was read before is kept (read_quarantined() says what is left out). With ``first_header`` columns
+    that the first file lacks are empty, as where one file's header is written for all.
+    """
+    kinds = _kinds(schema, (*required, *keys))
+    parts, _ = _shard_parts(spark, folder, kinds, required, recursive, skip_bad, first_header)
     if not parts:
         return spark.createDataFrame([], schema)
-    df = reduce(DataFrame.unionByName, parts)
+    df = reduce(DataFrame.unionByName, parts).select(*(F.col(c).cast(kind).alias(c) if kind != "string" else F.col(c) for c, kind in kinds.items()), "_file", "_line")
     if not keep_blank:
         df = df.where(f"trim({keys[0]}) <> ''")
     if not dedup:
@@ -73,6 +108,31 @@ def read_shards(spark: SparkSession, folder: str, schema: str, keys: Sequence[st
     return df.withColumn("_n", first).where("_n = 1").drop("_n", "_file", "_line")
 
 
+def read_quarantined(spark: SparkSession, folder: str, schema: str, keys: Sequence[str] = ("patch_id", "engine"), required: Sequence[str] = ("D1",), recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, set aside): all sound rows of the shards, not deduplicated, and QUARANTINE rows for all that is left out.
+
+    Set aside with a reason: records with more or fewer cells than their file's header, records with a blank key,
+    values that their column's type can't hold, files without a required column, and
+    files that hold more than a header but gave no record (unreadable). Every record is in one of the two.
+    """
+    kinds = _kinds(schema, (*required, *keys))
+    parts, left_out = _shard_parts(spark, folder, kinds, required, recursive, True, False)
+    files = left_out.select("file", F.lit(None).cast("string").alias("record"), "reason")
+    if not parts:
+        return spark.createDataFrame([], schema), files
+    df = reduce(DataFrame.unionByName, parts)
+    wrong = [F.when((F.col(c) != "") & F.col(c).try_cast(kind).isNull(), F.lit(f"{c} is no {kind}")) for c, kind in kinds.items() if kind != "string"]
+    blank = [F.when(F.trim(c) == "", F.lit(f"{c} is blank")) for c in keys]
+    marked = df.withColumn("_why", F.coalesce(F.when(F.col("_bad").isNotNull(), F.lit("cells don't fit the header")), *blank, *wrong, F.lit("")))
+    rows = marked.where("_why = ''").select(*(F.col(c).try_cast(kind).alias(c) if kind != "string" else F.col(c) for c, kind in kinds.items()))
+    aside = marked.where("_why <> ''").select(F.col("_file").alias("file"), F.coalesce("_bad", F.to_json(F.struct(*kinds))).alias("record"), F.col("_why").alias("reason"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "shard_*.csv").load(folder)
+    head = headers(spark, folder, "shard_*.csv", recursive).select("file", (F.octet_length("line") + 8).alias("head"))
+    silent = listed.select(F.col("_metadata.file_path").alias("file"), "length").join(head, "file", "left").where(F.col("head").isNull() | (F.col("length") > F.col("head")))
+    unread = silent.join(marked.select(F.col("_file").alias("file")).distinct(), "file", "left_anti").join(left_out.select("file"), "file", "left_anti")
+    return rows, aside.unionByName(files).unionByName(unread.select("file", F.lit(None).cast("string").alias("record"), F.lit("unreadable").alias("reason")))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -122,9 +182,20 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, str
     df.select(*(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in known else F.lit("").alias(f) for f in fields)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_buckets(members: DataFrame, path: str, bucket: str = "bucket") -> None:
-    """One folder a bucket."""
-    members.repartition(bucket, F.pmod(F.hash(*(c for c in members.columns if c != bucket)), F.lit(8))).write.mode("overwrite").partitionBy(bucket).parquet(path)
+#: Rows of a bucket that one task writes.
+FILE_ROWS = 1_000_000
+
+
+def write_buckets(members: DataFrame, path: str, bucket: str = "bucket", rows: int = FILE_ROWS) -> DataFrame:
+    """One folder a bucket, in files of about ``rows`` rows: a large bucket is dealt over as many tasks as its count asks for. Also a manifest of (bucket, n) beside it, at ``path``_manifest, which is returned; a bucket without rows has no folder."""
+    spark, others = members.sparkSession, [c for c in members.columns if c != bucket]
+    counts = members.groupBy(bucket).agg(F.count("*").alias("n")).collect()  # a row a bucket, which are labels and tiers
+    sizes = spark.createDataFrame([(r[0], r["n"]) for r in counts], f"{bucket} {members.schema[bucket].dataType.simpleString()}, n long")
+    parts = F.broadcast(sizes.select(F.struct(bucket).alias("_b"), F.ceil(F.col("n") / rows).alias("_parts")))
+    dealt = members.withColumn("_b", F.struct(bucket)).join(parts, "_b").withColumn("_salt", F.pmod(F.xxhash64(*others) if others else F.rand(1), F.col("_parts")))
+    dealt.repartition(bucket, "_salt").drop("_b", "_parts", "_salt").write.mode("overwrite").partitionBy(bucket).parquet(path)
+    sizes.coalesce(1).write.mode("overwrite").json(f"{path}_manifest")
+    return sizes
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

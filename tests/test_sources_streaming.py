@@ -119,3 +119,67 @@ def test_breaker_and_windows(spark, tmp_path):
     q = ingest.windowed_counts(stream, "ts", "rater").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").start()
     q.awaitTermination()
     assert spark.table("windows").first()["n"] == 10
+
+
+def put(path, data):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(data if isinstance(data, bytes) else data.encode())
+
+
+def test_quarantine(spark, tmp_path):
+    """Rows in = rows kept + rows set aside, with reasons; files that can't be read or lack a column are named."""
+    import gzip
+
+    head = "patch_id,engine,D1,n\n"
+    put(f"{tmp_path}/a/shard_1.csv", head + 'p1,e,x,1\np2,e\np3,e,x,2,9\n"p4","e","a\nb",\n ,e,x,1\np5,e,x,two\n')
+    put(f"{tmp_path}/a/shard_2.csv", '"n","D1","engine","patch_id"\n7,"y, z",e,p6\n')
+    put(f"{tmp_path}/b/shard_3.csv", "patch_id,engine\np7,e\n")
+    put(f"{tmp_path}/b/shard_4.csv", head)
+    rows, aside = readers.read_quarantined(spark, str(tmp_path), "patch_id string, engine string, D1 string, n int")
+    got = {r["patch_id"]: (r["D1"], r["n"]) for r in rows.collect()}
+    assert got == {"p1": ("x", 1), "p4": ("a\nb", None), "p6": ("y, z", 7)}
+    told = [(os.path.basename(r["file"]), r["reason"]) for r in aside.collect()]
+    assert sorted(told) == sorted([("shard_1.csv", "cells don't fit the header")] * 2 + [("shard_1.csv", "patch_id is blank"), ("shard_1.csv", "n is no int"), ("shard_3.csv", "no column D1")])
+    assert any(r["record"] == "p2,e" for r in aside.collect())
+    whole = gzip.compress((head + "p8,e,x,1\n" * 50_000).encode())
+    put(f"{tmp_path}/c/shard_5.csv.gz", whole[: len(whole) // 2])
+    os.rename(f"{tmp_path}/c/shard_5.csv.gz", f"{tmp_path}/c/shard_5.csv")  # bytes that are no text
+    with pytest.raises(ValueError):
+        readers.read_quarantined(spark, str(tmp_path), "patch_id string")
+
+
+def test_broken_shards_are_an_error(spark, tmp_path):
+    """A compressed shard that ends too soon: an error, or, where asked for, what could be read of the others."""
+    import gzip
+
+    head = "patch_id,engine,D1,raw_response\n"
+    put(f"{tmp_path}/shard_1.csv", head + "p1,e,x,r\n")
+    os.makedirs(f"{tmp_path}/sub")
+    whole = gzip.compress((head + "".join(f"q{i},e,x,{i * 7919}\n" for i in range(20_000))).encode())
+    put(f"{tmp_path}/sub/shard_2.csv", head + "p2,e,x,r\n")
+    assert readers.read_shards(spark, str(tmp_path), SCHEMA).count() == 2
+    put(f"{tmp_path}/gz/part.csv.gz", whole[: len(whole) // 2])
+    with pytest.raises(Exception):  # noqa: B017
+        readers.read_csv(spark, f"{tmp_path}/gz").count()
+    assert readers.read_csv(spark, f"{tmp_path}/gz", skip_bad=True).count() < 20_000
+
+
+def test_first_header(spark, tmp_path):
+    put(f"{tmp_path}/shard_1.csv", "patch_id,engine,D1\np1,e,x\n")
+    put(f"{tmp_path}/shard_2.csv", "patch_id,engine,D1,raw_response\np2,e,x,r\n")
+    rows = {r["patch_id"]: r["raw_response"] for r in readers.read_shards(spark, str(tmp_path), SCHEMA, first_header=True).collect()}
+    assert rows == {"p1": "", "p2": ""}
+    assert {r["patch_id"]: r["raw_response"] for r in readers.read_shards(spark, str(tmp_path), SCHEMA).collect()} == {"p1": "", "p2": "r"}
+
+
+def test_large_buckets_are_dealt(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "if(id < 900, 'hot', null) bucket")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = readers.write_buckets(df, f"{tmp_path}/b", rows=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r[0]: r["n"] for r in sizes.collect()} == {"hot": 900, None: 100}
+    assert len([f for f in os.listdir(f"{tmp_path}/b/bucket=hot") if f.startswith("part-")]) > 1
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 1000 and spark.read.json(f"{tmp_path}/b_manifest").count() == 2

@@ -189,3 +189,49 @@ def test_text_is_replaced(spark, tmp_path):
         atomic.write_text(spark, path, text)
         assert atomic.read_text(spark, path) == text
     assert [n for n in os.listdir(tmp_path / "s") if n.endswith(".tmp")] == []
+
+
+def test_progress_from_the_writing_pass(spark, tmp_path):
+    from raterlake.sources.progress import ProgressLog
+
+    now = iter(range(0, 1000, 60))
+    log = ProgressLog(spark, str(tmp_path / "p"), 250, clock=lambda: float(next(now)))
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            runs.add(1)
+            yield r
+
+    df = spark.createDataFrame(spark.range(100).rdd.mapPartitions(counted), "id long").selectExpr("id", "id % 10 = 0 f", "'500' ms")
+    first = log.write(df, lambda d: d.write.parquet(f"{tmp_path}/a"), F.col("f"), "ms")
+    assert runs.value == 100 and spark.read.parquet(f"{tmp_path}/a").count() == 100
+    assert (first["completed"], first["failed"], first["latency_s"], first["percent"], first["rate_per_min"], first["eta_remaining_s"]) == (100, 10, 50.0, 40.0, 100.0, 90.0)
+    with pytest.raises(Exception):  # noqa: B017
+        log.write(df, lambda d: d.write.parquet(f"{tmp_path}/a"))
+    log.write(df, lambda d: d.write.parquet(f"{tmp_path}/b"))
+    assert [r["completed"] for r in log.entries().collect()] == [100, 200] and log.summary()["completed"] == 200
+    again = ProgressLog(spark, str(tmp_path / "p"), 250, clock=lambda: 0.0)
+    assert again.add(50)["completed"] == 250
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    import time
+
+    from raterlake.sources.progress import ProgressLog, watched
+
+    for i in range(3):
+        spark.range(10 * (i + 1)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    log = ProgressLog(spark, str(tmp_path / "p"), 60)
+    listener = log.listener("told")
+    spark.streams.addListener(listener)
+    try:
+        stream = watched(ingest.read_arriving(spark, f"{tmp_path}/in/*", "id long", files_per_batch=1), F.col("id") == 0)
+        stream.writeStream.queryName("told").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if (log.summary() or {}).get("completed") == 60:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert log.summary()["completed"] == 60 and log.summary()["failed"] == 3 and log.entries().count() == 3
