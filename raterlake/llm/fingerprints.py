@@ -2,14 +2,15 @@
 
 Each shingle is hashed once. The upper bits of its hash name a bin, and the least hash
 of a bin stays. An empty bin borrows from a full one that a hash of both picks (optimal
-densification, Shrivastava 2017: every empty bin draws on its own, uniformly among the
-full ones). Of each bin BITS low-order bits are kept, taken from a hash of the minimum and
+densification, Shrivastava 2017: every empty bin looks at bins in a random order of its own
+up to the first full one). Of each bin BITS low-order bits are kept, taken from a hash of the minimum and
 the bin, so that bins which borrowed the same minimum still err independently.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +26,10 @@ BINS, BITS = 256, 8
 LEAST_ROWS, MOST_ROWS, EACH_TASK = 64, 4_096, 4
 
 _REST = 64 - int(math.log2(BINS))
+#: Bins that an empty bin looks at first, in turn; it looks at all of them after that.
+TRIES = 8
+_rng = random.Random(20)
+_FIRST = [[_rng.randrange(BINS) for _ in range(TRIES)] for _ in range(BINS)]
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -34,54 +39,54 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
     """Hashes of the ``n``-word shingles of a text in lower case, repeats included; words stand between white space. Null and blank texts have none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    space = " \t\n\x0b\f\r"
+    bare = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(space))
 
     def of(h: Column) -> Column:
-        whole = F.when(F.size(h) > 0, F.array(F.xxhash64(F.concat_ws(" ", h.cast("array<string>"))))).otherwise(F.array().cast("array<bigint>"))
-        rolled = F.transform(F.slice(h, 1, F.greatest(F.size(h) - (n - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, n))))
-        return F.when(F.size(h) < n, whole).otherwise(rolled)
+        rolled = F.transform(F.slice(h, 1, F.size(h) - (n - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, n))))
+        return F.when(F.size(h) < n, F.array(F.xxhash64(F.concat_ws(" ", h.cast("array<string>"))))).otherwise(rolled)
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
+    none = F.array().cast("array<bigint>")
+    return _let(bare, lambda b: F.when(b == "", none).otherwise(_let(F.transform(F.split(b, f"[{space}]+"), lambda w: F.xxhash64(w)), of)))
 
 
 def _bin(h: Column) -> Column:
-    return F.shiftrightunsigned(h, _REST).cast("int")
+    """0 to BINS - 1, rising with the hash."""
+    return F.shiftright(h, _REST).cast("int") + BINS // 2
 
 
 def bin_minima(hashes: Column) -> Column:
     """One long a bin, in order: the bin's least hash, or the bin's largest possible value if no hash falls into it.
 
     The largest value of each bin is added to the hashes and all are sorted, so the
-    first of each bin is what is sought. Signs are flipped for the sort to be unsigned.
+    first of each bin is what is sought.
     """
-    low = (1 << _REST) - 1
-    ends = [((b << _REST) | low) ^ (1 << 63) for b in range(BINS)]
-    marks = F.lit([e - (1 << 64) if e >= 1 << 63 else e for e in ends])
-    flip = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))
+    ends = F.lit([((b - BINS // 2) << _REST) | ((1 << _REST) - 1) for b in range(BINS)])
 
     def firsts(s: Column) -> Column:
-        return F.transform(F.filter(s, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(s, i - 1)))), flip)
+        return F.filter(s, lambda x, i: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(F.get(s, i - 1)), _REST) > 0, F.lit(True)))
 
-    return _let(F.sort_array(F.concat(F.transform(hashes, flip), marks)), firsts)
+    return _let(F.sort_array(F.concat(hashes, ends)), firsts)
 
 
 def densified(minima: Column) -> Column:
-    """``minima`` with every empty bin's value borrowed: of the full bins that one whose hash with the empty bin is least. All empty stays all empty."""
+    """``minima`` with every empty bin's value borrowed from the first full bin of a random sequence that is the bin's own: TRIES drawn bins, then all bins by the order of a hash with it. All empty stays all empty."""
     low = F.lit((1 << _REST) - 1)
-    empty = lambda x: x.bitwiseAND(low) == low
+    full = lambda x: x.bitwiseAND(low) != low
 
-    def fill(m: Column, full: Column) -> Column:
-        draw = lambda b: F.array_min(F.transform(full, lambda x: F.xxhash64(b, _bin(x)).bitwiseAND(F.lit(~(BINS - 1))).bitwiseOR(_bin(x).cast("long"))))
+    def fill(m: Column, held: Column) -> Column:
+        tried = lambda b: F.get(F.filter(F.transform(F.get(F.lit(_FIRST), b), lambda c: F.get(m, c)), full), F.lit(0))
+        draw = lambda b: F.array_min(F.transform(held, lambda x: F.xxhash64(b, _bin(x)).bitwiseAND(F.lit(~(BINS - 1))).bitwiseOR(_bin(x).cast("long"))))
         donor = lambda b: F.get(m, draw(b).bitwiseAND(F.lit(BINS - 1)).cast("int"))
-        return F.when(F.size(full) > 0, F.transform(m, lambda x, b: F.when(empty(x), donor(b)).otherwise(x))).otherwise(m)
+        return F.when(F.size(held) > 0, F.transform(m, lambda x, b: F.when(full(x), x).otherwise(F.coalesce(tried(b), donor(b))))).otherwise(m)
 
-    return _let(minima, lambda m: _let(F.filter(m, lambda x: ~empty(x)), lambda full: fill(m, full)))
+    return _let(minima, lambda m: _let(F.filter(m, full), lambda held: fill(m, held)))
 
 
 def packed(values: Column) -> Column:
     """Lowercase hex of BITS low-order bits a bin."""
-    low = lambda x, b: F.xxhash64(x, b).bitwiseAND(F.lit((1 << BITS) - 1))
-    return F.lower(F.concat_ws("", F.transform(values, lambda x, b: F.lpad(F.hex(low(x, b)), BITS // 4, "0"))))
+    digits = F.lit([f"{v:0{BITS // 4}x}" for v in range(1 << BITS)])
+    return F.concat_ws("", F.transform(values, lambda x, b: F.get(digits, F.xxhash64(x, b).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))))
 
 
 #: The fingerprint of a text without words.

@@ -78,9 +78,8 @@ def reference_print(hashes):
     """The same method in plain loops, from the shingle hashes."""
     rest, full = fp._REST, {}
     for h in hashes:
-        u = h % 2**64
-        b = u >> rest
-        full[b] = min(full.get(b, u), u)
+        b = (h >> rest) + fp.BINS // 2
+        full[b] = min(full.get(b, h), h)
     return full
 
 
@@ -93,8 +92,7 @@ def test_minima_and_densification(spark):
         full = reference_print(r["h"])
         assert len(r["m"]) == len(r["d"]) == fp.BINS
         for b, (m, d) in enumerate(zip(r["m"], r["d"], strict=True)):
-            m, d = m % 2**64, d % 2**64
-            assert m >> fp._REST == b and m == full.get(b, b << fp._REST | low)
+            assert m == full.get(b, (b - fp.BINS // 2) << fp._REST | low)
             assert d == m if b in full else d in full.values()
         if len(full) > 20:  # empty bins draw on their own
             borrowed = [d for b, d in enumerate(r["d"]) if b not in full]
@@ -269,7 +267,7 @@ def test_collocations(spark, bits):
     rows = odd_texts(random.Random(5))
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "lang string, text string, phrase int, k int").repartition(3)
     got = sorted(tuple(r) for r in phrases.collocations(df, least=8, bits=bits).collect())
-    assert got == brute_phrases(rows, 8) and len(got) > 50
+    assert got == brute_phrases(rows, 8) and len(got) > 15
 
 
 def test_collocations_top_and_ties(spark):
