@@ -51,6 +51,10 @@ LONGEST = 1 << 14
 WHOLE = -1
 #: A text's copies are dealt over so many tasks.
 SALTS = 16
+#: Anchors are counted in one of so many documents; those of more than one in so many of the runs there, and so many runs at least, are hot.
+SAMPLE, HOT_SHARE, HOT_RUNS = 64, 2_000, 64
+#: Bit of the marks that says that a run's anchor is hot.
+_HOT = 48
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, unit: str):
@@ -76,8 +80,8 @@ def _anywhere(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return K.mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)).view(np.int64)
 
 
-def _run_rows(length: int, unit: str):
-    """Texts -> runs; a run that is settled as a repeat has ~at for at."""
+def _run_rows(length: int, unit: str, hot=None):
+    """Texts -> runs; a run that is settled as a repeat has ~at for at. Runs of a ``hot`` anchor (a broadcast array) are dealt by anchor and run, and marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +114,10 @@ def _run_rows(length: int, unit: str):
                 row, size = _merged(doc, digit, span, marks, begin, size)
                 digit, span, marks, own, where = digit[row], span[row], marks[row], ids[lo:hi][doc[row]].astype(np.int64), (begin[row] << 16) | size
                 done = _settled((digit, span, marks), own)
+                if hot is not None:
+                    often = np.isin(digit, hot.value)
+                    digit[often] ^= K.mix(span[often].view(np.uint64)).view(np.int64)
+                    marks[often] |= 1 << _HOT
                 digit[done], span[done], marks[done], where[done] = _anywhere(own[done], where[done]), 0, 0, ~where[done]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digit, span, marks, own, where)], names=["anchor", "span", "marks", "id", "at"])
 
@@ -143,7 +151,8 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, span, marks, id) -> rows that repeat a smaller document's run (open = false) and rows to order further (open = true).
 
     A group is ordered further if it has several kinds of run and several
-    documents. Carried from batch to batch: of such a group its last row's anchor,
+    documents. Runs of a hot anchor stand alone here; what others have them on either side is asked
+    later, by ``left`` and ``right``, which only they have. Carried from batch to batch: of such a group its last row's anchor,
     span and owner; of another the rows that may still be ordered further, which
     are rows of one document.
     """
@@ -153,7 +162,8 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
         done = columns[4] < 0
         if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(columns[3][done]), pa.array(~columns[4][done]), pa.array(np.zeros(done.sum(), bool))], names=["id", "at", "open"])
+            none = pa.nulls(int(done.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(columns[3][done]), pa.array(~columns[4][done]), pa.array(np.zeros(done.sum(), bool)), none, none], names=["id", "at", "open", "left", "right"])
             columns = [c[~done] for c in columns]
         if not len(columns[0]):
             continue
@@ -177,9 +187,12 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed[group[0]] |= held_mixed
         several = kinds & mixed
         several[0] |= carry is not None
+        hot = np.zeros(last + 1, bool)
+        hot[group[(marks >> _HOT) & 1 == 1]] = True
+        several |= hot
         repeated = i > owner
         opened = ~repeated & several[group]
-        inner = np.flatnonzero(opened & (group > group[0]) & (group < last))  # whole groups: a side must be shared
+        inner = np.flatnonzero(opened & (group > group[0]) & (group < last) & ~hot[group])  # whole groups: a side must be shared
         opened[inner] = _shared(group[inner], i[inner], marks[inner])
         out = repeated | opened
         if several[last]:
@@ -187,7 +200,10 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             keep = (group == last) & ~repeated
             carry, held, held_mixed = None, (a[keep], s[keep], marks[keep], i[keep], at[keep]), bool(mixed[last])
-        yield pa.RecordBatch.from_arrays([pa.array(i[out]), pa.array(at[out]), pa.array(opened[out])], names=["id", "at", "open"])
+        cold = ~(opened & hot[group])[out]
+        anchor = a[out] ^ K.mix(s[out].view(np.uint64)).view(np.int64)
+        sides = [pa.array(K.mix((anchor ^ (side << 20 | k)).view(np.uint64)).view(np.int64), mask=cold) for k, side in ((1, (marks[out] >> 16) & 0xFFFF), (2, marks[out] & 0xFFFF))]
+        yield pa.RecordBatch.from_arrays([pa.array(i[out]), pa.array(at[out]), pa.array(opened[out]), *sides], names=["id", "at", "open", "left", "right"])
 
 
 def _window_rows(length: int, unit: str):
@@ -242,6 +258,19 @@ def _later_windows(length: int):
     return run
 
 
+_RUNS = "anchor long, span long, marks long, id long, at long"
+
+
+def hot_anchors(docs: DataFrame, length: int, unit: str) -> np.ndarray:
+    """Anchors that very many runs share, judged by a sample of the documents. They only decide how rows are dealt: fewer than HOT_SHARE numbers come to the driver."""
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(_run_rows(length, unit), _RUNS).where("at >= 0")
+    counts = settle(some.groupBy("anchor").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= max(HOT_RUNS, total / HOT_SHARE)).select("anchor").collect()
+    drop(counts)
+    return np.array([r["anchor"] for r in found], np.int64)
+
+
 def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """(id, at): stretches of ``docs`` (id, text) that a smaller id also has, as ``start << 16 | tokens``, or WHOLE; they may overlap."""
     known = docs.where("id is not null and text is not null")
@@ -253,10 +282,18 @@ def repeated_runs(docs: DataFrame, length: int, unit: str) -> DataFrame:
     drop(digests)
     whole = copies.select("id", F.lit(WHOLE).cast("long").alias("at"))
     known = keep_ids(known, copies, "left_anti")
-    rows = known.mapInArrow(_run_rows(length, unit), "anchor long, span long, marks long, id long, at long")
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "span", "marks", "id")
-    found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean"))
-    deeper = known.join(found.where("open").groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")
+    often = hot_anchors(known, length, unit)
+    hot = docs.sparkSession.sparkContext.broadcast(often) if len(often) else None
+    ordered = known.mapInArrow(_run_rows(length, unit, hot), _RUNS).repartition("anchor").sortWithinPartitions("anchor", "span", "marks", "id")
+    found = settle(ordered.mapInArrow(_owners, "id long, at long, open boolean, left long, right long"))
+    opened = found.where("open and left is null").select("id", "at")
+    if hot is not None:  # of hot anchors those runs go on that share a side with another document
+        runs = found.where("open and left is not null")
+        for side in ("left", "right"):
+            shared = settle(runs.groupBy(side).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(side))
+            opened = opened.unionByName(keep_ids(runs, shared, "left_semi", side).select("id", "at"))
+        opened = opened.distinct()
+    deeper = known.join(opened.groupBy("id").agg(F.collect_list("at").alias("runs")), "id").select("id", "text", "runs")
     windows = deeper.mapInArrow(_window_rows(length, unit), "window long, check int, id long, start long")
     last = windows.repartition("window").sortWithinPartitions("window", "check", "id").mapInArrow(_later_windows(length), "id long, at long")
     return found.where("not open").select("id", "at").unionByName(settle(last)).unionByName(whole)

@@ -149,6 +149,24 @@ def test_repeats(spark, length, unit, monkeypatch):
     assert got == brute_repeats(rows, length, unit)
 
 
+@pytest.mark.parametrize(("length", "unit", "runs"), [(50, "bytes", 1), (50, "bytes", 12), (20, "words", 1)])
+def test_repeats_with_hot_anchors(spark, length, unit, runs, monkeypatch):
+    """All anchors hot, or those of some runs: the same result, and no group of an anchor in one task."""
+    for name, value in (("SAMPLE", 1), ("HOT_SHARE", 10**9), ("HOT_RUNS", runs)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(77)
+    shared = " ".join(text(rng, 60))
+    rows = corpus(9) + [(1000 + k, " ".join(text(rng, rng.randint(0, 40))) + " " + shared[rng.randint(0, 80) :] + " " + " ".join(text(rng, 30))) for k in range(25)]
+    common = "a very common anchor here "
+    rows += [(3000 + k, " ".join(text(rng, 9)) + " " + rng.choice(["left side of it ", "another side it has ", ""]) + common + rng.choice(["with words that follow ", "", "and more of the same kind "]) + " ".join(text(rng, 9))) for k in range(60)]
+    rows += [(2000, "a" * 400), (2001, "b" + "a" * 300), (2002, shared * 3)]
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    hot = repeats.hot_anchors(df.select(F.col("doc_id").alias("id"), "text").where("text is not null"), length, unit)
+    assert len(hot) > (100 if runs == 1 else 3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in remove_repeats(df, length, unit).collect()}
+    assert got == brute_repeats(rows, length, unit)
+
+
 def test_repeats_streams_groups_over_batches(spark):
     """The carried state: the same rows in batches of any size."""
     import pyarrow as pa
