@@ -34,6 +34,15 @@ def dry_run(work: DataFrame, done: DataFrame, keys: Sequence[str], group: str, r
     return marked.groupBy(group).agg(F.count("*").alias("total"), F.count_if(F.col("_done").isNull()).alias("remaining")).withColumn("calls", F.col("remaining") * raters)
 
 
+def dry_run_shards(work: DataFrame, done: DataFrame, keys: Sequence[str], group: str, order: str, size: int, raters: int) -> DataFrame:
+    """(group, shard_id, start, end, count, remaining, calls): the shards of ``size`` items by ``order`` that a run would go through, and what is left to do in each."""
+    marked = work.join(done.select(*keys).distinct().withColumn("_done", F.lit(1)), list(keys), "left")
+    placed = ranks.numbered(marked, [group], order, "_row").withColumn("shard_id", F.ceil(F.col("_row") / size).cast("long"))
+    agg = placed.groupBy(group, "shard_id").agg(F.count("*").alias("count"), F.count_if(F.col("_done").isNull()).alias("remaining"))
+    start = (F.col("shard_id") - 1) * size
+    return agg.select(group, "shard_id", start.alias("start"), (start + F.col("count")).alias("end"), "count", "remaining", (F.col("remaining") * raters).alias("calls"))
+
+
 def breaker_trips(df: DataFrame, group: str, order: str, failed: str, limit: int = 5) -> DataFrame:
     """(group, tripped_at, run_length): where a group's run of failures first reaches ``limit``, and its longest run; successes reset it.
 
@@ -102,10 +111,10 @@ def run_totals(df: DataFrame, group: str, failed: str) -> DataFrame:
     return agg.withColumns({"total": F.col("completed"), "succeeded": F.col("completed") - F.col("failed"), "total_as_counted": F.col("completed") + F.col("failed")})
 
 
-def run_manifest(df: DataFrame, group: str, failed: str, ts: str) -> DataFrame:
-    """run_totals() with the first and last time of each run, and the seconds between."""
-    times = df.groupBy(group).agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), ((F.max(micros(ts)) - F.min(micros(ts))) / 1e6).alias("elapsed_s"))
-    return run_totals(df, group, failed).join(times, group)
+def run_manifest(df: DataFrame, group: str, failed: str, ts: str, *more: Column) -> DataFrame:
+    """run_totals() with the first and last time of each run, the seconds between, and ``more`` aggregates. One pass; a null run is a run."""
+    agg = df.groupBy(group).agg(F.count("*").alias("completed"), F.count_if(F.col(failed)).alias("failed"), F.min(ts).alias("started"), F.max(ts).alias("ended"), ((F.max(micros(ts)) - F.min(micros(ts))) / 1e6).alias("elapsed_s"), *more)
+    return agg.withColumns({"total": F.col("completed"), "succeeded": F.col("completed") - F.col("failed"), "total_as_counted": F.col("completed") + F.col("failed")})
 
 
 def speed_report(calls: DataFrame, group: str, latency: str) -> DataFrame:

@@ -162,6 +162,13 @@ def source_lookup(spark, sf_dir):
     return tiling.with_source(df, tiling.sources(spark))
 
 
+@query("""with r as (select lang, d.doc_id, l.doc_id is null todo, ceil(row_number() over (partition by lang order by d.doc_id) / 50.0)::bigint shard_id from documents d left join (select distinct doc_id from labels) l using (doc_id))
+select lang, shard_id, (shard_id - 1) * 50 "start", (shard_id - 1) * 50 + count(*) "end", count(*) "count", count(*) filter (todo) remaining, count(*) filter (todo) * 4 calls from r group by lang, shard_id""")
+def dryrun_shards(spark, sf_dir):
+    """What a run that resumes would do, shard by shard."""
+    return calls.dry_run_shards(table(spark, sf_dir, "documents", "lang", "doc_id"), table(spark, sf_dir, "labels", "doc_id"), ["doc_id"], "lang", "doc_id", 50, 4)
+
+
 @query("""with r as (select lang, doc_id, ceil(row_number() over (partition by lang order by doc_id) / 50.0)::bigint shard_id from documents) select lang, doc_id, shard_id from r where shard_id = 2""")
 def shard_filter(spark, sf_dir):
     return calls.shard_rows(table(spark, sf_dir, "documents", "lang", "doc_id"), "lang", "doc_id", 50, 2)
@@ -272,5 +279,4 @@ def freeze_hashes(spark, sf_dir):
 @query("""select event_type, count(*) completed, count(*) filter (value > 50) failed, count(*) filter (value <= 50) succeeded, count(*) + count(*) filter (value > 50) total_as_counted, min(event_id) first_event, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 elapsed_s from events group by 1""")
 def run_manifest(spark, sf_dir):
     df = table(spark, sf_dir, "events", "event_type", "value", "ts", "event_id").withColumn("failed", F.col("value") > 50)
-    first = df.groupBy("event_type").agg(F.min("event_id").alias("first_event"))
-    return calls.run_manifest(df, "event_type", "failed", "ts").join(first, "event_type").select("event_type", "completed", "failed", "succeeded", "total_as_counted", "first_event", "elapsed_s")
+    return calls.run_manifest(df, "event_type", "failed", "ts", F.min("event_id").alias("first_event")).select("event_type", "completed", "failed", "succeeded", "total_as_counted", "first_event", "elapsed_s")

@@ -9,6 +9,7 @@ release aside, and recover() puts that right.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from raterlake.functions.labels import label_positions
 from raterlake.operators import agreement
-from raterlake.sources import hashing, readers
+from raterlake.sources import atomic, hashing, readers
 
 #: What a release folder holds, in the order in which it is written.
 PARTS = ("annotations/consensus", "annotations/per_rater", "splits", "statistics/alpha", "statistics/agreement", "taxonomy", "codebook")
@@ -117,3 +118,22 @@ def build_release(folder: str, consensus: DataFrame, per_rater: DataFrame, dims:
         files.delete(path(staged), True)
         raise
     return readers.read_checksums(spark, f"{folder}/{CHECKSUMS}")
+
+
+def freeze_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, length, sha256_16) of frozen files, such as prompts and settings, wherever they stand."""
+    return hashing.file_hashes(spark, folder, glob).select("path", "length", F.substring("sha256", 1, 16).alias("sha256_16"))
+
+
+def run_record(spark: SparkSession, path: str, runs: DataFrame, inputs: Mapping[str, tuple[str, str]], settings: Mapping[str, object], limit: int = 10_000) -> dict:
+    """Writes the manifest of a run as one JSON file that is replaced as a whole: ``settings``, the rows of ``runs`` (calls.run_manifest), and the sha256 of each input (name -> folder and file name; ``n/a`` if absent). Returns it."""
+    rows = [r.asDict(recursive=True) for r in runs.limit(limit + 1).collect()]
+    if len(rows) > limit:
+        raise ValueError(f"a manifest has at most {limit} runs")
+    sums = {}
+    for name, (folder, file) in inputs.items():
+        found = hashing.file_hashes(spark, folder, file).where(F.col("path") == file).first() if atomic.exists(spark, f"{folder}/{file}") else None
+        sums[name] = found["sha256"] if found else "n/a"
+    record = {**settings, "inputs_sha256": sums, "runs": rows}
+    atomic.write_text(spark, path, json.dumps(record, ensure_ascii=False, indent=2, default=str))
+    return record

@@ -235,3 +235,21 @@ def test_progress_of_a_stream(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert log.summary()["completed"] == 60 and log.summary()["failed"] == 3 and log.entries().count() == 3
+
+
+def test_run_record_and_frozen_files(spark, tmp_path):
+    import hashlib
+    import json
+
+    from raterlake.operators import calls as batch
+
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf/prompt.yaml").write_text("a: 1")
+    want = hashlib.sha256(b"a: 1").hexdigest()
+    assert [tuple(r) for r in publish.freeze_files(spark, str(tmp_path / "conf")).collect()] == [("prompt.yaml", 4, want[:16])]
+    runs = spark.createDataFrame([("r1", False, 0), ("r1", True, 60), (None, True, 5)], "run string, failed boolean, s long").withColumn("ts", F.timestamp_seconds("s"))
+    inputs = {"prompt": (str(tmp_path / "conf"), "prompt.yaml"), "gone": (str(tmp_path / "conf"), "none.yaml")}
+    record = publish.run_record(spark, str(tmp_path / "m/_manifest.json"), batch.run_manifest(runs, "run", "failed", "ts"), inputs, {"version": "2"})
+    assert record["inputs_sha256"] == {"prompt": want, "gone": "n/a"} and record["version"] == "2"
+    assert {r["run"]: (r["completed"], r["failed"], r["elapsed_s"]) for r in record["runs"]} == {"r1": (2, 1, 60.0), None: (1, 1, 0.0)}
+    assert json.loads((tmp_path / "m/_manifest.json").read_text())["version"] == "2"
