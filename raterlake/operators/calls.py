@@ -15,6 +15,11 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def run_id(kind: str, started: Column, suffix: str = "") -> Column:
+    """kind_yyyyMMdd_HHmmss of a run's start in the session's time zone, as run folders are named; ``suffix`` may follow."""
+    return F.concat(F.lit(f"{kind}_"), F.date_format(started, "yyyyMMdd_HHmmss"), F.lit(f"_{suffix}" if suffix else ""))
+
+
 def shard_plan(df: DataFrame, group: str, size: int) -> DataFrame:
     """(group, shard_id, start, end, count) of shards of ``size`` rows, from the groups' counts alone."""
     n = df.groupBy(group).agg(F.count("*").alias("n"))

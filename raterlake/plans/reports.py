@@ -276,6 +276,12 @@ def freeze_hashes(spark, sf_dir):
     return release.freeze(table(spark, sf_dir, "benchmark").withColumn("item_id", F.col("item_id").cast("string")), "item_id", "text")
 
 
+@query("""select event_type, 'step3_full_' || strftime(min(ts), '%Y%m%d_%H%M%S') run_id, 'run_' || strftime(max(ts), '%Y%m%d_%H%M%S') || '_tile' tile_run_id from events group by 1""")
+def run_ids(spark, sf_dir):
+    df = table(spark, sf_dir, "events", "event_type", "ts").groupBy("event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return df.select("event_type", calls.run_id("step3_full", F.col("a")).alias("run_id"), calls.run_id("run", F.col("b"), "tile").alias("tile_run_id"))
+
+
 @query("""select event_type, count(*) completed, count(*) filter (value > 50) failed, count(*) filter (value <= 50) succeeded, count(*) + count(*) filter (value > 50) total_as_counted, min(event_id) first_event, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 elapsed_s from events group by 1""")
 def run_manifest(spark, sf_dir):
     df = table(spark, sf_dir, "events", "event_type", "value", "ts", "event_id").withColumn("failed", F.col("value") > 50)
