@@ -7,6 +7,7 @@ part and supplier the row order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from raterlake.functions import answers, labels, typed
 from raterlake.operators import agreement, calls, gate, panel, quality, ranks, release, sampling, tiling
-from raterlake.session import ship
+from raterlake.session import scratch, ship
+from raterlake.streaming.consensus import ConsensusTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,6 +100,17 @@ def consensus_multi_dim(spark, sf_dir):
     return panel.consensus(rated(spark, sf_dir), "l_orderkey", ["D1", "D2"], ORDER).select("l_orderkey", "n_engines", "D1", "D1_agreement", "D1_total", "D2", "D2_agreement", "D2_total", "consensus")
 
 
+@query(_UNITS + """select l_orderkey, n_engines, D1, D1_agreement, D1_total, D2, D2_agreement, D2_total,
+case when n_engines >= 4 and unanimous then 'high' when coalesce(min_ratio, 0) >= 0.75 then 'medium' else 'review' end consensus from u""")
+def consensus_incremental(spark, sf_dir):
+    """The same votes from a table that takes the panel in as three shards, one of them twice."""
+    rows = lines(spark, sf_dir)
+    held = ConsensusTable(spark, f"{scratch(spark)}/consensus-{uuid.uuid4().hex}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), "l_orderkey", "l_linenumber", ["D1", "D2"], ORDER)
+    for batch, shard in ((0, 1), (1, 0), (1, 0), (2, 2)):
+        held.merge(rows.where(F.pmod(F.col("l_suppkey"), F.lit(3)) == shard), batch)
+    return held.votes().select(*consensus_multi_dim(spark, sf_dir).columns)
+
+
 @query(_UNITS + """select l_orderkey, case when least >= 4 then 'high' when least >= 2 then 'medium' else 'low' end consensus_level, consensus_count::bigint consensus_count,
 ties is not null any_tie_flag, coalesce(ties, '') tie_dimensions, case when ties is null then 'resolved_no_tie' else 'resolved_with_tie' end consensus_status from u""")
 def consensus_level_doc(spark, sf_dir):

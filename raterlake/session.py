@@ -40,3 +40,13 @@ def ship(spark: SparkSession) -> None:
                     out.write(file, os.path.join("raterlake", os.path.relpath(file, here)))
     context.addPyFile(path)
     context._raterlake_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: the one that the cluster names in spark.checkpoint.dir, or, where that is unset, as in tests on one machine, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: tables that grow in place need a folder that all executors share")
+    return tempfile.mkdtemp(prefix="raterlake-")

@@ -71,7 +71,7 @@ class ConsensusTable:
         if commits and batch <= commits[-1]:
             return []  # committed before
         held = self._commit(commits[-1] if commits else None)
-        new = answers.select(*self.schema.names).where(F.trim(F.coalesce(self.unit, F.lit(""))) != "")
+        new = answers.select(*self.schema.names).where(F.trim(F.coalesce(F.col(self.unit).cast("string"), F.lit(""))) != "")
         touched = sorted(r["bucket"] for r in new.select(self._bucket()).distinct().collect())  # no more than there are buckets
         if touched:
             old = self._read("rows", {b: held[b] for b in touched if b in held}, self.schema)
@@ -80,8 +80,9 @@ class ConsensusTable:
             merged.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(rows_at)
             back = self._read("rows", dict.fromkeys(touched, batch), self.schema)
             self._voted(back).withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(votes_at)
-            for b in touched:  # a bucket of which no unit has enough raters yet
-                if f"bucket={b}" not in set(atomic.names(self.spark, votes_at)):
+            written = set(atomic.names(self.spark, votes_at))
+            for b in touched:
+                if f"bucket={b}" not in written:  # no unit of it has enough raters yet
                     self._voted(back).limit(0).write.mode("overwrite").parquet(f"{votes_at}/bucket={b}")
         held.update(dict.fromkeys(touched, batch))
         atomic.write_text(self.spark, f"{self.folder}/commits/{batch:020d}.json", json.dumps({"buckets": held}))
