@@ -31,23 +31,27 @@ def windowed_counts(stream: DataFrame, ts: str, group: str, window: str = "5 min
     return stream.withWatermark(ts, lateness).groupBy(F.window(ts, window), group).agg(F.count("*").alias("n")).select("window.start", "window.end", group, "n")
 
 
-def breaker_state(limit: int = 5):
-    """State function: a group's run of failures across batches; a row when it reaches ``limit``."""
+def breaker_state(limit: int = 5, ttl_ms: int = 86_400_000):
+    """State function: a group's run of failures across batches; a row when it reaches ``limit``. The calls of a batch count in the order of their times, whatever frames they come in; after ``ttl_ms`` without any the state goes."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run,) = state.get if state.exists else (0,)
         out = []
-        for frame in frames:
-            for ts, failed in frame.sort_values("ts")[["ts", "failed"]].itertuples(index=False):
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            (run,) = state.get if state.exists else (0,)
+            arrived = pd.concat([f[["ts", "failed"]] for f in frames]).sort_values("ts", kind="stable")  # a batch's calls of one rater
+            for ts, failed in arrived.itertuples(index=False):
                 run = run + 1 if failed else 0
                 if run == limit:
                     out.append((key[0], ts, run))
-        state.update((run,))
+            state.update((run,))
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["rater", "tripped_at", "run_length"])
 
     return step
 
 
-def breaker_stream(stream: DataFrame, limit: int = 5) -> DataFrame:
-    """(rater, tripped_at, run_length) from a stream of (rater, ts, failed)."""
-    return stream.groupBy("rater").applyInPandasWithState(breaker_state(limit), "rater string, tripped_at timestamp, run_length long", "run long", "append", GroupStateTimeout.NoTimeout)
+def breaker_stream(stream: DataFrame, limit: int = 5, ttl_ms: int = 86_400_000) -> DataFrame:
+    """(rater, tripped_at, run_length) from a stream of (rater, ts, failed). For order across batches, late calls and timers in event time see calls.call_events()."""
+    return stream.groupBy("rater").applyInPandasWithState(breaker_state(limit, ttl_ms), "rater string, tripped_at timestamp, run_length long", "run long", "append", GroupStateTimeout.ProcessingTimeTimeout)

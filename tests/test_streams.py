@@ -253,3 +253,32 @@ def test_run_record_and_frozen_files(spark, tmp_path):
     assert record["inputs_sha256"] == {"prompt": want, "gone": "n/a"} and record["version"] == "2"
     assert {r["run"]: (r["completed"], r["failed"], r["elapsed_s"]) for r in record["runs"]} == {"r1": (2, 1, 60.0), None: (1, 1, 0.0)}
     assert json.loads((tmp_path / "m/_manifest.json").read_text())["version"] == "2"
+
+
+def test_breaker_order_within_a_batch_and_ttl():
+    """Frames of a batch in any order; a state that has timed out is removed."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, value, ttl = False, False, None, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def setTimeoutDuration(self, ms):
+            self.ttl = ms
+
+        def remove(self):
+            self.exists = False
+
+    state, step = State(), ingest.breaker_state(3, 1000)
+    frames = [pd.DataFrame({"ts": [4, 1], "failed": [True, False], "rater": ["a", "a"]}), pd.DataFrame({"ts": [3, 2], "failed": [True, True], "rater": ["a", "a"]})]
+    (out,) = step(("a",), iter(frames), state)
+    assert out.values.tolist() == [["a", 4, 3]] and state.value == (3,) and state.ttl == 1000
+    state.hasTimedOut = True
+    (out,) = step(("a",), iter(()), state)
+    assert len(out) == 0 and not state.exists
