@@ -136,8 +136,22 @@ def _scored(shared):
     return run
 
 
+#: Windows that a text teaches with at most, drawn from all of it, and texts of all languages together; the driver gets that many windows.
+TEXT_WINDOWS, MOST_TEXTS = 32, 20_000
+
+
+def _drawn(doc: np.ndarray, keys: list[int]) -> np.ndarray:
+    """Places of the windows that teach: all of a text, or TEXT_WINDOWS of them, drawn by its key."""
+    starts = np.searchsorted(doc, np.arange(len(keys) + 1))
+    places = []
+    for k, lo, hi in zip(keys, starts[:-1], starts[1:], strict=True):
+        own = np.arange(lo, hi)
+        places.append(own if len(own) <= TEXT_WINDOWS else np.sort(np.random.default_rng(abs(k)).permutation(own)[:TEXT_WINDOWS]))
+    return np.concatenate(places) if places else np.zeros(0, np.int64)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of each text, and two short pieces, as short texts are windows filled with zeros."""
+    """Windows of each text, and two short pieces, as short texts are windows filled with zeros."""
     for batch in batches:
         langs, keys = batch.column(0), batch.column(1).to_pylist()
         for lo, hi, data, offsets in K.text_runs(batch.column(2)):
@@ -147,8 +161,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = x[pieces]
             sizes = np.concatenate([np.random.default_rng(abs(k)).integers(6, 100, 2) for k in keys[lo:hi]])
             short[np.arange(WINDOW)[None, :] >= sizes[:, None]] = 0
-            of = pa.array(lo + np.concatenate([doc, doc[pieces]]))
-            rows = np.concatenate([x, short])
+            drawn = _drawn(doc, keys[lo:hi])
+            of = pa.array(lo + np.concatenate([doc[drawn], doc[pieces]]))
+            rows = np.concatenate([x[drawn], short])
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))])
             yield pa.RecordBatch.from_arrays([langs.take(of), flat.cast(pa.binary())], names=["lang", "window"])
 
@@ -162,7 +177,7 @@ def training_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, t
     """
     usable = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != "") & F.col(id_col).isNotNull()
     known = docs.where(usable & ~held_out(id_col, 4, 2)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("long")).alias("key"), F.col(text_col).alias("text"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n"))  # ids, as rows that repeat one count once
     place = F.shiftrightunsigned("key", 11) / F.lit(2.0**53)
     few = known.select("lang", "key").join(F.broadcast(counts) if counts.count() <= BROADCAST_LANGS else counts, "lang").where(place * F.col("n") < 2 * texts + 100).select("lang", "key").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 11), "key"))
@@ -175,8 +190,9 @@ BROADCAST_LANGS = 1_000
 
 
 def fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, texts: int = TRAIN_TEXTS) -> Network | None:
-    """A network trained on all windows of training_texts(); None if there are none."""
-    chosen = training_texts(docs, id_col, text_col, lang_col, texts).select("lang", "key", "text")
+    """A network trained on windows of training_texts(); None if there are none. With very many languages each has fewer texts, so that all have MOST_TEXTS at most."""
+    languages = docs.where(F.col(lang_col).isNotNull()).agg(F.approx_count_distinct(lang_col)).first()[0]
+    chosen = training_texts(docs, id_col, text_col, lang_col, max(1, min(texts, MOST_TEXTS // max(1, languages)))).select("lang", "key", "text")
     table = chosen.mapInArrow(_sampled, "lang string, window binary").toArrow()
     if not table.num_rows:
         return None
@@ -193,7 +209,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     ``und`` with score 0 if the text is null or has no letter, or if there is
     nothing to learn from. Repeated rows are predicted each; a null id is not held
     out and teaches nothing. Other columns are ignored, whatever their names. The
-    network learns from at most ``train_texts`` texts a language.
+    network learns from at most ``train_texts`` texts a language and TEXT_WINDOWS windows a text.
     """
     spark = docs.sparkSession
     small_batches(spark)
