@@ -29,8 +29,8 @@ DEPTH, BYTES_A_CELL, MIN_BITS, MAX_BITS = 2, 48, 16, 26
 CHUNK = 1 << 16
 #: Cells stop here; any threshold up to it can be asked of them.
 FULL = 255
-#: Distinct phrases that a task holds before it passes their counts on.
-HELD = 400_000
+#: Counts that a task sums before it passes them on to Spark's own aggregate, which has room to spill.
+HELD = 300_000
 #: Salts of a language in the first step of the ranking.
 SALTS = 16
 
@@ -168,26 +168,25 @@ def _phrases(run: Run, at: np.ndarray, n: int) -> pa.Array:
 
 
 def _counter(held, longest: int):
-    """Exact counts of the n-grams that the sketches leave, summed within a task as far as HELD phrases go; k = 0 has the number of words."""
+    """Exact counts of the n-grams that the sketches leave, summed over some megabytes of text at a time; k = 0 has the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches, names = unpacked(held.value), {}
         pending, rows = [], 0
 
         def summed() -> pa.Table:
-            return pa.concat_tables(pending).group_by(["lang", "phrase", "k"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
+            return pa.concat_tables(pending).group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
 
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            return (pa.record_batch([b.column(c).cast(t) for c, t in (("lang", pa.large_string()), ("phrase", pa.large_string()), ("k", pa.int32()), ("f", pa.int64()))], names=["lang", "phrase", "k", "f"]) for b in table.to_batches(max_chunksize=50_000))
+            codes, texts = pa.array(list(names), pa.int64()), pa.array(list(names.values()), pa.large_string())
+            for b in table.to_batches(max_chunksize=20_000):
+                yield pa.record_batch({"lang": texts.take(pc.index_in(b.column("lang"), codes)), "phrase": b.column("phrase"), "k": b.column("k"), "f": b.column("f")})
 
-        for run in _runs(batches, names):
-            codes = pa.array(list(names), pa.int64())
-            texts = pa.array(list(names.values()), pa.large_string())
-
-            def add(lang: np.ndarray, phrase: pa.Array, k: int, f: np.ndarray) -> int:
-                pending.append(pa.table({"lang": texts.take(pc.index_in(pa.array(lang), codes)), "phrase": phrase, "k": pa.array(np.full(len(f), k), pa.int32()), "f": pa.array(f, pa.int64())}))  # noqa: B023
-                return len(f)
+        def add(lang: np.ndarray, phrase: pa.Array, k: int, f: np.ndarray) -> int:
+            pending.append(pa.table({"lang": lang, "phrase": phrase, "k": pa.array(np.full(len(f), k), pa.int32()), "f": pa.array(f, pa.int64())}))
+            return len(f)
 
+        for run in _runs(batches, names):
             langs, words = np.unique(run.lang, return_counts=True)
             rows += add(langs, pa.array([""] * len(langs), pa.large_string()), 0, words)
             for n, at in run.grams(sketches, longest):
@@ -201,12 +200,10 @@ def _counter(held, longest: int):
                 first = np.flatnonzero(new)
                 places = at[order[first]]
                 rows += add(run.lang[places], _phrases(run, places, n), n, np.diff(np.append(first, len(at))))
-            if rows > 2 * HELD:
-                table = summed()
-                pending, rows = [table], len(table)
-                if rows > HELD:
-                    yield from out(table)
-                    pending, rows = [], 0
+            if rows > HELD:
+                yield from out(summed())
+                pending, rows = [], 0
+                pa.default_memory_pool().release_unused()
         if pending:
             yield from out(summed())
 
