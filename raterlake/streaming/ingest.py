@@ -32,7 +32,7 @@ def windowed_counts(stream: DataFrame, ts: str, group: str, window: str = "5 min
 
 
 def breaker_state(limit: int = 5, ttl_ms: int = 86_400_000):
-    """State function: a group's run of failures across batches; a row when it reaches ``limit``. The calls of a batch count in the order of their times, whatever frames they come in; after ``ttl_ms`` without any the state goes."""
+    """State function: a group's run of failures across batches; a row when it reaches ``limit``. The calls of a batch count in the order of their times, whatever frames they come in; when the watermark is ``ttl_ms`` past the last one the state goes."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
@@ -46,12 +46,13 @@ def breaker_state(limit: int = 5, ttl_ms: int = 86_400_000):
                 if run == limit:
                     out.append((key[0], ts, run))
             state.update((run,))
-            state.setTimeoutDuration(ttl_ms)
+            last = int(arrived["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(out, columns=["rater", "tripped_at", "run_length"])
 
     return step
 
 
-def breaker_stream(stream: DataFrame, limit: int = 5, ttl_ms: int = 86_400_000) -> DataFrame:
-    """(rater, tripped_at, run_length) from a stream of (rater, ts, failed). For order across batches, late calls and timers in event time see calls.call_events()."""
-    return stream.groupBy("rater").applyInPandasWithState(breaker_state(limit, ttl_ms), "rater string, tripped_at timestamp, run_length long", "run long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def breaker_stream(stream: DataFrame, limit: int = 5, ttl_ms: int = 86_400_000, lateness: str = "1 hour") -> DataFrame:
+    """(rater, tripped_at, run_length) from a stream of (rater, ts, failed). For order across batches and further events see calls.call_events()."""
+    return stream.withWatermark("ts", lateness).groupBy("rater").applyInPandasWithState(breaker_state(limit, ttl_ms), "rater string, tripped_at timestamp, run_length long", "run long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -269,16 +269,20 @@ def test_breaker_order_within_a_batch_and_ttl():
         def update(self, value):
             self.exists, self.value = True, value
 
-        def setTimeoutDuration(self, ms):
+        def getCurrentWatermarkMs(self):
+            return 3000
+
+        def setTimeoutTimestamp(self, ms):
             self.ttl = ms
 
         def remove(self):
             self.exists = False
 
     state, step = State(), ingest.breaker_state(3, 1000)
-    frames = [pd.DataFrame({"ts": [4, 1], "failed": [True, False], "rater": ["a", "a"]}), pd.DataFrame({"ts": [3, 2], "failed": [True, True], "rater": ["a", "a"]})]
+    at = lambda *seconds: pd.to_datetime(pd.Series(seconds), unit="s")
+    frames = [pd.DataFrame({"ts": at(4, 1), "failed": [True, False], "rater": ["a", "a"]}), pd.DataFrame({"ts": at(3, 2), "failed": [True, True], "rater": ["a", "a"]})]
     (out,) = step(("a",), iter(frames), state)
-    assert out.values.tolist() == [["a", 4, 3]] and state.value == (3,) and state.ttl == 1000
+    assert out.values.tolist() == [["a", pd.Timestamp(4, unit="s"), 3]] and state.value == (3,) and state.ttl == 5000
     state.hasTimedOut = True
     (out,) = step(("a",), iter(()), state)
     assert len(out) == 0 and not state.exists
