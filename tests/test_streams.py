@@ -286,3 +286,23 @@ def test_breaker_order_within_a_batch_and_ttl():
     state.hasTimedOut = True
     (out,) = step(("a",), iter(()), state)
     assert len(out) == 0 and not state.exists
+
+
+def test_readers_beside_a_writer(spark, tmp_path):
+    """A reader that asks all the time finds one of the texts, whole."""
+    import threading
+
+    path, stop, seen = str(tmp_path / "s.json"), threading.Event(), set()
+    atomic.write_text(spark, path, "x" * 1000)
+
+    def read():
+        while not stop.is_set():
+            seen.add(atomic.read_text(spark, path))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for i in range(100):
+        atomic.write_text(spark, path, "xyz"[i % 3] * (1000 + i % 3))
+    stop.set()
+    reader.join()
+    assert seen <= {"x" * 1000, "y" * 1001, "z" * 1002} and len(seen) > 1
