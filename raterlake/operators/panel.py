@@ -12,6 +12,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task gets, on average, where the rows of a unit are brought together.
+TASK_ROWS = 500_000
+
+
+def clustered(df: DataFrame, unit: str, rows: int | None = None, multiple: int = 1) -> DataFrame:
+    """``df`` with all rows of a unit in one partition, which what follows reuses.
+
+    The number of partitions (a multiple of ``multiple``) grows with ``rows``, those of
+    ``df`` if not given, and adaptive execution leaves it as it is; so what a task holds
+    doesn't grow with the table. Without a number, partitions are joined up to
+    some 64 compressed MB, which are four million short rows or more.
+    """
+    rows = df.count() if rows is None else rows
+    n = max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(multiple * -(-n // multiple), unit)
+
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: str = "first", valid: Column | None = None) -> DataFrame:
     """One row a key: the first or last in order, or with ``keep='valid'`` the first valid one (the first if none is). Blank keys stay."""

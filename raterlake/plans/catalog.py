@@ -47,7 +47,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rated(spark: SparkSession, sf_dir: str, keep: str = "first") -> DataFrame:
     """The panel, deduplicated by unit and rater; clustered by unit, which everything after it reuses."""
-    return panel.dedup(lines(spark, sf_dir).repartition("l_orderkey"), ["l_orderkey", "l_linenumber"], ORDER, keep)
+    return panel.dedup(panel.clustered(lines(spark, sf_dir), "l_orderkey"), ["l_orderkey", "l_linenumber"], ORDER, keep)
 
 
 _PANEL = """
@@ -525,7 +525,8 @@ union all select 'cross_dim_valid_rate', round(max(cross_rate) filter (v = 0), 9
 union all select 'alpha_' || dim, round(max(alpha) filter (v = 0), 9), round(max(alpha) filter (v = 1), 9), round(max(alpha) filter (v = 1) - max(alpha) filter (v = 0), 9) from alpha group by dim""")
 def ab_compare(spark, sf_dir):
     """Two versions (by customer): rates, and alpha of each dimension, with their differences."""
-    df = table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", "l_discount").join(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rated_lines = panel.clustered(table(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", "l_discount"), "l_orderkey")
+    df = rated_lines.join(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     df = df.select((F.col("o_custkey") % 2 == 0).cast("int").alias("v"), "l_orderkey", F.expr("nullif(l_returnflag, 'N')").alias("D1"), F.col("l_linestatus").alias("D2"), "l_discount")
     out = agreement.ab_compare(df, "v", (0, 1), "l_orderkey", ["D1", "D2"], F.col("D1").isNotNull(), F.col("l_discount") <= 0.05)
     return out.select("measure", *(F.round(c, 9).alias(c) for c in ("a", "b", "delta")))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from raterlake.plans import catalog
@@ -37,3 +38,19 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_tasks_of_a_panel_stay_small(spark, monkeypatch):
+    """Partitions of units grow in number with the rows, where adaptive execution would join them; ab_compare stays the same."""
+    from raterlake.operators import panel
+    from raterlake.plans import catalog
+
+    folder = "/root/testdata/sf0.01"
+    whole = {r["measure"]: r[1:] for r in catalog.ab_compare(spark, folder).collect()}
+    monkeypatch.setattr(panel, "TASK_ROWS", 1000, raising=False)
+    sizes = [r["count"] for r in catalog.rated(spark, folder).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) > 10_000 and max(sizes) < 2_000
+    out = catalog.ab_compare(spark, folder)
+    assert {r["measure"]: r[1:] for r in out.collect()} == whole
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert "hashpartitioning(l_orderkey#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and f", {-(-rows // 1000)}), REPARTITION_BY_NUM" in plan
