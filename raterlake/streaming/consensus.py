@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 from raterlake.operators import panel
 from raterlake.sources import atomic
 
+#: How rows are dealt to buckets. Spark's repartition() deals by the same hash, so a task that has one of a multiple of ``buckets`` partitions has rows of one bucket.
+DEALT = "hash"
+_OBJECTS = "spark.sql.execution.useObjectHashAggregateExec"
 #: Commits that stay readable, so that a reader of the last one isn't disturbed by the next.
 KEPT = 2
 
@@ -40,11 +43,12 @@ class ConsensusTable:
     def _commits(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in atomic.names(self.spark, f"{self.folder}/commits") if n.endswith(".json"))
 
+    def _state(self, batch: int) -> dict:
+        return json.loads(atomic.read_text(self.spark, f"{self.folder}/commits/{batch:020d}.json"))
+
     def _commit(self, batch: int | None) -> dict[int, int]:
         """bucket -> the batch that wrote it last, as of a commit."""
-        if batch is None:
-            return {}
-        return {int(b): n for b, n in json.loads(atomic.read_text(self.spark, f"{self.folder}/commits/{batch:020d}.json"))["buckets"].items()}
+        return {} if batch is None else {int(b): n for b, n in self._state(batch)["buckets"].items()}
 
     def _read(self, what: str, held: dict[int, int], schema: T.StructType) -> DataFrame:
         paths = [f"{self.folder}/{what}/batch={n}/bucket={b}" for b, n in held.items()]
@@ -63,29 +67,47 @@ class ConsensusTable:
         return panel.consensus(rows, self.unit, self.dims, self.order, self.least, self.full)
 
     def _bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(self.unit), F.lit(self.buckets)).cast("int").alias("bucket")
+        return F.pmod(F.hash(self.unit), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _written(self, folder: str) -> list[int]:
+        return sorted(int(n.removeprefix("bucket=")) for n in atomic.names(self.spark, folder) if n.startswith("bucket="))
 
     def merge(self, answers: DataFrame, batch: int) -> list[int]:
-        """Takes in a batch; returns the buckets it wrote anew. For foreachBatch: ``lambda df, n: table.merge(df, n)``."""
+        """Takes in a batch; returns the buckets it wrote anew. For foreachBatch: ``lambda df, n: table.merge(df, n)``.
+
+        Both tables are written by tasks of one bucket and some panel.TASK_ROWS rows each, so the
+        files are as many as these tasks, not tasks times buckets, and what a task holds doesn't grow.
+        """
         commits = self._commits()
         if commits and batch <= commits[-1]:
             return []  # committed before
         held = self._commit(commits[-1] if commits else None)
+        moved = bool(held) and self._state(commits[-1]).get("dealt") != DEALT  # an older table is dealt anew
         new = answers.select(*self.schema.names).where(F.trim(F.coalesce(F.col(self.unit).cast("string"), F.lit(""))) != "")
-        touched = sorted(r["bucket"] for r in new.select(self._bucket()).distinct().collect())  # no more than there are buckets
+        counts = {r["bucket"]: r["count"] for r in new.groupBy(self._bucket()).count().collect()}  # no more than there are buckets
+        touched = sorted(counts)
         if touched:
-            old = self._read("rows", {b: held[b] for b in touched if b in held}, self.schema)
+            old = self._read("rows", {b: n for b, n in held.items() if moved or b in counts}, self.schema)
+            rows = sum(counts.values()) + old.count()
             rows_at, votes_at = (f"{self.folder}/{what}/batch={batch}" for what in ("rows", "votes"))
-            merged = panel.dedup(old.unionByName(new).repartition(self.unit), [self.unit, self.rater], self.order)
+            dealt = lambda df: panel.clustered(df, self.unit, rows, self.buckets)
+            merged = panel.dedup(dealt(old.unionByName(new)), [self.unit, self.rater], self.order)
             merged.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(rows_at)
-            back = self._read("rows", dict.fromkeys(touched, batch), self.schema)
-            self._voted(back).withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(votes_at)
-            written = set(atomic.names(self.spark, votes_at))
-            for b in touched:
-                if f"bucket={b}" not in written:  # no unit of it has enough raters yet
-                    self._voted(back).limit(0).write.mode("overwrite").parquet(f"{votes_at}/bucket={b}")
+            touched = self._written(rows_at)
+            voted = self._voted(dealt(self._read("rows", dict.fromkeys(touched, batch), self.schema)))
+            before = self.spark.conf.get(_OBJECTS)
+            self.spark.conf.set(_OBJECTS, "false")  # rows come sorted by unit, so sets of labels need no map of objects
+            try:
+                voted.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(votes_at)
+            finally:
+                self.spark.conf.set(_OBJECTS, before)
+            none = self.spark.createDataFrame([], voted.schema)
+            for b in sorted(set(touched) - set(self._written(votes_at))):  # no unit of it has enough raters yet
+                none.write.mode("overwrite").parquet(f"{votes_at}/bucket={b}")
+            held = {} if moved else held
         held.update(dict.fromkeys(touched, batch))
-        atomic.write_text(self.spark, f"{self.folder}/commits/{batch:020d}.json", json.dumps({"buckets": held}))
+        state = {"buckets": held} if moved and not touched else {"buckets": held, "dealt": DEALT}
+        atomic.write_text(self.spark, f"{self.folder}/commits/{batch:020d}.json", json.dumps(state))
         self._forget()
         return touched
 

@@ -52,6 +52,35 @@ def test_consensus_touches_its_buckets_only(spark, tmp_path):
     assert t.merge(spark.createDataFrame([], ANSWERS), 2) == []
 
 
+def test_consensus_files_are_of_tasks(spark, tmp_path, monkeypatch):
+    """A task writes one bucket, however many tasks there are; a table that was dealt by another hash is dealt anew."""
+    monkeypatch.setattr(panel, "TASK_ROWS", 20, raising=False)
+    rows, more = answers(random.Random(6), 400, 0), answers(random.Random(7), 300, 400)
+    t = table(spark, tmp_path / "t")
+    joined = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joined, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        t.merge(spark.createDataFrame(rows, ANSWERS), 0)
+    finally:
+        spark.conf.set(joined, "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for what in ("rows", "votes"):
+        assert 8 <= len(list((tmp_path / "t" / what).glob("batch=0/bucket=*/*.parquet"))) <= 24  # at most 400 rows in 20s, to a multiple of 8
+    old = tmp_path / "old"
+    monkeypatch.setattr(ConsensusTable, "_bucket", lambda self: F.pmod(F.xxhash64(self.unit), F.lit(self.buckets)).cast("int").alias("bucket"))
+    t = table(spark, old)
+    t.merge(spark.createDataFrame(rows, ANSWERS), 0)
+    monkeypatch.undo()
+    commit = next((old / "commits").glob("*0.json"))
+    commit.write_text(commit.read_text().replace(', "dealt": "hash"', ""))
+    for crc in (old / "commits").glob(".*.crc"):
+        crc.unlink()
+    t.merge(spark.createDataFrame(more[:5], ANSWERS), 1)
+    t.merge(spark.createDataFrame(more[5:], ANSWERS), 2)
+    assert sorted(map(tuple, t.votes().collect())) == sorted(map(tuple, batch_votes(spark, rows + more).collect()))
+
+
 def test_consensus_survives_a_crash(spark, tmp_path, monkeypatch):
     """A batch that dies before its commit leaves the votes as they were, and is taken in when it comes again."""
     rng, t = random.Random(5), table(spark, tmp_path / "t")
