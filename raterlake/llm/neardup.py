@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterlake.llm import kernels as K
-from raterlake.llm.components import connected_components
+from raterlake.llm.components import Forest, connected_components
 from raterlake.llm.store import attached, drop, keep_ids, settle, small_batches, with_groups
 
 BANDS, ROWS = 24, 4
@@ -198,27 +198,6 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return unequal <= (1 - least) * HASHES * 0.75
 
 
-class _Forest:
-    """Union-find; the least member names a tree."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.parent[max(x, y)] = min(x, y)
-        return True
-
-
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
@@ -245,7 +224,7 @@ def _may_link(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, 4):
-            ids, forest, out = _column(batch, "id"), _Forest(), []
+            ids, forest, out = _column(batch, "id"), Forest(), []
             for some, right, fit in _candidates(batch, least):
                 # a row of side 0 and its partners are one tree; of a partner of many rows the first joins the others
                 first = fit.argmax(axis=0)
@@ -271,7 +250,7 @@ def _confirm_blocks(n: int, percent: int, least: float):
             sets: list[np.ndarray] = []
             for lo, hi, values, offsets in shingle_sets(batch.column(batch.schema.get_field_index("text")), n):
                 sets += [np.unique(values[offsets[d] : offsets[d + 1]]) for d in range(hi - lo)]
-            forest, out = _Forest(), []
+            forest, out = Forest(), []
             for some, right, fit in _candidates(batch, least):
                 for x, y in zip(*np.nonzero(fit), strict=True):
                     x, y = some[x], right[y]

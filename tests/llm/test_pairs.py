@@ -302,6 +302,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("few", [100_000, 70])
+def test_components_of_few_links_and_of_more(spark, monkeypatch, few):
+    """Few links take two jobs or so (over twenty in rounds); beyond ``FEW`` they go in rounds, with the same result."""
+    from raterlake.llm import components
+
+    monkeypatch.setattr(components, "FEW", few, raising=False)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup(f"few{few}", "links")
+    try:
+        got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    finally:
+        jobs = len(context.statusTracker().getJobIdsForGroup(f"few{few}"))
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == least_reachable({x for e in edges if e[0] != e[1] for x in e}, [e for e in edges if e[0] != e[1]])
+    assert jobs <= 6 if few > 100 else jobs > 10
+
+
 def test_digest(spark):
     df = spark.createDataFrame([(1, "q" * 70), (2, "q" * 70 + "r")], "doc_id long, text string")
     out = remove_repeats(df, 50, "bytes").select("doc_id", F.sha2("kept_bytes", 256).alias("h")).collect()
