@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from fnmatch import fnmatch
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def file_hashes(spark: SparkSession, folder: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
-    """(path, length, sha256) of the files below ``folder``, paths being relative to it; hidden files, those with a leading underscore and empty ones are left out, as Spark reads none of them.
+    """(path, length, sha256) of the files below ``folder``, paths being relative to it; hidden files and those with a leading underscore are left out, as Spark reads none of them. Empty files, which Spark doesn't read either, are listed by their addresses.
 
     Small files are hashed where Spark reads them, whatever store that is. Files of over
     ``whole`` bytes are listed only and dealt out one by one; a worker reads them in chunks through
@@ -48,4 +49,11 @@ def file_hashes(spark: SparkSession, folder: str, glob: str = "*", whole: int =
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
     large = files.where(F.col("length") > whole).select("path", "length").repartition("path").mapInArrow(_hashed, "path string, length long, sha256 string")
-    return small.unionByName(large).withColumn("path", F.substring("path", F.lit(len(root) + 2), F.char_length("path")))
+    files, none, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), hashlib.sha256(b"").hexdigest(), []
+    while files.hasNext():
+        f = files.next()
+        at = f.getPath().toString()
+        if f.getLen() == 0 and not re.search(r"/[._]", at[len(root) :]) and fnmatch(f.getPath().getName(), glob):
+            found.append((at, 0, none))
+    empty = spark.createDataFrame(found, "path string, length long, sha256 string")
+    return small.unionByName(large).unionByName(empty).withColumn("path", F.substring("path", F.lit(len(root) + 2), F.char_length("path")))

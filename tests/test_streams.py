@@ -211,6 +211,14 @@ def test_hashes_of_large_files(spark, tmp_path):
         assert {r["path"]: r["sha256"] for r in got.collect()} == want
 
 
+def test_hashes_of_empty_files(spark, tmp_path):
+    """An empty part file is listed, so that what is written into it is a mismatch and not unlisted."""
+    (tmp_path / "d").mkdir()
+    for name, text in (("a", "x"), ("part-0", ""), ("_SUCCESS", ""), (".part-0.crc", "")):
+        (tmp_path / "d" / name).write_text(text)
+    assert {r["path"]: r["length"] for r in hashing.file_hashes(spark, str(tmp_path / "d")).collect()} == {"a": 1, "part-0": 0}
+
+
 def test_text_is_replaced(spark, tmp_path):
     path = str(tmp_path / "s/state.json")
     assert atomic.read_text(spark, path) is None
